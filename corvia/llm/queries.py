@@ -8,6 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corvia.llm.common import read
+from corvia.llm.lines import drop_recurring_lines
+from corvia.llm.mixing import mix_sources
+from corvia.llm.packing import best_fit_pack
 from corvia.llm.simhash import simhash_near_dup
 
 
@@ -16,8 +19,80 @@ def op4_simhash_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = drop_recurring_lines(read(spark, sf_dir, "documents"), min_docs=3, depth=3, min_tokens=5, min_constant=0.6)
+    return found.select("doc_id", "n_lines", "n_dropped", "text")
+
+
+def op8_best_fit_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return best_fit_pack(read(spark, sf_dir, "documents"), capacity=2048, end_id=0)
+
+
+def op9_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix_sources(read(spark, sf_dir, "documents"), alpha=0.5, size=1.0, seed=42).select("doc_id", "source", "copy", "shuffle_key", "text")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_simhash_near_dup": op4_simhash_near_dup,
+    "op5_line_dedup": op5_line_dedup,
+    "op8_best_fit_pack": op8_best_fit_pack,
+    "op9_mix_sources": op9_mix_sources,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+#: The leaves, templates and recurring lines of op5, with lists in place of hashes.
+OP5_SQL = r"""
+with lines as (
+  select doc_id, unnest(string_split(text, chr(10))) as line, generate_subscripts(string_split(text, chr(10)), 1) as no from documents
+), parsed as (
+  select doc_id, no, line, list_transform(list_filter(regexp_split_to_array(line, '[\x20\x09-\x0D]+'), lambda x: x <> ''), lambda x: case when regexp_matches(x, '[0-9]') then '<*>' else x end) as t from lines
+), long_lines as (
+  select distinct doc_id, t, [len(t)::varchar] || t[1:3] as leaf from parsed where len(t) >= 5
+), held as (
+  select * from long_lines where leaf in (select leaf from long_lines group by leaf having count(distinct doc_id) >= 3)
+), distinct_lines as (
+  select leaf, t, count(*) as n from held group by leaf, t
+), cells as (
+  select leaf, t, n, unnest(t) as token, generate_subscripts(t, 1) as place from distinct_lines
+), stays as (
+  select leaf, place, token from cells group by leaf, place, token having sum(n) >= 3
+), shapes as (
+  select c.leaf, c.t, list(case when s.token is not null then c.token else '<*>' end order by c.place) as shape,
+         avg(case when s.token is not null and c.token <> '<*>' then 1.0 else 0.0 end) as constant
+  from cells c left join stays s on c.leaf = s.leaf and c.place = s.place and c.token = s.token group by c.leaf, c.t
+), used as (
+  select h.doc_id, h.t, case when s.constant >= 0.6 then ['general'] || s.shape else ['own'] || s.t end as template, h.leaf
+  from held h join shapes s on h.leaf = s.leaf and h.t = s.t
+), recurring as (
+  select leaf, template, min(doc_id) as first from used group by leaf, template having count(distinct doc_id) >= 3
+), drops as (
+  select distinct u.doc_id, u.t from used u join recurring r on u.leaf = r.leaf and u.template = r.template where u.doc_id <> r.first
+), marked as (
+  select p.doc_id, p.no, p.line, d.t is not null as gone from parsed p left join drops d on p.doc_id = d.doc_id and p.t = d.t
+)
+select doc_id, count(*) as n_lines, count(*) filter (gone) as n_dropped, coalesce(string_agg(line, chr(10) order by no) filter (not gone), '') as text
+from marked group by doc_id
+"""
+
+OP9_SQL = """
+with own as (
+  select source, sum(greatest(length(text), 1))::double as have from documents group by source
+), means as (
+  select source, least(sqrt(have) * sum(have) over () / (sum(sqrt(have)) over () * have), 16.0) as mean from own
+), drawn as (
+  select doc_id, d.source, text, mean, ('0x' || substr(md5('42:' || doc_id), 1, 13))::bigint / 4503599627370496.0 as u
+  from documents d join means m on d.source is not distinct from m.source
+), terms as (
+  select source, k, sum(p) over (partition by source order by k) as below
+  from (select source, k, exp(-mean + k * ln(mean) - lgamma(k + 1)) as p from means, range(0, 65) r(k))
+), counted as (
+  select d.doc_id, d.source, d.text, (select count(*) from terms t where t.source = d.source and t.below <= d.u) as n from drawn d
+), copies as (
+  select doc_id, source, unnest(range(0, n))::int as copy, text from counted where n > 0
+)
+select doc_id, source, copy, ('0x' || substr(md5('42/shuffle:' || doc_id || ':' || copy), 1, 13))::bigint / 4503599627370496.0 as shuffle_key, text from copies
+"""
+
+ORACLE_SQL: dict[str, str] = {
+    "op5_line_dedup": OP5_SQL,
+    "op9_mix_sources": OP9_SQL,
+}
