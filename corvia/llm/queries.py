@@ -8,12 +8,23 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corvia.llm.common import read
+from corvia.llm.html import extract_pages
 from corvia.llm.lines import drop_recurring_lines
 from corvia.llm.mixing import mix_sources
 from corvia.llm.packing import best_fit_pack
+from corvia.llm.quality import classify_quality
 from corvia.llm.simhash import simhash_near_dup
 
 
+def op2_quality_gam(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = classify_quality(read(spark, sf_dir, "documents").select("doc_id", "text"), read(spark, sf_dir, "labels"), max_rows=40_000)
+    return found.select("doc_id", "held_out", "score", "predicted")
+
+
+def op3_html_tree_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_pages(read(spark, sf_dir, "pages"))
+
+
 def op4_simhash_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash_near_dup(read(spark, sf_dir, "documents"), shingle=4, max_bits=4)
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
@@ -33,6 +44,8 @@ def op9_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_quality_gam": op2_quality_gam,
+    "op3_html_tree_scoring": op3_html_tree_scoring,
     "op4_simhash_near_dup": op4_simhash_near_dup,
     "op5_line_dedup": op5_line_dedup,
     "op8_best_fit_pack": op8_best_fit_pack,
