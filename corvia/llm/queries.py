@@ -8,12 +8,19 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corvia.llm.common import read
+from corvia.llm.cosine import cosine_near_dup
 from corvia.llm.html import extract_pages
 from corvia.llm.lines import drop_recurring_lines
 from corvia.llm.mixing import mix_sources
 from corvia.llm.packing import best_fit_pack
 from corvia.llm.quality import classify_quality
 from corvia.llm.simhash import simhash_near_dup
+from corvia.llm.topk import top_k
+
+
+def op1_topk_pivot_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = read(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return top_k(rows, rows.where("vec_id % 50 = 0"), k=5, scale=256)
 
 
 def op2_quality_gam(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -35,6 +42,10 @@ def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_lines", "n_dropped", "text")
 
 
+def op7_subspace_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cosine_near_dup(read(spark, sf_dir, "embeddings").select("vec_id", "embedding"), threshold=0.95)
+
+
 def op8_best_fit_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return best_fit_pack(read(spark, sf_dir, "documents"), capacity=2048, end_id=0)
 
@@ -44,14 +55,28 @@ def op9_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_topk_pivot_distance": op1_topk_pivot_distance,
     "op2_quality_gam": op2_quality_gam,
     "op3_html_tree_scoring": op3_html_tree_scoring,
     "op4_simhash_near_dup": op4_simhash_near_dup,
     "op5_line_dedup": op5_line_dedup,
+    "op7_subspace_near_dup": op7_subspace_near_dup,
     "op8_best_fit_pack": op8_best_fit_pack,
     "op9_mix_sources": op9_mix_sources,
 }
 
+OP1_SQL = """
+with ints as (
+  select vec_id, list_transform(embedding, lambda x: floor(256 * x::double)) as v from embeddings
+  where embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0
+), scored as (
+  select q.vec_id as query_id, c.vec_id, list_dot_product(q.v, c.v)::bigint as score
+  from ints q join ints c on q.vec_id <> c.vec_id where q.vec_id % 50 = 0
+)
+select query_id, rank::int as rank, vec_id, score
+from (select *, row_number() over (partition by query_id order by score desc, vec_id) as rank from scored) where rank <= 5
+"""
+
 #: The leaves, templates and recurring lines of op5, with lists in place of hashes.
 OP5_SQL = r"""
 with lines as (
@@ -106,6 +131,7 @@ select doc_id, source, copy, ('0x' || substr(md5('42/shuffle:' || doc_id || ':'
 """
 
 ORACLE_SQL: dict[str, str] = {
+    "op1_topk_pivot_distance": OP1_SQL,
     "op5_line_dedup": OP5_SQL,
     "op9_mix_sources": OP9_SQL,
 }
