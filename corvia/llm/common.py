@@ -28,9 +28,11 @@ def shared_folder(spark: SparkSession) -> str:
 
 def written(df: DataFrame, what: str = "t") -> DataFrame:
     """Write ``df`` as Parquet to the shared folder and read it back: lineage ends here, and lost executors lose nothing."""
-    path = f"{shared_folder(df.sparkSession)}/{what}-{uuid.uuid4().hex}"
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/{what}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    spark.sparkContext._jvm.System.gc()  # the cleaner then removes the shuffle files of what is written now
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -60,3 +62,14 @@ def pair_units(rows: DataFrame, keys: list[str], spread: Column, unit: int) -> D
         .withColumn("hi", F.greatest("chunk", "_o"))
         .drop("_n", "_k", "_o")
     )
+
+
+def ranges_by_document(ranges: DataFrame, *fields: str) -> DataFrame:
+    """``id, th`` and the list ``ranges`` of the document's structs: no longer than the document."""
+    return ranges.groupBy("id", "th").agg(F.collect_list(F.struct(*fields)).alias("ranges"))
+
+
+def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """``doc_id, text, id, th``: a document's key is its id (-1 for null) and the hash of its text, so that rows that repeat an id stay apart."""
+    own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    return own.withColumns({"id": F.coalesce("doc_id", F.lit(-1)), "th": F.xxhash64("text")})

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from corvia.llm.common import read
 from corvia.llm.cosine import cosine_near_dup
+from corvia.llm.debruijn import drop_repeated_spans
 from corvia.llm.html import extract_pages
 from corvia.llm.lines import drop_recurring_lines
 from corvia.llm.mixing import mix_sources
@@ -42,6 +43,10 @@ def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_lines", "n_dropped", "text")
 
 
+def op6_debruijn_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return drop_repeated_spans(read(spark, sf_dir, "documents").select("doc_id", "text"), window=35).drop("kept")
+
+
 def op7_subspace_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cosine_near_dup(read(spark, sf_dir, "embeddings").select("vec_id", "embedding"), threshold=0.95)
 
@@ -60,6 +65,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_html_tree_scoring": op3_html_tree_scoring,
     "op4_simhash_near_dup": op4_simhash_near_dup,
     "op5_line_dedup": op5_line_dedup,
+    "op6_debruijn_substring_dedup": op6_debruijn_substring_dedup,
     "op7_subspace_near_dup": op7_subspace_near_dup,
     "op8_best_fit_pack": op8_best_fit_pack,
     "op9_mix_sources": op9_mix_sources,
