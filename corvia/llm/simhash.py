@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 from functools import lru_cache
 from itertools import combinations
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
@@ -16,10 +17,35 @@ from pyspark.sql import functions as F
 from corvia.llm.common import pair_units, written
 from corvia.llm.graph import components
 
-#: The binary Golay code's length, covering radius and generator polynomial; the 64 bits of a
-#: fingerprint as two Golay blocks and a rest in which every word is its own anchor.
-GOLAY_BITS, GOLAY_RADIUS, GOLAY_POLYNOMIAL = 23, 3, 0b110001110101
-BLOCKS = ((0, 23), (23, 23), (46, 18))
+
+class Code(NamedTuple):
+    """A cyclic covering code on ``length`` bits, ``free`` further bits as they are; without a generator every word is an anchor."""
+
+    length: int
+    generator: int = 0
+    radius: int = 0
+    free: int = 0
+
+    def remainder(self, word: int) -> int:
+        degree = self.generator.bit_length() - 1
+        for i in range(self.length - 1, degree - 1, -1):
+            if word >> i & 1:
+                word ^= self.generator << (i - degree)
+        return word
+
+
+#: Generator polynomials and covering radii of the binary Golay code and of the Hamming code of 15 bits.
+GOLAY = Code(23, 0b110001110101, 3)
+HAMMING = Code(15, 0b10011, 1, 1)
+
+
+def layout(max_bits: int) -> list[tuple[int, Code, int]]:
+    """The blocks of a fingerprint, ``(first bit, code, reach)``: the sum of (reach + 1) exceeds ``max_bits``, so any pair within that has a block within its reach."""
+    blocks = [(0, GOLAY), (23, GOLAY), (46, Code(18))] if max_bits <= 4 else [(16 * i, HAMMING) for i in range(4)]
+    coded = [i for i, (_, code) in enumerate(blocks) if code.generator]
+    spare = max(0, max_bits + 1 - len(blocks))
+    reach = {i: spare // len(coded) + (n < spare % len(coded)) for n, i in enumerate(coded)}
+    return [(low, code, reach.get(i, 0)) for i, (low, code) in enumerate(blocks)]
 
 
 def simhash(text: str | None, shingle: int = 4) -> int:
@@ -52,20 +78,13 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(run, "id long, fp long")
 
 
-def reaches(max_bits: int) -> tuple[int, int, int]:
-    """Differing bits to look for per block, so that any pair within ``max_bits`` has a block within its own: the sum of (reach + 1) exceeds ``max_bits``."""
-    spare = max(0, max_bits + 1 - 3)
-    first = -(-spare // 2)
-    return (first, spare - first, 0)
-
-
 @lru_cache
-def coset_patterns(reach: int) -> list[np.ndarray]:
-    """For each Golay syndrome, the differences to all codewords within covering radius plus ``reach``, the nearest first."""
-    columns = [_remainder(1 << i) for i in range(GOLAY_BITS)]
-    found: list[list[int]] = [[] for _ in range(2048)]
-    for weight in range(GOLAY_RADIUS + reach + 1):
-        for bits in combinations(range(GOLAY_BITS), weight):
+def coset_patterns(code: Code, reach: int) -> list[np.ndarray]:
+    """For each syndrome, the differences to all codewords within covering radius plus ``reach``, the nearest first."""
+    columns = [code.remainder(1 << i) for i in range(code.length)] + [0] * code.free
+    found: list[list[int]] = [[] for _ in range(1 << code.generator.bit_length() - 1)]
+    for weight in range(code.radius + reach + 1):
+        for bits in combinations(range(len(columns)), weight):
             syndrome, word = 0, 0
             for i in bits:
                 syndrome ^= columns[i]
@@ -74,25 +93,18 @@ def coset_patterns(reach: int) -> list[np.ndarray]:
     return [np.array(x, np.int64) for x in found]
 
 
-def _remainder(word: int) -> int:
-    for i in range(GOLAY_BITS - 1, 10, -1):
-        if word >> i & 1:
-            word ^= GOLAY_POLYNOMIAL << (i - 11)
-    return word
-
-
 def anchored(fps: np.ndarray, max_bits: int) -> pd.DataFrame:
     """Each fingerprint at its anchors: ``row, block, anchor, home``; home is the nearest anchor of the block."""
     out = []
-    for block, ((low, width), reach) in enumerate(zip(BLOCKS, reaches(max_bits))):
-        part = (fps >> np.uint64(low) & np.uint64((1 << width) - 1)).astype(np.int64)
-        if width != GOLAY_BITS:
+    for block, (low, code, reach) in enumerate(layout(max_bits)):
+        part = (fps >> np.uint64(low) & np.uint64((1 << code.length + code.free) - 1)).astype(np.int64)
+        if not code.generator:
             out.append((np.arange(len(fps)), np.full(len(fps), block), part, np.ones(len(fps), bool)))
             continue
         syndrome = np.zeros(len(fps), np.int64)
-        for i in range(GOLAY_BITS):
-            syndrome ^= np.where(part >> i & 1, _remainder(1 << i), 0)
-        table = coset_patterns(reach)
+        for i in range(code.length):
+            syndrome ^= np.where(part >> i & 1, code.remainder(1 << i), 0)
+        table = coset_patterns(code, reach)
         sizes = np.array([len(x) for x in table])
         firsts, flat = np.concatenate(([0], np.cumsum(sizes)[:-1])), np.concatenate(table)
         n = sizes[syndrome]
@@ -117,61 +129,97 @@ def forest(src: np.ndarray, dst: np.ndarray, n: int) -> tuple[np.ndarray, np.nda
     return member, label[member]
 
 
-def linked_classes(classes: DataFrame, max_bits: int = 4, unit: int = 1024, bucket_rows: int = 16384) -> DataFrame:
-    """Edges ``src, dst`` between the nodes of ``classes`` (``node, fp``: distinct fingerprints) that join what links within ``max_bits``.
+def linked_classes(classes: DataFrame, max_bits: int = 4, sure_bits: int | None = None, unit: int = 1024, bucket_rows: int = 16384) -> DataFrame:
+    """Edges ``src, dst, sure`` between the nodes of ``classes`` (``node, fp``: distinct fingerprints) within ``max_bits``.
 
     A fingerprint goes to every anchor within covering radius plus reach, per block; at each anchor those
-    at home there are compared with all. Only a forest of each comparison is returned: no link between
-    components is lost, and a group of n fingerprints gives under n edges.
+    at home there are compared with all. Of the links within ``sure_bits`` (all, if None) a forest of each
+    comparison is returned: no link between components is lost, and a group of n fingerprints gives under
+    n edges. Of those beyond, to be verified, the closest pair of any two such components.
     """
+    sure_bits = max_bits if sure_bits is None else sure_bits
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             node, fp = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1).to_numpy(zero_copy_only=False)
-            for at in range(0, len(fp), 8192):
-                x = anchored(fp[at : at + 8192].view(np.uint64), max_bits)
-                yield pa.RecordBatch.from_arrays([pa.array((x.block.to_numpy() << 23 | x.anchor.to_numpy()).astype(np.int32)), pa.array(x.home), pa.array(node[at + x.row.to_numpy()]), pa.array(fp[at + x.row.to_numpy()])], ["anchor", "home", "node", "fp"])
+            for at in range(0, len(fp), 4096):
+                x = anchored(fp[at : at + 4096].view(np.uint64), max_bits)
+                row = at + x.row.to_numpy()
+                yield pa.RecordBatch.from_arrays([pa.array((x.block.to_numpy() << 23 | x.anchor.to_numpy()).astype(np.int32)), pa.array(x.home), pa.array(node[row]), pa.array(fp[row])], ["anchor", "home", "node", "fp"])
 
     def compare(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["anchor", "lo", "hi"], kind="stable", ignore_index=True)
         key = pdf[["anchor", "lo", "hi"]].to_numpy()
         cuts = np.flatnonzero(np.concatenate(([True], (key[1:] != key[:-1]).any(1), [True])))
         node, fp, home, chunk = pdf.node.to_numpy(), pdf.fp.to_numpy().view(np.uint64), pdf.home.to_numpy(bool), pdf.chunk.to_numpy()
-        members, roots = [], []
+        found = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, bool))]
         for i, j in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
-            if j - i < 2:
-                continue
             at = np.flatnonzero(home[i:j])
-            if not len(at):
+            if j - i < 2 or not len(at):
                 continue
-            near = np.bitwise_count(fp[i:j][at][:, None] ^ fp[i:j][None, :]) <= max_bits
+            bits = np.bitwise_count(fp[i:j][at][:, None] ^ fp[i:j][None, :])
+            near = bits <= max_bits
             if key[i, 1] != key[i, 2]:
                 near &= chunk[i:j][at][:, None] != chunk[i:j][None, :]
             r, c = np.nonzero(near)
-            r = at[r]
-            member, root = forest(r[r != c], c[r != c], j - i)
-            members.append(node[i + member])
-            roots.append(node[i + root])
-        none = np.array([], np.int64)
-        return pd.DataFrame({"src": np.concatenate(members or [none]), "dst": np.concatenate(roots or [none])})
+            r, bits = at[r], bits[r, c]
+            keep = r != c
+            r, c, bits = r[keep], c[keep], bits[keep]
+            sure = bits <= sure_bits
+            member, root = forest(r[sure], c[sure], j - i)
+            found.append((node[i + member], node[i + root], np.ones(len(member), bool)))
+            if not sure.all():
+                label = np.arange(j - i)
+                label[member] = root
+                r, c, bits = r[~sure], c[~sure], bits[~sure]
+                low, high = np.minimum(label[r], label[c]), np.maximum(label[r], label[c])
+                order = np.lexsort((bits, high, low))
+                low, high, r, c = low[order], high[order], r[order], c[order]
+                first = np.concatenate(([True], (low[1:] != low[:-1]) | (high[1:] != high[:-1]))) & (low != high)
+                found.append((node[i + r[first]], node[i + c[first]], np.zeros(first.sum(), bool)))
+        return pd.DataFrame(dict(zip(("src", "dst", "sure"), map(np.concatenate, zip(*found)))))
 
     dealt = pair_units(classes.select("node", "fp").mapInArrow(spread, "anchor int, home boolean, node long, fp long"), ["anchor"], F.col("node"), unit)
-    rows = classes.count() * 12
-    buckets = max(1, -(-rows // bucket_rows))
-    return dealt.withColumn("bucket", F.pmod(F.xxhash64("anchor", "lo", "hi"), F.lit(buckets))).groupBy("bucket").applyInPandas(compare, "src long, dst long")
+    copies = sum(np.mean([len(x) for x in coset_patterns(code, reach)]) if code.generator else 1 for _, code, reach in layout(max_bits))
+    buckets = int(classes.count() * copies / bucket_rows) + 1
+    return dealt.withColumn("bucket", F.pmod(F.xxhash64("anchor", "lo", "hi"), F.lit(buckets))).groupBy("bucket").applyInPandas(compare, "src long, dst long, sure boolean")
+
+
+def similar_pairs(docs: DataFrame, pairs: DataFrame, shingle: int, min_similarity: float) -> DataFrame:
+    """Those of ``pairs`` (``src, dst``: ids) whose whole texts have a Jaccard similarity of ``min_similarity`` or more on word shingles."""
+
+    def shingles(text: str | None) -> set[bytes]:
+        words = (text or "").encode().lower().split()
+        return {b" ".join(words[i : i + shingle]) for i in range(max(1, len(words) - shingle + 1))}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            good = []
+            for a, b in zip(map(shingles, batch.column(2).to_pylist()), map(shingles, batch.column(3).to_pylist())):
+                good.append(len(a & b) >= min_similarity * len(a | b))
+            yield pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array(good)), batch.column(1).filter(pa.array(good))], ["src", "dst"])
+
+    left = pairs.join(docs.select(F.col("id").alias("src"), F.col("text").alias("a")), "src")
+    return left.join(docs.select(F.col("id").alias("dst"), F.col("text").alias("b")), "dst").select("src", "dst", "a", "b").mapInArrow(run, "src long, dst long")
 
 
-def simhash_near_dup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, max_bits: int = 4) -> DataFrame:
+def simhash_near_dup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, max_bits: int = 4, sure_bits: int | None = None, min_similarity: float = 0.8) -> DataFrame:
     """One row per document: ``doc_id, fp, component_id``.
 
-    Documents link when their fingerprints differ in at most ``max_bits`` bits; ``component_id`` is the
-    smallest id reachable, the document's own included. Equal fingerprints are one class before any
-    comparison. A null or wordless text has fingerprint 0 and links like any other; a row whose id is
-    null is returned with a null component and links nothing; repeated rows are returned as often as
-    they come; an empty table gives no rows; other columns are not read.
+    Documents link when their fingerprints differ in at most ``max_bits`` bits; with ``sure_bits``, links of
+    more bits than that hold only if the texts' Jaccard similarity on shingles is at least
+    ``min_similarity``. ``component_id`` is the smallest id reachable, the document's own included. Equal
+    fingerprints are one class before any comparison. A null or wordless text has fingerprint 0 and links
+    like any other; a row whose id is null is returned with a null component and links nothing; repeated
+    rows are returned as often as they come; an empty table gives no rows; other columns are not read.
     """
     prints = written(fingerprints(docs, id_col, text_col, shingle), "fp")
     classes = written(prints.where("id is not null").groupBy("fp").agg(F.min("id").alias("node")).select("node", "fp"), "classes")
-    found = components(linked_classes(classes, max_bits))
+    edges = linked_classes(classes, max_bits, sure_bits)
+    if sure_bits is not None:
+        edges = written(edges.distinct(), "pairs")
+        texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+        edges = edges.where("sure").select("src", "dst").unionByName(similar_pairs(texts, edges.where("not sure").select("src", "dst"), shingle, min_similarity))
+    found = components(edges)
     named = classes.join(found, "node", "left").select("fp", F.coalesce("component", "node").alias("component_id"))
     return prints.join(named, "fp", "left").select(F.col("id").alias(id_col), "fp", F.when(F.col("id").isNotNull(), F.col("component_id")).alias("component_id"))
