@@ -16,6 +16,7 @@ from corvia.llm.mixing import mix_sources
 from corvia.llm.packing import best_fit_pack
 from corvia.llm.quality import classify_quality
 from corvia.llm.simhash import simhash_near_dup
+from corvia.llm.suffixes import drop_earlier_strings
 from corvia.llm.topk import top_k
 
 
@@ -59,6 +60,10 @@ def op9_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(read(spark, sf_dir, "documents"), alpha=0.5, size=1.0, seed=42).select("doc_id", "source", "copy", "shuffle_key", "text")
 
 
+def op10_suffix_grouping_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return drop_earlier_strings(read(spark, sf_dir, "documents").select("doc_id", "text"), length=50).drop("kept")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_topk_pivot_distance": op1_topk_pivot_distance,
     "op2_quality_gam": op2_quality_gam,
@@ -69,6 +74,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_subspace_near_dup": op7_subspace_near_dup,
     "op8_best_fit_pack": op8_best_fit_pack,
     "op9_mix_sources": op9_mix_sources,
+    "op10_suffix_grouping_dedup": op10_suffix_grouping_dedup,
 }
 
 OP1_SQL = """
