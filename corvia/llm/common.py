@@ -12,6 +12,9 @@ from pyspark.sql import functions as F
 #: Words are runs of anything but these six bytes (space, tab, LF, VT, FF, CR).
 WORD = r"[^\x20\x09-\x0D]+"
 
+#: Removes an execution's shuffle files when it ends.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 _own_folder: list[str] = []
 
 
@@ -30,8 +33,12 @@ def written(df: DataFrame, what: str = "t") -> DataFrame:
     """Write ``df`` as Parquet to the shared folder and read it back: lineage ends here, and lost executors lose nothing."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{what}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    spark.sparkContext._jvm.System.gc()  # the cleaner then removes the shuffle files of what is written now
+    before = spark.conf.get(CLEANUP)
+    spark.conf.set(CLEANUP, "true")  # the shuffle files of what is written are not needed any more
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -54,9 +54,10 @@ def linked_vectors(classes: DataFrame, dims: int, threshold: float, width: int =
     ``classes`` is ``node, size, v``, vectors all different. If two unit vectors are within the threshold's
     distance, in some block they are within that block's share of it. Each block is range-joined: its
     first coordinate is cut into strips twice as wide as the block's reach, a vector goes to its own strip
-    and to those its reach touches; in a strip the second coordinate bounds the partners, the block's
-    squared distance picks the candidates and the cosine of the whole vectors decides. A pair counts once:
-    in the first block that it meets, in the strip of its smaller node.
+    and to a lower one that its reach touches, so that two vectors meet once, in the lower strip of theirs;
+    there the second coordinate bounds the partners, the block's squared distance (in single precision,
+    with a margin) picks the candidates and the cosine of the whole vectors decides. A pair counts in the
+    first block that it meets.
     """
     spaces = Subspaces(dims, threshold, width)
 
@@ -67,8 +68,8 @@ def linked_vectors(classes: DataFrame, dims: int, threshold: float, width: int =
                 turned = units_of(matrix(part.column(2), dims)) @ spaces.turn
                 for block, (cut, budget) in enumerate(zip(spaces.cuts, spaces.budgets)):
                     reach = np.sqrt(budget)
-                    own, low, high = (np.floor(x / (2 * reach)).astype(np.int64) for x in (turned[:, cut[0]], turned[:, cut[0]] - reach, turned[:, cut[0]] + reach))
-                    n = high - low + 1
+                    own, low = (np.floor(x / (2 * reach)).astype(np.int64) for x in (turned[:, cut[0]], turned[:, cut[0]] - reach))
+                    n = own - low + 1
                     row = np.repeat(np.arange(len(own)), n)
                     strip = low[row] + np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
                     take = pa.array(row)
@@ -79,27 +80,30 @@ def linked_vectors(classes: DataFrame, dims: int, threshold: float, width: int =
         v = matrix(list(pdf.v), dims)
         turned = units_of(v) @ spaces.turn
         cut, budget = spaces.cuts[block], spaces.budgets[block]
-        order = np.argsort(turned[:, cut[min(1, len(cut) - 1)]], kind="stable")
+        along = cut[min(1, len(cut) - 1)]
+        order = np.lexsort((turned[:, along], ~pdf.home.to_numpy(bool)))  # those at home first, each part along the second coordinate
         pdf, v, turned = pdf.iloc[order], v[order], turned[order]
-        node, size, home, chunk = pdf.node.to_numpy(), pdf["size"].to_numpy(), np.flatnonzero(pdf.home.to_numpy(bool)), pdf.chunk.to_numpy()
-        second, part = turned[:, cut[min(1, len(cut) - 1)]], turned[:, cut]
+        node, size, chunk, home = pdf.node.to_numpy(), pdf["size"].to_numpy(), pdf.chunk.to_numpy(), int(pdf.home.sum())
+        second, part, reach = turned[:, along], turned[:, cut], np.sqrt(budget)
         norms = (part * part).sum(1)
-        left, right = np.column_stack([-2 * part, norms, np.ones(len(part))]), np.column_stack([part, np.ones(len(part)), norms]).T.copy()
+        left, right = np.column_stack([-2 * part, norms, np.ones(len(part))]).astype(np.float32), np.column_stack([part, np.ones(len(part)), norms]).T.astype(np.float32).copy()
         links, members, roots = np.zeros(len(node)), np.zeros(0, np.int64), np.zeros(0, np.int64)
-        for at in range(0, len(home), 256):
-            rows = home[at : at + 256]
-            i, j = np.searchsorted(second, (second[rows[0]] - np.sqrt(budget), second[rows[-1]] + np.sqrt(budget)))
-            r, c = np.nonzero(left[rows] @ right[:, i:j] <= budget)
-            r, c = rows[r], c + i
-            keep = (node[r] < node[c]) & ((chunk[r] != chunk[c]) if apart else True)
-            r, c = r[keep], c[keep]
-            for k in range(0, len(r), 65536):
-                a, b = r[k : k + 65536], c[k : k + 65536]
-                good = (spaces.first_met(turned[a], turned[b]) == block) & (cosines(v[a], v[b]) >= threshold)
-                a, b = a[good], b[good]
-                if len(a):
-                    links += np.bincount(a, size[b], len(node)) + np.bincount(b, size[a], len(node))
-                    members, roots = forest(np.concatenate([members, a]), np.concatenate([roots, b]), len(node))
+        for at in range(0, home, 256):
+            end = min(at + 256, home)
+            up = int(np.searchsorted(second[:home], second[end - 1] + reach, side="right"))
+            i, j = (home + np.searchsorted(second[home:], (second[at] - reach, second[end - 1] + reach))).tolist()
+            for first, last in ((at, up), (i, j + 1)):
+                r, c = np.divmod(np.flatnonzero((left[at:end] @ right[:, first:last] <= np.float32(budget + 1e-5)).ravel()), max(1, min(last, len(node)) - first))
+                r, c = r + at, c + first
+                keep = ((c > r) if first == at else (c >= home)) & ((chunk[r] != chunk[c]) if apart else True)
+                r, c = r[keep], c[keep]
+                for k in range(0, len(r), 65536):
+                    a, b = r[k : k + 65536], c[k : k + 65536]
+                    good = (spaces.first_met(turned[a], turned[b]) == block) & (cosines(v[a], v[b]) >= threshold)
+                    a, b = a[good], b[good]
+                    if len(a):
+                        links += np.bincount(a, size[b], len(node)) + np.bincount(b, size[a], len(node))
+                        members, roots = forest(np.concatenate([members, a]), np.concatenate([roots, b]), len(node))
         root = np.arange(len(node))
         root[members] = roots
         linked = np.flatnonzero(links)

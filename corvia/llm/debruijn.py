@@ -13,60 +13,135 @@ from pyspark.sql import functions as F
 
 from corvia.llm.common import keyed, ranges_by_document, written
 
+#: Words that are hashed together to choose the piece a k-mer belongs to, and the most k-mers in a piece.
+SEED_WORDS, MOST_EDGES = 8, 512
 _FACTOR = np.uint64(0x9E3779B97F4A7C15)
 
 
-def edge_hashes(words: list[bytes], k: int) -> np.ndarray:
-    """The 64-bit hash of each run of ``k`` words."""
-    n = len(words) - k + 1
+def word_hashes(words: list[bytes]) -> np.ndarray:
+    return np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words))
+
+
+def run_hashes(each: np.ndarray, k: int) -> np.ndarray:
+    """The 64-bit hash of each run of ``k`` words, from the words' hashes."""
+    n = len(each) - k + 1
     if n < 1:
-        return np.zeros(0, np.int64)
-    digest = xxhash.xxh64_intdigest
-    each = np.fromiter(map(digest, words), np.uint64, len(words))
+        return np.zeros(0, np.uint64)
     total = np.zeros(n, np.uint64)
     for i in range(k):
         total *= _FACTOR
         total += each[i : i + n]
     total ^= total >> np.uint64(31)
-    return (total * np.uint64(0xBF58476D1CE4E5B9)).view(np.int64)
-
+    return total * np.uint64(0xBF58476D1CE4E5B9)
+
+
+def pieces(each: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``(seed, start, edges)``: neighbouring k-mers with the same least hash of ``SEED_WORDS`` words in them. Equal k-mers have the same seed wherever they stand."""
+    if len(each) < k:
+        return (np.zeros(0, np.int64),) * 3
+    m = min(SEED_WORDS, k)
+    least, width, span = run_hashes(each, m), 1, k - m + 1
+    while 2 * width <= span:
+        least = np.minimum(least[:-width], least[width:])
+        width *= 2
+    if span > width:
+        least = np.minimum(least[: len(least) - (span - width)], least[span - width :])
+    cut = np.concatenate(([True], least[1:] != least[:-1]))
+    cut |= (np.arange(len(cut)) - np.maximum.accumulate(np.where(cut, np.arange(len(cut)), 0))) % MOST_EDGES == 0
+    starts = np.flatnonzero(cut)
+    return least[starts].view(np.int64), starts, np.diff(np.concatenate((starts, [len(least)])))
+
+
+def repeated_pieces(docs: DataFrame, k: int) -> DataFrame:
+    """``seed, edges, ph, id, th, start``: the pieces whose seed stands at two places or more; no other k-mer can be repeated. ``edges`` are the hashes of the k-mers, 8 bytes each, ``ph`` the hash of those."""
+
+    def twice(each: np.ndarray) -> np.ndarray:
+        """The seeds of a text's pieces; once more those of k-mers that the text repeats itself, which may be in one piece."""
+        seed, start, _ = pieces(each, k)
+        edges = run_hashes(each, k)
+        if len(np.unique(edges)) == len(edges):
+            return seed
+        order = np.argsort(edges, kind="stable")
+        again = order[1:][edges[order[1:]] == edges[order[:-1]]]
+        return np.concatenate((seed, seed[np.searchsorted(start, again, side="right") - 1]))
+
+    def seeds_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
+                found = [twice(word_hashes(t.encode().split())) for t in part.column(1).to_pylist()]
+                each = [np.unique(x, return_counts=True) for x in found]
+                rows = pa.array(np.repeat(np.arange(len(each)), [len(x) for x, _ in each]))
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([x for x, _ in each])), part.column(0).take(rows), pa.array(np.concatenate([n for _, n in each]).astype(np.int32))], ["seed", "id", "n"])
 
-def edges(keyed_docs: DataFrame, k: int) -> DataFrame:
-    """``h, id, th, pos``: an edge of the graph for each k-mer, from its first k-1 words to its last, where it stands."""
+    seeds = docs.select("id", "text").mapInArrow(seeds_of, "seed long, id long, n int")
+    often = written(seeds.groupBy("seed").agg(F.sum("n").alias("n")).where("n > 1").select("seed"), "often")
+    wanted = written(seeds.join(often, "seed", "left_semi").groupBy("id").agg(F.collect_set("seed").alias("seeds")), "seeds")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 64):
-                part = batch.slice(at, 64)
-                found = [edge_hashes(t.encode().split(), k) for t in part.column(2).to_pylist()]
-                n = np.array(list(map(len, found)))
-                own = pa.array(np.repeat(np.arange(len(n)), n))
-                pos = np.concatenate([np.arange(x, dtype=np.int32) for x in n])
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found)), part.column(0).take(own), part.column(1).take(own), pa.array(pos)], ["h", "id", "th", "pos"])
-
-    return keyed_docs.select("id", "th", "text").mapInArrow(run, "h long, id long, th long, pos int")
+            for at in range(0, batch.num_rows, 128):
+                part, rows = batch.slice(at, 128), []
+                for doc, th, text, seeds in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), part.column(2).to_pylist(), part.column(3)):
+                    each = word_hashes(text.encode().split())
+                    seed, start, n = pieces(each, k)
+                    keep = np.isin(seed, seeds.values.to_numpy())
+                    raw = run_hashes(each, k).tobytes()
+                    rows += [(x, raw[8 * a : 8 * (a + m)], doc, th, a) for x, a, m in zip(seed[keep].tolist(), start[keep].tolist(), n[keep].tolist())]
+                if rows:
+                    edges = [x[1] for x in rows]
+                    hashes = pa.array([xxhash.xxh64_intdigest(x) - (1 << 63) for x in edges], pa.int64())
+                    yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in rows], pa.int64()), pa.array(edges, pa.binary()), hashes, pa.array([x[2] for x in rows], pa.int64()), pa.array([x[3] for x in rows], pa.int64()), pa.array([x[4] for x in rows], pa.int32())], ["seed", "edges", "ph", "id", "th", "start"])
+
+    return docs.join(wanted, "id").select("id", "th", "text", "seeds").mapInArrow(run, "seed long, edges binary, ph long, id long, th long, start int")
 
 
 def repeated_paths(docs: DataFrame, k: int) -> DataFrame:
     """``id, th, start, n, path``: where the compacted paths of repeated edges stand; ``n`` edges from edge ``start``, ``path`` its first edge.
 
-    An edge that is seen once is none of the graph. Where every place of an edge has the same edge before
-    and after it, the path goes on; where they differ, or a document or its repeated part ends, it
-    branches. So each place of a path has all of it, and its first edge names it. The edges' in and out
-    degrees are aggregates by edge, joined back to the places.
+    Each k-mer is an edge of the graph, from its first k-1 words to its last. Equal pieces are one, with
+    the number of their places; the edges of the pieces are counted by these, and edges of one place are
+    none of the graph. Where every place of an edge has the same edge before and after it, the path goes
+    on; where they differ, or a piece or its repeated part ends, it branches. So each place of a path has
+    all of it, and its first edge names it. In and out degrees are aggregates by edge, joined back to the
+    edges of the pieces, and the paths of a piece to its places in the documents.
     """
-    often = edges(docs, k).groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("h")
-    places = written(edges(docs, k).join(often, "h", "left_semi").distinct(), "places")
-    order = Window.partitionBy("id", "th").orderBy("pos")
+    places = written(repeated_pieces(docs, k), "places")
+    distinct = written(places.groupBy("seed", "ph", "edges").agg(F.count(F.lit(1)).alias("m")), "pieces")
+    alone = distinct.groupBy("seed").agg(F.count(F.lit(1)).alias("pieces"), F.max("m").alias("places")).where("pieces = 1 and places > 1").select("seed")
+    piece = ["seed", "ph"]
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n = pa.array([len(x) // 8 for x in batch.column(2).to_pylist()], pa.int32())
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(np.zeros(batch.num_rows, np.int32)), n, pa.array([int.from_bytes(x[:8], "little", signed=True) for x in batch.column(2).to_pylist()], pa.int64())], ["seed", "ph", "first", "n", "path"])
+
+    runs_schema = "seed long, ph long, first int, n int, path long"
+    simple = distinct.join(alone, "seed", "left_semi").select("seed", "ph", "edges").mapInArrow(whole, runs_schema)
+
+    def edges_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 1024):
+                part = batch.slice(at, 1024)
+                raw = part.column(2).to_pylist()
+                n = np.array([len(x) // 8 for x in raw])
+                own = pa.array(np.repeat(np.arange(len(n)), n))
+                pos = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+                yield pa.RecordBatch.from_arrays([part.column(0).take(own), part.column(1).take(own), part.column(3).take(own), pa.array(pos.astype(np.int32)), pa.array(np.frombuffer(b"".join(raw), np.int64))], ["seed", "ph", "m", "pos", "h"])
+
+    edges = distinct.join(alone, "seed", "left_anti").select("seed", "ph", "edges", "m").mapInArrow(edges_of, "seed long, ph long, m long, pos int, h long")
+    often = edges.groupBy("h").agg(F.sum("m").alias("n")).where("n > 1").select("h")
+    graph = written(edges.join(often, "h", "left_semi").select(*piece, "pos", "h"), "graph")
+    order = Window.partitionBy(*piece).orderBy("pos")
     before = F.when(F.lag("pos").over(order) == F.col("pos") - 1, F.lag("h").over(order))
     after = F.when(F.lead("pos").over(order) == F.col("pos") + 1, F.lead("h").over(order))
-    around = places.withColumns({"before": before, "after": after})
-    branches = lambda c: (F.min(c) != F.max(c)) | F.bool_or(F.col(c).isNull())
-    degrees = around.groupBy("h").agg(F.coalesce(branches("before"), F.lit(True)).alias("opens"), F.coalesce(branches("after"), F.lit(True)).alias("ends"))
-    marked = places.join(degrees, "h")
+    branches = lambda c: F.coalesce((F.min(c) != F.max(c)) | F.bool_or(F.col(c).isNull()), F.lit(True))
+    degrees = written(graph.withColumns({"before": before, "after": after}).groupBy("h").agg(branches("before").alias("opens"), branches("after").alias("ends")), "degrees")
     starts = F.col("opens") | F.coalesce(F.lag("ends").over(order), F.lit(True)) | (F.coalesce(F.lag("pos").over(order), F.lit(-2)) != F.col("pos") - 1)
-    runs = marked.withColumn("first", starts).withColumn("run", F.sum(F.col("first").cast("int")).over(order))
-    return runs.groupBy("id", "th", "run").agg(F.min("pos").alias("start"), F.count(F.lit(1)).cast("int").alias("n"), F.max(F.when(F.col("first"), F.col("h"))).alias("path")).drop("run")
+    runs = graph.join(degrees, "h").withColumn("opened", starts).withColumn("run", F.sum(F.col("opened").cast("int")).over(order))
+    compacted = runs.groupBy(*piece, "run").agg(F.min("pos").alias("first"), F.count(F.lit(1)).cast("int").alias("n"), F.max(F.when(F.col("opened"), F.col("h"))).alias("path")).select(*piece, "first", "n", "path")
+    found = written(compacted.unionByName(simple), "paths")
+    return places.select(*piece, "id", "th", "start").join(found, piece).select("id", "th", (F.col("start") + F.col("first")).alias("start"), "n", "path")
 
 
 def verified(docs: DataFrame, paths: DataFrame, k: int) -> DataFrame:

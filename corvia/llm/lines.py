@@ -15,30 +15,39 @@ from corvia.llm.common import written
 
 ANY = "<*>"
 _FIELD = re.compile(rb"[^\x20\x09-\x0D]*[0-9][^\x20\x09-\x0D]*")
+_DIGIT = re.compile(rb"[0-9]").search
 
 
-def parsed(line: str, depth: int) -> tuple[int, int, int, str]:
-    """``(tokens, leaf, whole, template)`` of a line: its token count, the hash of the tree's path to its leaf, the hash of the line and the line itself, both with every token that holds a digit as a variable field."""
-    tokens = _FIELD.sub(ANY.encode(), line.encode()).split()
-    whole = b" ".join(tokens)
-    leaf = xxhash.xxh64_intdigest(b"%d " % len(tokens) + b" ".join(tokens[:depth]))
-    return len(tokens), leaf - (1 << 63), xxhash.xxh64_intdigest(whole) - (1 << 63), whole.decode()
+def parsed(line: bytes) -> list[bytes]:
+    """The tokens of a line; one that holds a digit is a variable field."""
+    return (line if _DIGIT(line) is None else _FIELD.sub(ANY.encode(), line)).split()
+
+
+def _hash(tokens: bytes) -> int:
+    return xxhash.xxh64_intdigest(tokens) - (1 << 63)
+
+
+def leaf_of(tokens: list[bytes], depth: int) -> int:
+    """The hash of the path to a line's leaf: its token count and leading tokens."""
+    return _hash(b"%d " % len(tokens) + b" ".join(tokens[:depth]))
 
 
 def _parsed_lines(docs: DataFrame, depth: int, min_tokens: int, full: bool) -> DataFrame:
     """``leaf, id`` or, if ``full``, ``leaf, id, whole, line``: each once per document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["leaf", "id", "whole", "line"][: 4 if full else 2]
+        types = (pa.int64(), pa.int64(), pa.int64(), pa.string())[: 4 if full else 2]
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 part, rows = batch.slice(at, 512), []
                 for doc, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
-                    lines = {x for x in (text or "").split("\n")}
-                    found = [(leaf, doc, whole, line) for n, leaf, whole, line in (parsed(x, depth) for x in lines) if n >= min_tokens]
-                    rows += dict.fromkeys(found if full else (x[:2] for x in found))
+                    lines = [t for t in map(parsed, (text or "").encode().split(b"\n")) if len(t) >= min_tokens]
+                    if full:
+                        rows += [(leaf_of(t, depth), doc, _hash(line), line.decode()) for line, t in {b" ".join(t): t for t in lines}.items()]
+                    else:
+                        rows += [(leaf, doc) for leaf in {leaf_of(t, depth) for t in lines}]
                 if rows:
-                    yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), (pa.int64(), pa.int64(), pa.int64(), pa.string()))], names)
+                    yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), types)], ["leaf", "id", "whole", "line"][: len(types)])
 
     return docs.mapInArrow(run, "leaf long, id long, whole long, line string" if full else "leaf long, id long")
 
@@ -88,12 +97,11 @@ def drop_recurring_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str
         for batch in batches:
             texts, n_lines, n_dropped = [], [], []
             for text, drop in zip(batch.column(at).to_pylist(), batch.column(batch.num_columns - 1).to_pylist()):
-                lines = text.split("\n") if text is not None else []
-                left = lines
+                lines = left = text.encode().split(b"\n") if text is not None else []
                 if drop:
                     gone = set(drop)
-                    left = [x for x in lines if (p := parsed(x, depth))[0] < min_tokens or p[2] not in gone]
-                texts.append("\n".join(left) if text is not None else None)
+                    left = [x for x in lines if len(t := parsed(x)) < min_tokens or _hash(b" ".join(t)) not in gone]
+                texts.append(text if len(left) == len(lines) else b"\n".join(left).decode())
                 n_lines.append(len(lines))
                 n_dropped.append(len(lines) - len(left))
             arrays = [pa.array(texts, pa.string()) if i == at else c for i, c in enumerate(batch.columns[:-1])]

@@ -14,7 +14,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corvia.llm.common import pair_units, written
+from corvia.llm.common import written
 from corvia.llm.graph import components
 
 
@@ -114,6 +114,13 @@ def anchored(fps: np.ndarray, max_bits: int) -> pd.DataFrame:
     return pd.DataFrame({k: np.concatenate([x[i] for x in out]) for i, k in enumerate(("row", "block", "anchor", "home"))})
 
 
+def at_home(fps: np.ndarray, block: int, anchor: int, max_bits: int) -> np.ndarray:
+    """Whether ``anchor`` is the nearest of its block to each fingerprint."""
+    low, code, _ = layout(max_bits)[block]
+    off = (fps >> np.uint64(low) & np.uint64((1 << code.length + code.free) - 1)).astype(np.int64) ^ anchor
+    return (np.bitwise_count(off & (1 << code.length) - 1) <= code.radius) & (off >> code.length == 0)
+
+
 def forest(src: np.ndarray, dst: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
     """Star edges (member, root) that connect the same of ``n`` nodes as the edges src-dst."""
     label = np.arange(n)
@@ -139,35 +146,63 @@ def linked_classes(classes: DataFrame, max_bits: int = 4, sure_bits: int | None
     """
     sure_bits = max_bits if sure_bits is None else sure_bits
 
+    def places(fps: np.ndarray) -> pd.DataFrame:
+        x = anchored(fps.view(np.uint64), max_bits)
+        return x.assign(anchor=x.block.to_numpy() << 23 | x.anchor.to_numpy())
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 4096):
+                anchor, n = np.unique(places(batch.column(0).to_numpy(zero_copy_only=False)[at : at + 4096]).anchor.to_numpy(), return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(anchor), pa.array(n)], ["anchor", "n"])
+
+    # the anchors are those of the codes, at most some hundred thousand whatever the input
+    sizes = {r.anchor: r.n for r in classes.select("fp").mapInArrow(count, "anchor long, n long").groupBy("anchor").agg(F.sum("n").alias("n")).collect()}
+    chunks_of = {k: -(-n // unit) for k, n in sizes.items() if n > unit}
+    hot, hot_chunks = np.array(sorted(chunks_of), np.int64), np.array([chunks_of[k] for k in sorted(chunks_of)], np.int64)
+    buckets = sum(n * chunks_of.get(k, 1) for k, n in sizes.items()) // bucket_rows + 1
+
+    def chunked(fps: np.ndarray, chunks: np.ndarray) -> np.ndarray:
+        return (fps.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)).astype(np.int64) % chunks
+
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            node, fp = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1).to_numpy(zero_copy_only=False)
-            for at in range(0, len(fp), 4096):
-                x = anchored(fp[at : at + 4096].view(np.uint64), max_bits)
-                row = at + x.row.to_numpy()
-                yield pa.RecordBatch.from_arrays([pa.array((x.block.to_numpy() << 23 | x.anchor.to_numpy()).astype(np.int32)), pa.array(x.home), pa.array(node[row]), pa.array(fp[row])], ["anchor", "home", "node", "fp"])
+            for at in range(0, batch.num_rows, 4096):
+                fps = batch.column(0).to_numpy(zero_copy_only=False)[at : at + 4096]
+                x = places(fps)
+                anchor, fp, n = x.anchor.to_numpy(), fps[x.row.to_numpy()], np.ones(len(x), np.int64)
+                if len(hot):
+                    i = np.minimum(np.searchsorted(hot, anchor), len(hot) - 1)
+                    n = np.where(hot[i] == anchor, hot_chunks[i], 1)
+                own = chunked(fp, n)
+                row = np.repeat(np.arange(len(n)), n)
+                other = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
+                low, high = np.minimum(own[row], other), np.maximum(own[row], other)
+                key = anchor[row] << 36 | low << 18 | high
+                yield pa.RecordBatch.from_arrays([pa.array(((key * 0x9E3779B1) >> 20) % buckets), pa.array(key), pa.array(fp[row])], ["bucket", "key", "fp"])
 
     def compare(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["anchor", "lo", "hi"], kind="stable", ignore_index=True)
-        key = pdf[["anchor", "lo", "hi"]].to_numpy()
-        cuts = np.flatnonzero(np.concatenate(([True], (key[1:] != key[:-1]).any(1), [True])))
-        node, fp, home, chunk = pdf.node.to_numpy(), pdf.fp.to_numpy().view(np.uint64), pdf.home.to_numpy(bool), pdf.chunk.to_numpy()
+        order = np.argsort(pdf.key.to_numpy(), kind="stable")
+        key, fps = pdf.key.to_numpy()[order], pdf.fp.to_numpy()[order]
+        cuts = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1], [True])))
         found = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, bool))]
         for i, j in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
-            at = np.flatnonzero(home[i:j])
-            if j - i < 2 or not len(at):
+            if j - i < 2:
                 continue
-            bits = np.bitwise_count(fp[i:j][at][:, None] ^ fp[i:j][None, :])
+            fp, anchor = fps[i:j], int(key[i]) >> 36
+            at = np.flatnonzero(at_home(fp.view(np.uint64), anchor >> 23, anchor & (1 << 23) - 1, max_bits))
+            bits = np.bitwise_count(fp[at].view(np.uint64)[:, None] ^ fp.view(np.uint64)[None, :])
             near = bits <= max_bits
-            if key[i, 1] != key[i, 2]:
-                near &= chunk[i:j][at][:, None] != chunk[i:j][None, :]
+            if int(key[i]) >> 18 & 0x3FFFF != int(key[i]) & 0x3FFFF:
+                chunk = chunked(fp, np.full(j - i, chunks_of[anchor]))
+                near &= chunk[at][:, None] != chunk[None, :]
             r, c = np.nonzero(near)
             r, bits = at[r], bits[r, c]
             keep = r != c
             r, c, bits = r[keep], c[keep], bits[keep]
             sure = bits <= sure_bits
             member, root = forest(r[sure], c[sure], j - i)
-            found.append((node[i + member], node[i + root], np.ones(len(member), bool)))
+            found.append((fp[member], fp[root], np.ones(len(member), bool)))
             if not sure.all():
                 label = np.arange(j - i)
                 label[member] = root
@@ -176,13 +211,12 @@ def linked_classes(classes: DataFrame, max_bits: int = 4, sure_bits: int | None
                 order = np.lexsort((bits, high, low))
                 low, high, r, c = low[order], high[order], r[order], c[order]
                 first = np.concatenate(([True], (low[1:] != low[:-1]) | (high[1:] != high[:-1]))) & (low != high)
-                found.append((node[i + r[first]], node[i + c[first]], np.zeros(first.sum(), bool)))
-        return pd.DataFrame(dict(zip(("src", "dst", "sure"), map(np.concatenate, zip(*found)))))
+                found.append((fp[r[first]], fp[c[first]], np.zeros(first.sum(), bool)))
+        return pd.DataFrame(dict(zip(("a", "b", "sure"), map(np.concatenate, zip(*found)))))
 
-    dealt = pair_units(classes.select("node", "fp").mapInArrow(spread, "anchor int, home boolean, node long, fp long"), ["anchor"], F.col("node"), unit)
-    copies = sum(np.mean([len(x) for x in coset_patterns(code, reach)]) if code.generator else 1 for _, code, reach in layout(max_bits))
-    buckets = int(classes.count() * copies / bucket_rows) + 1
-    return dealt.withColumn("bucket", F.pmod(F.xxhash64("anchor", "lo", "hi"), F.lit(buckets))).groupBy("bucket").applyInPandas(compare, "src long, dst long, sure boolean")
+    links = written(classes.select("fp").mapInArrow(spread, "bucket long, key long, fp long").groupBy("bucket").applyInPandas(compare, "a long, b long, sure boolean").distinct(), "pairs")
+    named = lambda end, name: classes.select(F.col("fp").alias(end), F.col("node").alias(name))
+    return links.join(named("a", "src"), "a").join(named("b", "dst"), "b").select("src", "dst", "sure")
 
 
 def similar_pairs(docs: DataFrame, pairs: DataFrame, shingle: int, min_similarity: float) -> DataFrame:
@@ -217,7 +251,6 @@ def simhash_near_dup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     classes = written(prints.where("id is not null").groupBy("fp").agg(F.min("id").alias("node")).select("node", "fp"), "classes")
     edges = linked_classes(classes, max_bits, sure_bits)
     if sure_bits is not None:
-        edges = written(edges.distinct(), "pairs")
         texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
         edges = edges.where("sure").select("src", "dst").unionByName(similar_pairs(texts, edges.where("not sure").select("src", "dst"), shingle, min_similarity))
     found = components(edges)

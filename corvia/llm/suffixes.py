@@ -142,7 +142,7 @@ def document_seeds(own: DataFrame, length: int) -> DataFrame:
 def shared_pieces(own: DataFrame, length: int) -> DataFrame:
     """``seed, piece, id, th, start, n``: the pieces whose seed documents of different ids have; no other string can be in two documents."""
     seeds = document_seeds(own, length)
-    shared = seeds.groupBy("seed").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low < high").select("seed")
+    shared = written(seeds.groupBy("seed").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low < high").select("seed"), "shared")
     wanted = written(seeds.join(shared, "seed", "left_semi").groupBy("id").agg(F.collect_set("seed").alias("seeds")), "seeds")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

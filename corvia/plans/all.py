@@ -1,5 +1,5 @@
 """Imports every module that registers queries."""
 
-from corvia.plans import matching
+from corvia.plans import corpus, matching
 
-MODULES = (matching,)
+MODULES = (corpus, matching)
