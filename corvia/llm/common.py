@@ -29,14 +29,14 @@ def shared_folder(spark: SparkSession) -> str:
     return _own_folder[0]
 
 
-def written(df: DataFrame, what: str = "t") -> DataFrame:
+def written(df: DataFrame, what: str = "t", codec: str = "snappy") -> DataFrame:
     """Write ``df`` as Parquet to the shared folder and read it back: lineage ends here, and lost executors lose nothing."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{what}-{uuid.uuid4().hex}"
     before = spark.conf.get(CLEANUP)
     spark.conf.set(CLEANUP, "true")  # the shuffle files of what is written are not needed any more
     try:
-        df.write.parquet(path)
+        df.write.parquet(path, compression=codec)
     finally:
         spark.conf.set(CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)

@@ -198,10 +198,10 @@ def removed_ranges(own: DataFrame, length: int, hot: int = 4096, bucket_pieces:
     ``hot`` different pieces, as one at the edge of a passage that very many documents share, is dealt out
     string by string and aggregated instead, so that no task needs all its pieces.
     """
-    places = written(shared_pieces(own, length).withColumn("ph", F.xxhash64("piece")), "places")
-    distinct = written(places.groupBy("seed", "ph", "piece").agg(F.min("id").alias("first")), "pieces")
+    places = written(shared_pieces(own, length).withColumn("ph", F.xxhash64("piece")), "places", "zstd")
+    distinct = written(places.groupBy("seed", "ph", "piece").agg(F.min("id").alias("first"), F.max("id").alias("last")), "pieces", "zstd")
     many = distinct.groupBy("seed").agg(F.count(F.lit(1)).alias("pieces")).where("pieces > 1")
-    apart = written(distinct.join(many, "seed"), "apart")
+    apart = written(distinct.select("seed", "ph", "piece", "first").join(many, "seed"), "apart", "zstd")
 
     def compare(pdf: pd.DataFrame) -> pd.DataFrame:
         runs = earlier_strings(list(pdf.piece), pdf["first"].to_numpy(), length)
@@ -215,10 +215,12 @@ def removed_ranges(own: DataFrame, length: int, hot: int = 4096, bucket_pieces:
     earliest = strings.groupBy("seed", "string").agg(F.min("first").alias("least"))
     one_by_one = strings.join(earliest, ["seed", "string"]).where("least < first").groupBy("seed", "ph").agg(F.collect_list(F.struct(F.col("a").cast("int").alias("a"), (F.col("a") + 1).cast("int").alias("b"))).alias("runs"))
     runs = written(in_arrays.unionByName(one_by_one), "runs")
-    named = places.select("seed", "ph", "id", "th", "start", "n").join(distinct.select("seed", "ph", "first"), ["seed", "ph"]).join(runs, ["seed", "ph"], "left")
+    marked = distinct.select("seed", "ph", "first", "last").join(runs, ["seed", "ph"], "left").where("first < last or runs is not null").drop("last")
+    named = places.select("seed", "ph", "id", "th", "start", "n").join(marked, ["seed", "ph"])
     all_of_it = F.array(F.struct(F.lit(0).alias("a"), F.col("n").alias("b")))
     gone = named.withColumn("runs", F.when(F.col("id") > F.col("first"), all_of_it).otherwise(F.col("runs"))).where("runs is not null")
-    return gone.select("id", "th", "start", F.explode("runs").alias("r")).select("id", "th", (F.col("start") + F.col("r.a")).alias("start"), (F.col("r.b") - F.col("r.a")).alias("n"))
+    each = gone.select("id", "th", "start", F.explode("runs").alias("r"))
+    return written(each.select("id", "th", (F.col("start") + F.col("r.a")).alias("start"), (F.col("r.b") - F.col("r.a")).alias("n")), "ranges", "zstd")  # before the texts are shuffled
 
 
 def drop_earlier_strings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 50) -> DataFrame:
