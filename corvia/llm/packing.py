@@ -94,29 +94,28 @@ def best_fit_decreasing(counts: dict[int, int], capacity: int) -> list[tuple[int
     for length in sorted(counts, reverse=True):
         rank, left = 0, counts[length]
         while left:
-            remaining = tree.tightest(length)
-            if remaining is None:
-                each = capacity // length
-                n = -(-left // each)  # a new bin takes them until no other fits: none is tighter
-                last = left - (n - 1) * each
-                for k in range(each):
-                    items = n if k < last else n - 1
-                    if items:
-                        runs.append((length, rank, items, bins, k * length))
-                        rank += items
-                if n > 1:
-                    _hold(tree, held, capacity - each * length, bins, n - 1)
-                _hold(tree, held, capacity - last * length, bins + n - 1, 1)
-                bins, left = bins + n, 0
-                break
-            first, n = held[remaining].pop()
-            items = min(n, left)
-            if items < n:
-                held[remaining].append((first + items, n - items))
-            tree.set(remaining, tree.open[remaining + tree.width] - items)
-            runs.append((length, rank, items, first, capacity - remaining))
-            _hold(tree, held, remaining - length, first, items)
-            rank, left = rank + items, left - items
+            space = tree.tightest(length)
+            if space is None:
+                space, first, n = capacity, bins, -(-left // (capacity // length))
+                bins += n
+            else:
+                first, most = held[space].pop()
+                n = min(most, -(-left // (space // length)))
+                if n < most:
+                    held[space].append((first + n, most - n))
+                tree.set(space, tree.open[space + tree.width] - n)
+            each = space // length  # a bin takes them until no other fits: none is tighter
+            placed = min(left, n * each)
+            last = placed - (n - 1) * each
+            for k in range(each):
+                items = n if k < last else n - 1
+                if items:
+                    runs.append((length, rank, items, first, capacity - space + k * length))
+                    rank += items
+            if n > 1:
+                _hold(tree, held, space - each * length, first, n - 1)
+            _hold(tree, held, space - last * length, first + n - 1, 1)
+            left -= placed
     return runs
 
 
