@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from corvia.llm.common import written
+from corvia.llm.common import fresh, written
 
 ANY = "<*>"
 _FIELD = re.compile(rb"[^\x20\x09-\x0D]*[0-9][^\x20\x09-\x0D]*")
@@ -89,7 +89,8 @@ def drop_recurring_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str
     """
     docs = docs.drop("n_lines", "n_dropped")
     plain = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).where("id is not null")
-    drops = recurring_lines(plain, min_docs, depth, min_tokens, min_constant).groupBy("id").agg(F.collect_set("whole").alias("_drops"))
+    key, listed = fresh(docs, "_id"), fresh(docs, "_drops")
+    drops = recurring_lines(plain, min_docs, depth, min_tokens, min_constant).groupBy(F.col("id").alias(key)).agg(F.collect_set("whole").alias(listed))
     kept = T.StructType([*docs.schema.fields, T.StructField("n_lines", T.LongType()), T.StructField("n_dropped", T.LongType())])
     at = docs.columns.index(text_col)
 
@@ -107,5 +108,5 @@ def drop_recurring_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str
             arrays = [pa.array(texts, pa.string()) if i == at else c for i, c in enumerate(batch.columns[:-1])]
             yield pa.RecordBatch.from_arrays([*arrays, pa.array(n_lines, pa.int64()), pa.array(n_dropped, pa.int64())], kept.names)
 
-    joined = docs.withColumn("_id", F.col(id_col).cast("long")).join(drops.withColumnRenamed("id", "_id"), "_id", "left")
-    return joined.select(*(docs[c] for c in docs.columns), "_drops").mapInArrow(run, kept)
+    joined = docs.withColumn(key, F.col(id_col).cast("long")).join(drops, key, "left")
+    return joined.select(*docs.columns, listed).mapInArrow(run, kept)

@@ -53,11 +53,12 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     id hashes as an empty string; repeated rows of one id get one count; no rows give none. Columns of
     ``docs`` named ``copy`` or ``shuffle_key`` are replaced.
     """
-    sized = docs.drop("copy", "shuffle_key").withColumn("_source", F.coalesce(F.concat(F.lit("="), F.col(source_col)), F.lit("null"))).withColumn("_size", F.greatest(F.length(F.coalesce(F.col(text_col), F.lit(""))), F.lit(1)).cast("long"))
+    source, size_of = F.coalesce(F.concat(F.lit("="), F.col(source_col)), F.lit("null")), F.greatest(F.length(F.coalesce(F.col(text_col), F.lit(""))), F.lit(1)).cast("long")
+    key = F.coalesce(F.col(id_col).cast("string"), F.lit(""))
+    sized = docs.select(F.struct(*docs.drop("copy", "shuffle_key").columns).alias("_row"), source.alias("_source"), size_of.alias("_size"), key.alias("_key"))
     named = None if weights is None else {f"={k}": float(v) for k, v in weights.items()}
     means = source_means(sized.select("_source", "_size"), named, alpha, size)
-    key = F.coalesce(F.col(id_col).cast("string"), F.lit(""))
-    counted = sized.join(means, "_source").withColumn("_n", poisson_inverse(hashed_unit(F.lit(str(seed)), key), F.col("_mean")))
-    copies = counted.where("_n > 0").withColumn("copy", F.explode(F.sequence(F.lit(0), F.col("_n") - 1)))
-    out = copies.withColumn("shuffle_key", hashed_unit(F.lit(f"{seed}/shuffle"), key, F.col("copy").cast("string")))
-    return out.drop("_source", "_size", "_mean", "_n").repartitionByRange("shuffle_key").sortWithinPartitions("shuffle_key")
+    counted = sized.join(means, "_source").withColumn("_n", poisson_inverse(hashed_unit(F.lit(str(seed)), F.col("_key")), F.col("_mean")))
+    copies = counted.where("_n > 0").select("_row", "_key", F.explode(F.sequence(F.lit(0), F.col("_n") - 1)).alias("_copy"))
+    out = copies.select("_row.*", F.col("_copy").alias("copy"), hashed_unit(F.lit(f"{seed}/shuffle"), F.col("_key"), F.col("_copy").cast("string")).alias("shuffle_key"))
+    return out.repartitionByRange("shuffle_key").sortWithinPartitions("shuffle_key")
