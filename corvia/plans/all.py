@@ -1,5 +1,5 @@
 """Imports every module that registers queries."""
 
-from corvia.plans import corpus, matching
+from corvia.plans import analysis, corpus, matching
 
-MODULES = (corpus, matching)
+MODULES = (analysis, corpus, matching)
