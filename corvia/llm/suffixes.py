@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corvia.llm.common import keyed, ranges_by_document, written
+from corvia.llm.debruijn import run_hashes
 
 #: Bytes that are hashed together to choose the piece a string belongs to, and the most strings in a piece.
 SEED_BYTES, MOST_STRINGS = 16, 512
@@ -190,11 +191,24 @@ def earlier_strings(members: list[bytes], first: np.ndarray, length: int) -> lis
     return out
 
 
-def removed_ranges(own: DataFrame, length: int, hot: int = 4096, bucket_pieces: int = 4096) -> DataFrame:
+def candidates(seeds: np.ndarray, members: list[bytes], length: int) -> np.ndarray:
+    """The pieces, by seed, that may have a string in common with another of their seed: those of which the hash of a string comes twice."""
+    sizes = np.array(list(map(len, members)))
+    ends = np.cumsum(sizes)
+    own = np.repeat(np.arange(len(sizes)), sizes)[: max(0, int(ends[-1]) - length + 1)]
+    at = np.flatnonzero(np.arange(len(own)) + length <= ends[own])
+    hashes = run_hashes(_MIX[np.frombuffer(b"".join(members), np.uint8)], length)[at] ^ seeds.astype(np.int64).view(np.uint64)[own[at]] * _ODD[0]
+    _, which, n = np.unique(hashes, return_inverse=True, return_counts=True)
+    found = np.unique(own[at[n[which] > 1]])
+    return found[np.argsort(seeds[found], kind="stable")]
+
+
+def removed_ranges(own: DataFrame, length: int, hot: int = 4096, bucket_pieces: int = 4096, array_pieces: int = 64) -> DataFrame:
     """``id, th, start, n``: strings from ``start`` on, ``n`` of them, that stand in a document of a smaller id.
 
     Equal pieces are one: all their documents but the first lose all their strings. What different pieces
-    of one seed have in common, their suffix arrays show, in buckets of seeds. A seed with more than
+    of one seed have in common, their suffix arrays show, in buckets of seeds; pieces none of whose strings
+    shares its hash with another string of the seed are left out of these. A seed with more than
     ``hot`` different pieces, as one at the edge of a passage that very many documents share, is dealt out
     string by string and aggregated instead, so that no task needs all its pieces.
     """
@@ -204,9 +218,18 @@ def removed_ranges(own: DataFrame, length: int, hot: int = 4096, bucket_pieces:
     apart = written(distinct.select("seed", "ph", "piece", "first").join(many, "seed"), "apart", "zstd")
 
     def compare(pdf: pd.DataFrame) -> pd.DataFrame:
-        runs = earlier_strings(list(pdf.piece), pdf["first"].to_numpy(), length)
-        keep = [i for i, x in enumerate(runs) if x]
-        return pd.DataFrame({"seed": pdf.seed.to_numpy()[keep], "ph": pdf.ph.to_numpy()[keep], "runs": [[{"a": a, "b": b} for a, b in runs[i]] for i in keep]})
+        seed, ph, first, piece = pdf.seed.to_numpy(), pdf.ph.to_numpy(), pdf["first"].to_numpy(), list(pdf.piece)
+        order = candidates(seed, piece, length)
+        cuts, kept, found = [0], [], []
+        for i in np.flatnonzero(np.diff(seed[order])) + 1:
+            if i - cuts[-1] >= array_pieces:
+                cuts.append(int(i))
+        for a, b in zip(cuts, [*cuts[1:], len(order)]):  # whole seeds in small arrays, which stay in the processor's cache
+            part = order[a:b]
+            runs = earlier_strings([piece[i] for i in part], first[part], length) if b > a else []
+            kept += [i for i, x in zip(part, runs) if x]
+            found += [[{"a": a, "b": b} for a, b in x] for x in runs if x]
+        return pd.DataFrame({"seed": seed[kept], "ph": ph[kept], "runs": found})
 
     cool = apart.where(F.col("pieces") <= hot)
     buckets = cool.count() // bucket_pieces + 1
