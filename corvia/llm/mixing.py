@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from corvia.llm.common import written
+
 #: Repetitions are looked for up to this many: beyond it lies less than 1e-15 of a Poisson distribution of any allowed mean.
 MOST, HIGHEST_MEAN = 64, 16.0
 
@@ -16,11 +18,11 @@ def hashed_unit(*parts: Column) -> Column:
 
 def poisson_inverse(u: Column, mean: Column) -> Column:
     """The smallest k whose Poisson distribution function reaches above ``u``."""
-    start = F.struct(F.exp(-mean).alias("p"), F.exp(-mean).alias("below"), F.lit(0).alias("k"))
+    start = F.struct(F.exp(-mean).alias("p"), F.exp(-mean).alias("below"), F.lit(0).alias("k"), u.alias("u"), mean.alias("mean"))  # the lambda reads no outer column: one it reads is lost when filters are moved
 
     def step(s: Column, i: Column) -> Column:
-        p = s["p"] * mean / i
-        return F.struct(p.alias("p"), (s["below"] + p).alias("below"), F.when(u >= s["below"], i).otherwise(s["k"]).alias("k"))
+        p = s["p"] * s["mean"] / i
+        return F.struct(p.alias("p"), (s["below"] + p).alias("below"), F.when(s["u"] >= s["below"], i).otherwise(s["k"]).alias("k"), s["u"].alias("u"), s["mean"].alias("mean"))
 
     return F.aggregate(F.sequence(F.lit(1), F.lit(MOST)), start, step, lambda s: s["k"])
 
@@ -37,9 +39,10 @@ def source_means(docs: DataFrame, weights: dict[str, float] | None, alpha: float
     else:
         pairs = [F.lit(x) for pair in weights.items() for x in pair]
         own = own.withColumn("weight", F.coalesce(F.try_element_at(F.create_map(*pairs), "_source"), F.lit(0.0)))
-    total = own.agg(F.sum("have").alias("all_have"), F.sum("weight").alias("all_weight"))
-    mean = F.try_divide(F.col("weight") * F.col("all_have") * size, F.col("all_weight") * F.col("have"))
-    return own.join(F.broadcast(total)).select("_source", F.least(F.coalesce(mean, F.lit(0.0)), F.lit(HIGHEST_MEAN)).alias("_mean"))
+    own = written(own, "sources")
+    have, weight = own.agg(F.sum("have"), F.sum("weight")).first()  # two numbers
+    mean = F.try_divide(F.col("weight") * F.lit(have) * size, F.lit(weight) * F.col("have"))
+    return own.select("_source", F.least(F.coalesce(mean, F.lit(0.0)), F.lit(HIGHEST_MEAN)).alias("_mean"))
 
 
 def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: dict[str, float] | None = None, alpha: float = 0.5, size: float = 1.0, seed: int = 42) -> DataFrame:
