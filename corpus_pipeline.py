@@ -14,7 +14,7 @@ from corvia.llm.lines import drop_recurring_lines
 from corvia.llm.mixing import mix_sources
 from corvia.llm.packing import best_fit_pack
 from corvia.llm.quality import fit_quality, score_quality
-from corvia.llm.simhash import simhash_near_dup
+from corvia.llm.similar import similar_groups
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -32,11 +32,9 @@ def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates, that of the smallest id, and the rows without id.
 
-    Shingles are of five words. Fingerprints within 4 bits link as they are; pairs of 5 to 10 bits, which
-    is where similarities of 0.8 fall, only if their Jaccard similarity is 0.8 or more.
+    Near-duplicates are linked by a Jaccard similarity of 0.8 or more on shingles of five words.
     """
-    found = simhash_near_dup(docs, shingle=5, max_bits=10, sure_bits=4, min_similarity=0.8)
-    gone = found.where("doc_id <> component_id").select("doc_id").distinct()
+    gone = similar_groups(docs, shingle=5, min_similarity=0.8).where("node <> component").select(F.col("node").alias("doc_id"))
     return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
 
 
@@ -53,7 +51,7 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 STAGES = [
     ("quality classifier", keep_quality),
     ("line dedup", drop_lines),
-    ("SimHash near-dedup", drop_near_duplicates),
+    ("Jaccard near-dedup", drop_near_duplicates),
     ("mixing sources", mix),
     ("best-fit packing", pack),
 ]

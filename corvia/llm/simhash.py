@@ -48,19 +48,25 @@ def layout(max_bits: int) -> list[tuple[int, Code, int]]:
     return [(low, code, reach.get(i, 0)) for i, (low, code) in enumerate(blocks)]
 
 
-def simhash(text: str | None, shingle: int = 4) -> int:
-    """64-bit SimHash of the word shingles (repeats count), words lower-cased in A-Z only; no words give 0."""
+def shingle_hashes(text: str | None, shingle: int) -> np.ndarray:
+    """A hash of each word shingle in order, words lower-cased in A-Z only; fewer words are one shingle, no words none."""
     words = (text or "").encode().lower().split()
     if not words:
-        return 0
+        return np.zeros(0, np.uint64)
     joined = b" ".join(words)
     if len(words) <= shingle:
-        hashes = np.array([xxhash.xxh64_intdigest(joined, 42)], dtype=np.uint64)
-    else:
-        ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
-        starts = np.concatenate(([0], ends[:-1] + 1))
-        digest = xxhash.xxh64_intdigest
-        hashes = np.fromiter((digest(joined[i:j], 42) for i, j in zip(starts[: len(words) - shingle + 1].tolist(), ends[shingle - 1 :].tolist())), np.uint64, len(words) - shingle + 1)
+        return np.array([xxhash.xxh64_intdigest(joined, 42)], dtype=np.uint64)
+    ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
+    starts = np.concatenate(([0], ends[:-1] + 1))
+    digest = xxhash.xxh64_intdigest
+    return np.fromiter((digest(joined[i:j], 42) for i, j in zip(starts[: len(words) - shingle + 1].tolist(), ends[shingle - 1 :].tolist())), np.uint64, len(words) - shingle + 1)
+
+
+def simhash(text: str | None, shingle: int = 4) -> int:
+    """64-bit SimHash of the word shingles (repeats count); no words give 0."""
+    hashes = shingle_hashes(text, shingle)
+    if not len(hashes):
+        return 0
     ones = np.zeros(64, np.int64)
     for at in range(0, len(hashes), 8192):
         ones += np.unpackbits(hashes[at : at + 8192].astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
