@@ -142,15 +142,13 @@ def forest(src: np.ndarray, dst: np.ndarray, n: int) -> tuple[np.ndarray, np.nda
     return member, label[member]
 
 
-def linked_classes(classes: DataFrame, max_bits: int = 4, sure_bits: int | None = None, unit: int = 1024, bucket_rows: int = 16384) -> DataFrame:
-    """Edges ``src, dst, sure`` between the nodes of ``classes`` (``node, fp``: distinct fingerprints) within ``max_bits``.
+def linked_classes(classes: DataFrame, max_bits: int = 4, unit: int = 1024, bucket_rows: int = 16384) -> DataFrame:
+    """Edges ``src, dst`` between the nodes of ``classes`` (``node, fp``: distinct fingerprints) within ``max_bits``.
 
     A fingerprint goes to every anchor within covering radius plus reach, per block; at each anchor those
-    at home there are compared with all. Of the links within ``sure_bits`` (all, if None) a forest of each
-    comparison is returned: no link between components is lost, and a group of n fingerprints gives under
-    n edges. Of those beyond, to be verified, the closest pair of any two such components.
+    at home there are compared with all. A forest of each comparison is returned: no link between
+    components is lost, and a group of n fingerprints gives under n edges.
     """
-    sure_bits = max_bits if sure_bits is None else sure_bits
 
     def places(fps: np.ndarray) -> pd.DataFrame:
         x = anchored(fps.view(np.uint64), max_bits)
@@ -191,7 +189,7 @@ def linked_classes(classes: DataFrame, max_bits: int = 4, sure_bits: int | None
         order = np.argsort(pdf.key.to_numpy(), kind="stable")
         key, fps = pdf.key.to_numpy()[order], pdf.fp.to_numpy()[order]
         cuts = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1], [True])))
-        found = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, bool))]
+        found = [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
         for i, j in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
             if j - i < 2:
                 continue
@@ -203,62 +201,25 @@ def linked_classes(classes: DataFrame, max_bits: int = 4, sure_bits: int | None
                 chunk = chunked(fp, np.full(j - i, chunks_of[anchor]))
                 near &= chunk[at][:, None] != chunk[None, :]
             r, c = np.nonzero(near)
-            r, bits = at[r], bits[r, c]
-            keep = r != c
-            r, c, bits = r[keep], c[keep], bits[keep]
-            sure = bits <= sure_bits
-            member, root = forest(r[sure], c[sure], j - i)
-            found.append((fp[member], fp[root], np.ones(len(member), bool)))
-            if not sure.all():
-                label = np.arange(j - i)
-                label[member] = root
-                r, c, bits = r[~sure], c[~sure], bits[~sure]
-                low, high = np.minimum(label[r], label[c]), np.maximum(label[r], label[c])
-                order = np.lexsort((bits, high, low))
-                low, high, r, c = low[order], high[order], r[order], c[order]
-                first = np.concatenate(([True], (low[1:] != low[:-1]) | (high[1:] != high[:-1]))) & (low != high)
-                found.append((fp[r[first]], fp[c[first]], np.zeros(first.sum(), bool)))
-        return pd.DataFrame(dict(zip(("a", "b", "sure"), map(np.concatenate, zip(*found)))))
-
-    links = written(classes.select("fp").mapInArrow(spread, "bucket long, key long, fp long").groupBy("bucket").applyInPandas(compare, "a long, b long, sure boolean").distinct(), "pairs")
-    named = lambda end, name: classes.select(F.col("fp").alias(end), F.col("node").alias(name))
-    return links.join(named("a", "src"), "a").join(named("b", "dst"), "b").select("src", "dst", "sure")
-
-
-def similar_pairs(docs: DataFrame, pairs: DataFrame, shingle: int, min_similarity: float) -> DataFrame:
-    """Those of ``pairs`` (``src, dst``: ids) whose whole texts have a Jaccard similarity of ``min_similarity`` or more on word shingles."""
-
-    def shingles(text: str | None) -> set[bytes]:
-        words = (text or "").encode().lower().split()
-        return {b" ".join(words[i : i + shingle]) for i in range(max(1, len(words) - shingle + 1))}
+            member, root = forest(at[r], c, j - i)
+            found.append((fp[member], fp[root]))
+        return pd.DataFrame(dict(zip(("a", "b"), map(np.concatenate, zip(*found)))))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            good = []
-            for a, b in zip(map(shingles, batch.column(2).to_pylist()), map(shingles, batch.column(3).to_pylist())):
-                good.append(len(a & b) >= min_similarity * len(a | b))
-            yield pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array(good)), batch.column(1).filter(pa.array(good))], ["src", "dst"])
-
-    left = pairs.join(docs.select(F.col("id").alias("src"), F.col("text").alias("a")), "src")
-    return left.join(docs.select(F.col("id").alias("dst"), F.col("text").alias("b")), "dst").select("src", "dst", "a", "b").mapInArrow(run, "src long, dst long")
+    links = written(classes.select("fp").mapInArrow(spread, "bucket long, key long, fp long").groupBy("bucket").applyInPandas(compare, "a long, b long").distinct(), "pairs")
+    named = lambda end, name: classes.select(F.col("fp").alias(end), F.col("node").alias(name))
+    return links.join(named("a", "src"), "a").join(named("b", "dst"), "b").select("src", "dst")
 
 
-def simhash_near_dup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, max_bits: int = 4, sure_bits: int | None = None, min_similarity: float = 0.8) -> DataFrame:
+def simhash_near_dup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, max_bits: int = 4) -> DataFrame:
     """One row per document: ``doc_id, fp, component_id``.
 
-    Documents link when their fingerprints differ in at most ``max_bits`` bits; with ``sure_bits``, links of
-    more bits than that hold only if the texts' Jaccard similarity on shingles is at least
-    ``min_similarity``. ``component_id`` is the smallest id reachable, the document's own included. Equal
-    fingerprints are one class before any comparison. A null or wordless text has fingerprint 0 and links
-    like any other; a row whose id is null is returned with a null component and links nothing; repeated
+    Documents link when their fingerprints differ in at most ``max_bits`` bits. ``component_id`` is the
+    smallest id reachable, the document's own included. Equal fingerprints are one class before any
+    comparison. A null or wordless text has fingerprint 0 and links like any other; a row whose id is null is returned with a null component and links nothing; repeated
     rows are returned as often as they come; an empty table gives no rows; other columns are not read.
     """
     prints = written(fingerprints(docs, id_col, text_col, shingle), "fp")
     classes = written(prints.where("id is not null").groupBy("fp").agg(F.min("id").alias("node")).select("node", "fp"), "classes")
-    edges = linked_classes(classes, max_bits, sure_bits)
-    if sure_bits is not None:
-        texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-        edges = edges.where("sure").select("src", "dst").unionByName(similar_pairs(texts, edges.where("not sure").select("src", "dst"), shingle, min_similarity))
-    found = components(edges)
+    found = components(linked_classes(classes, max_bits))
     named = classes.join(found, "node", "left").select("fp", F.coalesce("component", "node").alias("component_id"))
     return prints.join(named, "fp", "left").select(F.col("id").alias(id_col), "fp", F.when(F.col("id").isNotNull(), F.col("component_id")).alias("component_id"))

@@ -2,7 +2,12 @@
 
 from __future__ import annotations
 
+import random
+
+import pytest
+
 import corpus_pipeline
+from corvia.llm.similar import similar_groups
 from tests.conftest import SMALL
 from tests.llm import brute
 
@@ -28,3 +33,21 @@ def test_pipeline_finds_all_pairs(spark):
     far = {(a, b) for a, b in all_links(rows) if (brute.fingerprint(dict(rows)[a], 5) ^ brute.fingerprint(dict(rows)[b], 5)).bit_count() > 10}
     left = {r.doc_id for r in corpus_pipeline.drop_near_duplicates(spark, docs, SMALL).select("doc_id").collect()}
     assert far and all(b not in left for _, b in far) and left == wanted(rows)
+
+
+@pytest.mark.parametrize("hot, unit", [(32, 512), (2, 8), (1000, 512)])
+def test_groups_of_varied_edits(spark, hot, unit):
+    """Near copies of which about each second pair is under 0.8, some edge cases, and repeated ids."""
+    rng, rows = random.Random(9), []
+    for group in range(3):
+        base = [f"w{rng.randrange(400)}" for _ in range(100)]
+        for i in range(40):
+            words = list(base)
+            for at in rng.sample(range(100), rng.randrange(5)):
+                words[at] = f"e{rng.randrange(10**6)}"
+            rows.append((group * 100 + i, " ".join(words)))
+    rows += [(500, rows[0][1]), (501, None), (502, ""), (503, "one"), (504, "ONE"), (505, "ab " * 300), (506, "ab " * 20), (0, rows[50][1]), (None, rows[0][1])]
+    found = {r.node: r.component for r in similar_groups(spark.createDataFrame(rows, "doc_id long, text string"), hot=hot, unit=unit).collect()}
+    label = brute.reachable([i for i, _ in rows if i is not None], all_links(rows))
+    assert {i: found.get(i, i) for i in label} == label
+    assert similar_groups(spark.createDataFrame([], "doc_id long, text string")).count() == 0
