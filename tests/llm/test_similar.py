@@ -51,3 +51,13 @@ def test_groups_of_varied_edits(spark, hot, unit):
     label = brute.reachable([i for i, _ in rows if i is not None], all_links(rows))
     assert {i: found.get(i, i) for i in label} == label
     assert similar_groups(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_pipeline_keeps_documents_under_the_similarity(spark):
+    """A passage repeated often weighs in the fingerprint, not in the similarity."""
+    passage = " ".join(f"p{i}" for i in range(40)) + " "
+    rows = [(i, passage * 60 + " ".join(f"own{i}x{k}" for k in range(60)), "en", "a", 1) for i in range(3)]
+    prints = [brute.fingerprint(r[1], 5) for r in rows]
+    assert max((a ^ b).bit_count() for a in prints for b in prints) <= 4 and not all_links([r[:2] for r in rows])
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    assert {r.doc_id for r in corpus_pipeline.drop_near_duplicates(spark, docs, SMALL).select("doc_id").collect()} == {0, 1, 2}
