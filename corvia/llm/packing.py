@@ -15,15 +15,18 @@ from pyspark.sql import functions as F
 
 from corvia.llm.common import written
 
+#: The added token of ``byte_bpe_50k.json``, which the rank file does not hold.
+ADDED = {"<|endoftext|>": 50256}
+
 _encodings: dict[str, tiktoken.Encoding] = {}
 
 
 def encoding(ranks_path: str) -> tiktoken.Encoding:
-    """The byte-level BPE of a rank file, once per process; special strings are ordinary text."""
+    """The byte-level BPE of a rank file, once per process; the added token of the tokenizer's JSON is one id wherever its text stands."""
     if ranks_path not in _encodings:
         with open(ranks_path, "rb") as lines:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
-        _encodings[ranks_path] = tiktoken.Encoding("bytes", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+        _encodings[ranks_path] = tiktoken.Encoding("bytes", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=ADDED)
     return _encodings[ranks_path]
 
 
@@ -41,7 +44,7 @@ def token_pieces(docs: DataFrame, id_col: str, text_col: str, capacity: int, ran
                 rows = []
                 part = batch.slice(at, 256)
                 for doc, text, task in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), part.column(2).to_pylist()):
-                    ids = np.append(enc.encode_to_numpy(text or "", disallowed_special=()).astype("<u4"), np.uint32(end_id))
+                    ids = np.append(enc.encode_to_numpy(text or "", allowed_special="all").astype("<u4"), np.uint32(end_id))
                     first = len(ids) % capacity or capacity
                     for piece, start in enumerate([0, *range(first, len(ids), capacity)]):
                         end = first if piece == 0 else start + capacity

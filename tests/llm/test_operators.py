@@ -248,3 +248,10 @@ def test_gam_learns_an_interaction():
     y = ((x[:, 0] > 0.5) ^ (x[:, 2] > 0.5)).astype(float)
     model = fit_gam(x[:2000], y[:2000])
     assert ((model.score(x[2000:]) >= 0.5) == y[2000:]).mean() > 0.9
+
+
+def test_packing_knows_the_added_token(spark):
+    rows = [(1, "a <|endoftext|> b"), (2, "<|endoftext|><|endoftext|>"), (3, "a <|endoftext| b"), (4, "x\n<|endoftext|>'s")]
+    tokens = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    want = {(i, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())) for i, t in rows for ids in [[*tokens.encode(t, add_special_tokens=False).ids, 0]]}
+    assert {(r.doc_id, r.length, r.ids_crc32) for r in best_fit_pack(table(spark, rows)).collect()} == want
