@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from corvia.llm.common import written
 
-#: Repetitions are looked for up to this many: beyond it lies less than 1e-15 of a Poisson distribution of any allowed mean.
+#: Of one draw, repetitions are looked for up to this many: beyond it lies less than 1e-15 of a Poisson distribution of any mean up to the highest of a draw.
 MOST, HIGHEST_MEAN = 64, 16.0
 
 
@@ -27,6 +27,18 @@ def poisson_inverse(u: Column, mean: Column) -> Column:
     return F.aggregate(F.sequence(F.lit(1), F.lit(MOST)), start, step, lambda s: s["k"])
 
 
+def poisson_count(seed: int, key: Column, mean: Column) -> Column:
+    """A count of the Poisson distribution of any mean: the sum of as many draws of one share of it each as keep that within the highest mean of a draw."""
+    parts = F.greatest(F.ceil(mean / HIGHEST_MEAN), F.lit(1)).cast("int")
+    start = F.struct(F.lit(0).alias("n"), key.alias("key"), (mean / parts).alias("share"))  # as above, the lambda reads no outer column
+
+    def draw(s: Column, i: Column) -> Column:
+        u = F.when(i == 1, hashed_unit(F.lit(str(seed)), s["key"])).otherwise(hashed_unit(F.lit(f"{seed}/part"), s["key"], i.cast("string")))
+        return F.struct((s["n"] + poisson_inverse(u, s["share"])).alias("n"), s["key"].alias("key"), s["share"].alias("share"))
+
+    return F.aggregate(F.sequence(F.lit(1), parts), start, draw, lambda s: s["n"])
+
+
 def source_means(docs: DataFrame, weights: dict[str, float] | None, alpha: float, size: float) -> DataFrame:
     """``source, mean``: how often a document of each source is to come.
 
@@ -42,14 +54,14 @@ def source_means(docs: DataFrame, weights: dict[str, float] | None, alpha: float
     own = written(own, "sources")
     have, weight = own.agg(F.sum("have"), F.sum("weight")).first()  # two numbers
     mean = F.try_divide(F.col("weight") * F.lit(have) * size, F.lit(weight) * F.col("have"))
-    return own.select("_source", F.least(F.coalesce(mean, F.lit(0.0)), F.lit(HIGHEST_MEAN)).alias("_mean"))
+    return own.select("_source", F.coalesce(mean, F.lit(0.0)).alias("_mean"))
 
 
 def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: dict[str, float] | None = None, alpha: float = 0.5, size: float = 1.0, seed: int = 42) -> DataFrame:
     """Documents repeated or left out so that each source comes to its target share of the characters.
 
-    A document's count inverts the Poisson distribution with its source's mean at a hash of seed and id;
-    it is exploded by the count, and the copies are dealt over the cluster in the order of a hash.
+    A document's count inverts the Poisson distribution with its source's mean at a hash of seed and id
+    (a mean over 16 in equal parts, each at a hash of its own, summed); it is exploded by the count, and the copies are dealt over the cluster in the order of a hash.
     Returns the columns of ``docs`` and ``copy`` (int, from 0) and ``shuffle_key`` (double; the rows are
     in its order across the output's partitions). A null source is a source of its own (under ``weights``
     it has weight 0), a null text has one character, as an empty one, so that no mean is infinite; a null
@@ -61,7 +73,7 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     sized = docs.select(F.struct(*docs.drop("copy", "shuffle_key").columns).alias("_row"), source.alias("_source"), size_of.alias("_size"), key.alias("_key"))
     named = None if weights is None else {f"={k}": float(v) for k, v in weights.items()}
     means = source_means(sized.select("_source", "_size"), named, alpha, size)
-    counted = sized.join(means, "_source").withColumn("_n", poisson_inverse(hashed_unit(F.lit(str(seed)), F.col("_key")), F.col("_mean")))
+    counted = sized.join(means, "_source").withColumn("_n", poisson_count(seed, F.col("_key"), F.col("_mean")))
     copies = counted.where("_n > 0").select("_row", "_key", F.explode(F.sequence(F.lit(0), F.col("_n") - 1)).alias("_copy"))
     out = copies.select("_row.*", F.col("_copy").alias("copy"), hashed_unit(F.lit(f"{seed}/shuffle"), F.col("_key"), F.col("_copy").cast("string")).alias("shuffle_key"))
     return out.repartitionByRange("shuffle_key").sortWithinPartitions("shuffle_key")

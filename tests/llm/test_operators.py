@@ -255,3 +255,11 @@ def test_packing_knows_the_added_token(spark):
     tokens = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
     want = {(i, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())) for i, t in rows for ids in [[*tokens.encode(t, add_special_tokens=False).ids, 0]]}
     assert {(r.doc_id, r.length, r.ids_crc32) for r in best_fit_pack(table(spark, rows)).collect()} == want
+
+
+def test_mixing_repeats_small_sources_as_often_as_it_takes(spark):
+    rows = [(i, "x" * 100, "big") for i in range(4000)] + [(5000 + i, "x" * 10, "small") for i in range(50)]
+    df = table(spark, rows, "doc_id long, text string, source string")
+    have = {r.source: r.n for r in mix_sources(df, weights={"big": 0.9, "small": 0.1}).groupBy("source").agg(F.sum(F.length("text")).alias("n")).collect()}
+    want = 400_500 * 0.1  # a mean of 80 for each of the small source's documents
+    assert abs(have["small"] / want - 1) < 0.1 and abs(have["big"] / (9 * want) - 1) < 0.1
