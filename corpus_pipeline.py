@@ -24,8 +24,8 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, without the lines whose template recurs in three documents or more; the first of these keeps its line."""
-    kept = drop_recurring_lines(docs, min_docs=3, depth=3, min_tokens=5, min_constant=0.6)
+    """All documents, without the lines whose template recurs in three documents or more, lines of under five tokens as they stand; the first of these keeps its line."""
+    kept = drop_recurring_lines(docs, min_docs=3, depth=3, min_tokens=5, min_constant=0.6, short_lines=True)
     return kept.withColumn("n_chars", F.length("text").cast("long")).select(docs.columns)
 
 

@@ -23,6 +23,12 @@ def parsed(line: bytes) -> list[bytes]:
     return (line if _DIGIT(line) is None else _FIELD.sub(ANY.encode(), line)).split()
 
 
+def tokens_of(line: bytes, min_tokens: int, short_lines: bool) -> list[bytes] | None:
+    """The tokens of a line that goes into the tree, those of a line of under ``min_tokens`` as they are; None for one that does not."""
+    found = parsed(line)
+    return found if len(found) >= min_tokens else line.split() if short_lines and found else None
+
+
 def _hash(tokens: bytes) -> int:
     return xxhash.xxh64_intdigest(tokens) - (1 << 63)
 
@@ -32,7 +38,7 @@ def leaf_of(tokens: list[bytes], depth: int) -> int:
     return _hash(b"%d " % len(tokens) + b" ".join(tokens[:depth]))
 
 
-def _parsed_lines(docs: DataFrame, depth: int, min_tokens: int, full: bool) -> DataFrame:
+def _parsed_lines(docs: DataFrame, depth: int, min_tokens: int, short_lines: bool, full: bool) -> DataFrame:
     """``leaf, id`` or, if ``full``, ``leaf, id, whole, line``: each once per document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -41,7 +47,7 @@ def _parsed_lines(docs: DataFrame, depth: int, min_tokens: int, full: bool) -> D
             for at in range(0, batch.num_rows, 512):
                 part, rows = batch.slice(at, 512), []
                 for doc, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
-                    lines = [t for t in map(parsed, (text or "").encode().split(b"\n")) if len(t) >= min_tokens]
+                    lines = [t for x in (text or "").encode().split(b"\n") if (t := tokens_of(x, min_tokens, short_lines)) is not None]
                     if full:
                         rows += [(leaf_of(t, depth), doc, _hash(line), line.decode()) for line, t in {b" ".join(t): t for t in lines}.items()]
                     else:
@@ -52,7 +58,7 @@ def _parsed_lines(docs: DataFrame, depth: int, min_tokens: int, full: bool) -> D
     return docs.mapInArrow(run, "leaf long, id long, whole long, line string" if full else "leaf long, id long")
 
 
-def recurring_lines(docs: DataFrame, min_docs: int = 3, depth: int = 3, min_tokens: int = 5, min_constant: float = 0.6) -> DataFrame:
+def recurring_lines(docs: DataFrame, min_docs: int = 3, depth: int = 3, min_tokens: int = 5, min_constant: float = 0.6, short_lines: bool = False) -> DataFrame:
     """``id, whole``: the lines to drop from each document of ``docs`` (``id, text``), by the hash of the line.
 
     The tree's first level is the token count, the next ``depth`` levels are the leading tokens. In a
@@ -60,26 +66,26 @@ def recurring_lines(docs: DataFrame, min_docs: int = 3, depth: int = 3, min_toke
     line have it at that place; other places are generalised to variable fields. A line of which under
     ``min_constant`` of the tokens stay is its own template. Templates in at least ``min_docs`` documents
     recur; their lines go from all documents but that with the smallest id. Lines under ``min_tokens``
-    tokens are left alone: so short a line recurs by chance.
+    tokens are left alone or, with ``short_lines``, are templates of their own as they stand, digits included.
     """
-    leaves = _parsed_lines(docs, depth, min_tokens, False).groupBy("leaf").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_docs).select("leaf")
-    held = written(_parsed_lines(docs, depth, min_tokens, True).join(leaves, "leaf", "left_semi"), "lines")
+    leaves = _parsed_lines(docs, depth, min_tokens, short_lines, False).groupBy("leaf").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_docs).select("leaf")
+    held = written(_parsed_lines(docs, depth, min_tokens, short_lines, True).join(leaves, "leaf", "left_semi"), "lines")
     distinct = held.groupBy("leaf", "whole", "line").agg(F.count(F.lit(1)).alias("n"))
     cells = distinct.select("leaf", "whole", "n", F.posexplode(F.split("line", " ")).alias("place", "token"))
     common = cells.groupBy("leaf", "place", "token").agg(F.sum("n").alias("pairs")).where(F.col("pairs") >= min_docs).select("leaf", "place", "token", F.lit(True).alias("stays"))
     kept = F.when(F.coalesce("stays", F.lit(False)) | (F.col("token") == ANY), F.col("token")).otherwise(ANY)
     cell = F.xxhash64("place", kept)
     shapes = cells.join(common, ["leaf", "place", "token"], "left").groupBy("leaf", "whole").agg(
-        F.bit_xor(cell).alias("x"), F.sum(cell.cast("decimal(20,0)")).alias("y"), F.avg(F.when(F.col("stays") & (F.col("token") != ANY), 1.0).otherwise(0.0)).alias("constant")
+        F.bit_xor(cell).alias("x"), F.sum(cell.cast("decimal(20,0)")).alias("y"), F.avg(F.when(F.col("stays") & (F.col("token") != ANY), 1.0).otherwise(0.0)).alias("constant"), F.count(F.lit(1)).alias("tokens")
     )
-    general = F.col("constant") >= min_constant
+    general = (F.col("constant") >= min_constant) & (F.col("tokens") >= min_tokens)
     templates = shapes.select("leaf", "whole", F.xxhash64("leaf", F.when(general, F.col("x")).otherwise(F.col("whole")), F.when(general, F.col("y"))).alias("template"))
     used = held.select("leaf", "whole", "id").join(templates, ["leaf", "whole"]).select("id", "whole", "template")
     recurring = used.select("template", "id").distinct().groupBy("template").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("first")).where(F.col("n") >= min_docs)
     return used.join(recurring, "template").where(F.col("id") != F.col("first")).select("id", "whole").distinct()
 
 
-def drop_recurring_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_docs: int = 3, depth: int = 3, min_tokens: int = 5, min_constant: float = 0.6) -> DataFrame:
+def drop_recurring_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_docs: int = 3, depth: int = 3, min_tokens: int = 5, min_constant: float = 0.6, short_lines: bool = False) -> DataFrame:
     """``docs`` with the recurring lines (see :func:`recurring_lines`) taken out of the text, and ``n_lines``, ``n_dropped`` (long).
 
     Every row is returned. The lines left are joined by line feeds as they were. A null text stays null
@@ -90,7 +96,7 @@ def drop_recurring_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str
     docs = docs.drop("n_lines", "n_dropped")
     plain = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).where("id is not null")
     key, listed = fresh(docs, "_id"), fresh(docs, "_drops")
-    drops = recurring_lines(plain, min_docs, depth, min_tokens, min_constant).groupBy(F.col("id").alias(key)).agg(F.collect_set("whole").alias(listed))
+    drops = recurring_lines(plain, min_docs, depth, min_tokens, min_constant, short_lines).groupBy(F.col("id").alias(key)).agg(F.collect_set("whole").alias(listed))
     kept = T.StructType([*docs.schema.fields, T.StructField("n_lines", T.LongType()), T.StructField("n_dropped", T.LongType())])
     at = docs.columns.index(text_col)
 
@@ -101,7 +107,7 @@ def drop_recurring_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str
                 lines = left = text.encode().split(b"\n") if text is not None else []
                 if drop:
                     gone = set(drop)
-                    left = [x for x in lines if len(t := parsed(x)) < min_tokens or _hash(b" ".join(t)) not in gone]
+                    left = [x for x in lines if (t := tokens_of(x, min_tokens, short_lines)) is None or _hash(b" ".join(t)) not in gone]
                 texts.append(text if len(left) == len(lines) else b"\n".join(left).decode())
                 n_lines.append(len(lines))
                 n_dropped.append(len(lines) - len(left))

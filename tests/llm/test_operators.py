@@ -263,3 +263,12 @@ def test_mixing_repeats_small_sources_as_often_as_it_takes(spark):
     have = {r.source: r.n for r in mix_sources(df, weights={"big": 0.9, "small": 0.1}).groupBy("source").agg(F.sum(F.length("text")).alias("n")).collect()}
     want = 400_500 * 0.1  # a mean of 80 for each of the small source's documents
     assert abs(have["small"] / want - 1) < 0.1 and abs(have["big"] / (9 * want) - 1) < 0.1
+
+
+def test_pipeline_drops_short_lines_that_recur(spark):
+    import corpus_pipeline
+
+    rows = [(i, f"own words {chr(97 + i) * 3} alone\nAll rights reserved.\n\n{i}\nPage {i}\n 7  up", "en", "a", 1) for i in range(4)] + [(9, "rare line\n", "en", "a", 1), (10, "rare line", "en", "a", 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    found = {r.doc_id: r.text for r in corpus_pipeline.drop_lines(spark, docs, "").collect()}
+    assert found == {r[0]: r[1] if r[0] in (0, 9, 10) else f"own words {chr(97 + r[0]) * 3} alone\n\n{r[0]}\nPage {r[0]}" for r in rows}
