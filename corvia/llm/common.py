@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import re
 import tempfile
 import uuid
 
@@ -19,10 +20,12 @@ _own_folder: list[str] = []
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``; one of our own only where that is unset (tests)."""
+    """The folder all executors share: ``spark.checkpoint.dir``; where that is unset, one of our own in local mode (tests), an error on a cluster."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if folder:
         return folder.rstrip("/")
+    if not re.match(r"local(\[|$)", spark.sparkContext.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     if not _own_folder:
         _own_folder.append(tempfile.mkdtemp(prefix="corvia-"))
         spark.sparkContext.setCheckpointDir(_own_folder[0])
@@ -39,7 +42,16 @@ def written(df: DataFrame, what: str = "t", codec: str = "snappy") -> DataFrame:
         df.write.parquet(path, compression=codec)
     finally:
         spark.conf.set(CLEANUP, before)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.written_to = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables of :func:`written` that nothing reads any more: whatever was made of them is written itself."""
+    for df in tables:
+        path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df.written_to)
+        path.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -59,14 +71,15 @@ def parts_for(spark: SparkSession, rows: int, per_part: int) -> int:
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(rows / per_part))
 
 
-def pair_units(rows: DataFrame, keys: list[str], spread: Column, unit: int) -> DataFrame:
+def pair_units(rows: DataFrame, keys: list[str], spread: Column, unit: int, weight: Column | None = None) -> DataFrame:
     """Deal the rows of every key into units in which each pair of them meets, none much over ``2 * unit`` rows.
 
     A key of at most ``unit`` rows is one unit (0, 0). A larger key is cut into chunks by the hash of
     ``spread``, and chunk pairs become the units (lo, hi); its rows go to each unit of their chunk. So a
-    hot key is compared by many tasks, and no task needs it whole. Adds ``chunk``, ``lo`` and ``hi``.
+    hot key is compared by many tasks, and no task needs it whole. With ``weight``, rows count by that.
+    Adds ``chunk``, ``lo`` and ``hi``.
     """
-    sizes = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > unit)
+    sizes = rows.groupBy(*keys).agg(F.sum(F.lit(1) if weight is None else weight).alias("_n")).where(F.col("_n") > unit)
     chunks = F.coalesce(F.ceil(F.col("_n") / unit), F.lit(1)).cast("int")
     return (
         rows.join(sizes, keys, "left")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corvia.llm.common import written
+from corvia.llm.common import discard, written
 
 
 def components(edges: DataFrame, src: str = "src", dst: str = "dst") -> DataFrame:
@@ -26,7 +26,8 @@ def components(edges: DataFrame, src: str = "src", dst: str = "dst") -> DataFram
         low = large.groupBy("b").agg(F.min("a").alias("m"))
         pulled = large.join(low, "b")
         small = pulled.where("a <> m").select(F.col("m").alias("a"), F.col("a").alias("b")).unionByName(pulled.select(F.col("m").alias("a"), "b")).distinct()
-        now = written(small, "edges")
+        last, now = now, written(small, "edges")
+        discard(last)
         before, seen = seen, _signature(now)
         if before == seen:
             break

@@ -36,12 +36,19 @@ class Code(NamedTuple):
 
 #: Generator polynomials and covering radii of the binary Golay code and of the Hamming code of 15 bits.
 GOLAY = Code(23, 0b110001110101, 3)
-HAMMING = Code(15, 0b10011, 1, 1)
+HAMMING = Code(15, 0b10011, 1)
+#: From so many different fingerprints on, codes with 64 times the anchors take the Golay codes' place: each fingerprint goes to three times the anchors, at which a sixteenth as many others wait.
+MANY = 4_000_000
 
 
-def layout(max_bits: int) -> list[tuple[int, Code, int]]:
+def layout(max_bits: int, many: bool = False) -> list[tuple[int, Code, int]]:
     """The blocks of a fingerprint, ``(first bit, code, reach)``: the sum of (reach + 1) exceeds ``max_bits``, so any pair within that has a block within its reach."""
-    blocks = [(0, GOLAY), (23, GOLAY), (46, Code(18))] if max_bits <= 4 else [(16 * i, HAMMING) for i in range(4)]
+    if max_bits > 4:
+        blocks = [(16 * i, HAMMING._replace(free=1)) for i in range(4)]
+    elif many:
+        blocks = [(0, HAMMING._replace(free=7)), (22, HAMMING._replace(free=6)), (43, HAMMING._replace(free=6))]
+    else:
+        blocks = [(0, GOLAY), (23, GOLAY), (46, Code(18))]
     coded = [i for i, (_, code) in enumerate(blocks) if code.generator]
     spare = max(0, max_bits + 1 - len(blocks))
     reach = {i: spare // len(coded) + (n < spare % len(coded)) for n, i in enumerate(coded)}
@@ -64,7 +71,11 @@ def shingle_hashes(text: str | None, shingle: int) -> np.ndarray:
 
 def simhash(text: str | None, shingle: int = 4) -> int:
     """64-bit SimHash of the word shingles (repeats count); no words give 0."""
-    hashes = shingle_hashes(text, shingle)
+    return majority(shingle_hashes(text, shingle))
+
+
+def majority(hashes: np.ndarray) -> int:
+    """The bits that are set in over half of the hashes."""
     if not len(hashes):
         return 0
     ones = np.zeros(64, np.int64)
@@ -91,6 +102,9 @@ def coset_patterns(code: Code, reach: int) -> list[np.ndarray]:
     found: list[list[int]] = [[] for _ in range(1 << code.generator.bit_length() - 1)]
     for weight in range(code.radius + reach + 1):
         for bits in combinations(range(len(columns)), weight):
+            flipped = sum(i >= code.length for i in bits)
+            if flipped > reach or weight - flipped > code.radius + reach - flipped:
+                continue
             syndrome, word = 0, 0
             for i in bits:
                 syndrome ^= columns[i]
@@ -99,10 +113,10 @@ def coset_patterns(code: Code, reach: int) -> list[np.ndarray]:
     return [np.array(x, np.int64) for x in found]
 
 
-def anchored(fps: np.ndarray, max_bits: int) -> pd.DataFrame:
+def anchored(fps: np.ndarray, max_bits: int, many: bool = False) -> pd.DataFrame:
     """Each fingerprint at its anchors: ``row, block, anchor, home``; home is the nearest anchor of the block."""
     out = []
-    for block, (low, code, reach) in enumerate(layout(max_bits)):
+    for block, (low, code, reach) in enumerate(layout(max_bits, many)):
         part = (fps >> np.uint64(low) & np.uint64((1 << code.length + code.free) - 1)).astype(np.int64)
         if not code.generator:
             out.append((np.arange(len(fps)), np.full(len(fps), block), part, np.ones(len(fps), bool)))
@@ -120,9 +134,9 @@ def anchored(fps: np.ndarray, max_bits: int) -> pd.DataFrame:
     return pd.DataFrame({k: np.concatenate([x[i] for x in out]) for i, k in enumerate(("row", "block", "anchor", "home"))})
 
 
-def at_home(fps: np.ndarray, block: int, anchor: int, max_bits: int) -> np.ndarray:
+def at_home(fps: np.ndarray, block: int, anchor: int, max_bits: int, many: bool = False) -> np.ndarray:
     """Whether ``anchor`` is the nearest of its block to each fingerprint."""
-    low, code, _ = layout(max_bits)[block]
+    low, code, _ = layout(max_bits, many)[block]
     off = (fps >> np.uint64(low) & np.uint64((1 << code.length + code.free) - 1)).astype(np.int64) ^ anchor
     return (np.bitwise_count(off & (1 << code.length) - 1) <= code.radius) & (off >> code.length == 0)
 
@@ -142,16 +156,18 @@ def forest(src: np.ndarray, dst: np.ndarray, n: int) -> tuple[np.ndarray, np.nda
     return member, label[member]
 
 
-def linked_classes(classes: DataFrame, max_bits: int = 4, unit: int = 1024, bucket_rows: int = 16384) -> DataFrame:
+def linked_classes(classes: DataFrame, max_bits: int = 4, unit: int = 1024, bucket_rows: int = 16384, many: int = MANY) -> DataFrame:
     """Edges ``src, dst`` between the nodes of ``classes`` (``node, fp``: distinct fingerprints) within ``max_bits``.
 
     A fingerprint goes to every anchor within covering radius plus reach, per block; at each anchor those
     at home there are compared with all. A forest of each comparison is returned: no link between
-    components is lost, and a group of n fingerprints gives under n edges.
+    components is lost, and a group of n fingerprints gives under n edges. From ``many`` fingerprints on,
+    the anchors are those of larger codes; the links are the same.
     """
+    large = max_bits <= 4 and classes.count() >= many
 
     def places(fps: np.ndarray) -> pd.DataFrame:
-        x = anchored(fps.view(np.uint64), max_bits)
+        x = anchored(fps.view(np.uint64), max_bits, large)
         return x.assign(anchor=x.block.to_numpy() << 23 | x.anchor.to_numpy())
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -160,7 +176,7 @@ def linked_classes(classes: DataFrame, max_bits: int = 4, unit: int = 1024, buck
                 anchor, n = np.unique(places(batch.column(0).to_numpy(zero_copy_only=False)[at : at + 4096]).anchor.to_numpy(), return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(anchor), pa.array(n)], ["anchor", "n"])
 
-    # the anchors are those of the codes, at most some hundred thousand whatever the input
+    # the anchors are those of the codes, at most 600,000 whatever the input
     sizes = {r.anchor: r.n for r in classes.select("fp").mapInArrow(count, "anchor long, n long").groupBy("anchor").agg(F.sum("n").alias("n")).collect()}
     chunks_of = {k: -(-n // unit) for k, n in sizes.items() if n > unit}
     hot, hot_chunks = np.array(sorted(chunks_of), np.int64), np.array([chunks_of[k] for k in sorted(chunks_of)], np.int64)
@@ -194,7 +210,7 @@ def linked_classes(classes: DataFrame, max_bits: int = 4, unit: int = 1024, buck
             if j - i < 2:
                 continue
             fp, anchor = fps[i:j], int(key[i]) >> 36
-            at = np.flatnonzero(at_home(fp.view(np.uint64), anchor >> 23, anchor & (1 << 23) - 1, max_bits))
+            at = np.flatnonzero(at_home(fp.view(np.uint64), anchor >> 23, anchor & (1 << 23) - 1, max_bits, large))
             bits = np.bitwise_count(fp[at].view(np.uint64)[:, None] ^ fp.view(np.uint64)[None, :])
             near = bits <= max_bits
             if int(key[i]) >> 18 & 0x3FFFF != int(key[i]) & 0x3FFFF:
@@ -215,8 +231,8 @@ def simhash_near_dup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
     Documents link when their fingerprints differ in at most ``max_bits`` bits. ``component_id`` is the
     smallest id reachable, the document's own included. Equal fingerprints are one class before any
-    comparison. A null or wordless text has fingerprint 0 and links like any other; a row whose id is null is returned with a null component and links nothing; repeated
-    rows are returned as often as they come; an empty table gives no rows; other columns are not read.
+    comparison. A null or wordless text has fingerprint 0 and links like any other; a row whose id is null
+    is returned with a null component and links nothing; repeated rows are returned as often as they come; an empty table gives no rows; other columns are not read.
     """
     prints = written(fingerprints(docs, id_col, text_col, shingle), "fp")
     classes = written(prints.where("id is not null").groupBy("fp").agg(F.min("id").alias("node")).select("node", "fp"), "classes")

@@ -1,4 +1,4 @@
-"""Near-duplicates by the Jaccard similarity of word shingles, exactly: prefix filtering (Chaudhuri et al., 2006; Bayardo et al., 2007)."""
+"""Near-duplicates by the Jaccard similarity of word shingles: SimHash links first, then what fingerprints miss by prefix filtering (Chaudhuri et al., 2006; Bayardo et al., 2007)."""
 
 from __future__ import annotations
 
@@ -12,18 +12,17 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corvia.llm.common import pair_units, written
+from corvia.llm.common import discard, pair_units, written
 from corvia.llm.graph import components
-from corvia.llm.simhash import forest, shingle_hashes
+from corvia.llm.simhash import forest, linked_classes, majority, shingle_hashes
 
 #: One document in so many is read for the shingles that are common, of which so many are kept: they only order prefixes, and any order gives the same links.
 SAMPLE, COMMON = 16, 65536
 
 
-def shingle_set(text: str | None, shingle: int) -> np.ndarray:
+def shingle_set(hashes: np.ndarray) -> np.ndarray:
     """The different shingles' hashes (signed), ascending; a text without words has one, that of the empty string."""
-    found = shingle_hashes(text, shingle)
-    return np.unique((found if len(found) else np.array([xxhash.xxh64_intdigest(b"", 42)], np.uint64)).view(np.int64))
+    return np.unique((hashes if len(hashes) else np.array([xxhash.xxh64_intdigest(b"", 42)], np.uint64)).view(np.int64))
 
 
 def common_shingles(texts: DataFrame, shingle: int) -> tuple[np.ndarray, np.ndarray]:
@@ -32,7 +31,7 @@ def common_shingles(texts: DataFrame, shingle: int) -> tuple[np.ndarray, np.ndar
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for text in batch.column(0).to_pylist():
-                yield pa.RecordBatch.from_arrays([pa.array(shingle_set(text, shingle))], ["shingle"])
+                yield pa.RecordBatch.from_arrays([pa.array(shingle_set(shingle_hashes(text, shingle)))], ["shingle"])
 
     sample = texts.where(F.pmod(F.xxhash64("id"), F.lit(SAMPLE)) == 0).select("text").mapInArrow(run, "shingle long")
     top = sample.groupBy("shingle").agg(F.count(F.lit(1)).alias("n")).where("n >= 4").orderBy(F.desc("n"), "shingle").limit(COMMON).collect()
@@ -40,15 +39,16 @@ def common_shingles(texts: DataFrame, shingle: int) -> tuple[np.ndarray, np.ndar
     return rows[:, 0], rows[:, 1]
 
 
-def prefixes(texts: DataFrame, shingle: int, min_similarity: float) -> DataFrame:
-    """``id, same, n, prefix``: a key of the set of shingles, its size, and so many of its rarest that two similar sets share one of them."""
+def sketches(texts: DataFrame, shingle: int, min_similarity: float) -> DataFrame:
+    """``id, same, n, fp, prefix``: a key of the set of shingles, its size, the SimHash, and so many of the set's rarest that two similar sets share one of them."""
     common, counts = common_shingles(texts, shingle)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            same, sizes, lists = [], [], []
+            same, sizes, prints, lists = [], [], [], []
             for text in batch.column(1).to_pylist():
-                found = shingle_set(text, shingle)
+                hashes = shingle_hashes(text, shingle)
+                found = shingle_set(hashes)
                 often = np.zeros(len(found), np.int64)
                 if len(common):
                     at = np.minimum(np.searchsorted(common, found), len(common) - 1)
@@ -56,78 +56,113 @@ def prefixes(texts: DataFrame, shingle: int, min_similarity: float) -> DataFrame
                 most = len(found) - math.ceil(min_similarity * len(found) - 1e-9) + 1
                 same.append(xxhash.xxh3_128_digest(found.tobytes()))
                 sizes.append(len(found))
+                prints.append(majority(hashes))
                 lists.append(found[np.lexsort((found, often))[:most]])
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(same, pa.binary()), pa.array(sizes, pa.int64()), pa.array(lists, pa.list_(pa.int64()))], ["id", "same", "n", "prefix"])
+            columns = [batch.column(0), pa.array(same, pa.binary()), pa.array(sizes, pa.int64()), pa.array(np.array(prints, np.uint64).view(np.int64)), pa.array(lists, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(columns, ["id", "same", "n", "fp", "prefix"])
 
-    return texts.mapInArrow(run, "id long, same binary, n long, prefix array<long>")
+    return texts.mapInArrow(run, "id long, same binary, n long, fp long, prefix array<long>")
 
 
-def similar_pairs(texts: DataFrame, pairs: DataFrame, shingle: int, min_similarity: float) -> DataFrame:
-    """Those of ``pairs`` (``src, dst``: ids) whose whole texts have a Jaccard similarity of ``min_similarity`` or more."""
+def shingle_sets(texts: DataFrame, nodes: DataFrame, shingle: int) -> DataFrame:
+    """``node, n, found`` of the documents in ``nodes``: the set of shingles and its size."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            good = []
-            for a, b in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
-                x, y = shingle_set(a, shingle), shingle_set(b, shingle)
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                good.append(both >= min_similarity * (len(x) + len(y) - both))
-            yield pa.RecordBatch.from_arrays([batch.column(i).filter(pa.array(good, pa.bool_())) for i in range(2)], ["src", "dst"])
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
+                sets = [shingle_set(shingle_hashes(t, shingle)) for t in part.column(1).to_pylist()]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(x) for x in sets], pa.int64()), pa.array(sets, pa.list_(pa.int64()))], ["node", "n", "found"])
 
-    left = pairs.join(texts.select(F.col("id").alias("src"), F.col("text").alias("a")), "src")
-    return left.join(texts.select(F.col("id").alias("dst"), F.col("text").alias("b")), "dst").select("src", "dst", "a", "b").mapInArrow(run, "src long, dst long")
+    return texts.join(nodes, texts["id"] == nodes["node"]).select("node", "text").mapInArrow(run, "node long, n long, found array<long>")
 
 
-def similar_in_clusters(texts: DataFrame, clusters: DataFrame, shingle: int, min_similarity: float, unit: int) -> DataFrame:
-    """Edges ``src, dst`` that connect what the similar pairs of each cluster (``node, cluster``) connect: every pair meets in a unit, which returns a forest."""
+def similar_pairs(sets: DataFrame, pairs: DataFrame, min_similarity: float) -> DataFrame:
+    """Those of ``pairs`` (``src, dst``: nodes) whose sets have a Jaccard similarity of ``min_similarity`` or more."""
+    a, b = (sets.select(F.col("node").alias(end), F.col("n").alias(f"n_{end}"), F.col("found").alias(f"found_{end}")) for end in ("src", "dst"))
+    both = F.size(F.array_intersect("found_src", "found_dst"))
+    fit = F.least("n_src", "n_dst") >= F.greatest("n_src", "n_dst") * F.lit(min_similarity - 1e-9)
+    joined = pairs.join(a, "src").join(b, "dst").where(fit).withColumn("both", both)
+    return joined.where(F.col("both") >= F.lit(min_similarity) * (F.col("n_src") + F.col("n_dst") - F.col("both"))).select("src", "dst")
 
-    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([shingle_set(t, shingle) for t in batch.column(2).to_pylist()], pa.list_(pa.int64()))], ["node", "cluster", "found"])
+
+def similar_in_clusters(sets: DataFrame, clusters: DataFrame, min_similarity: float, unit: int) -> DataFrame:
+    """Edges ``src, dst`` between those nodes of a cluster (``node, cluster, label``) that are similar and not connected yet.
+
+    Every pair of a cluster meets in a unit of at most about twice ``unit`` shingles. Nodes of one label are
+    connected already, and what a unit finds connected it does not compare again, so it returns under as
+    many edges as it has nodes.
+    """
 
     def compare(pdf: pd.DataFrame) -> pd.DataFrame:
-        node, chunk, lists = pdf.node.to_numpy(), pdf.chunk.to_numpy(), list(pdf.found)
-        sizes = np.array([len(x) for x in lists])
+        pdf = pdf.iloc[np.lexsort((pdf.node.to_numpy(), pdf.n.to_numpy()))]
+        node, n, chunk, lists = pdf.node.to_numpy(), pdf.n.to_numpy(), pdf.chunk.to_numpy(), list(pdf.found)
+        label = np.unique(pdf.label.to_numpy(), return_inverse=True)[1]
+        apart = pdf.lo.iloc[0] != pdf.hi.iloc[0]
         words, flat = np.unique(np.concatenate(lists), return_inverse=True)
-        starts = np.cumsum(sizes) - sizes
-        left = np.flatnonzero(chunk == pdf.lo.iloc[0])
-        mark, links = np.zeros(len(words), bool), [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
-        for i in left.tolist():
-            own = flat[starts[i] : starts[i] + sizes[i]]
+        ends = np.cumsum(n)
+        starts, mark, src, dst = ends - n, np.zeros(len(words), bool), [], []
+        for i in range(len(node) - 1):
+            last = int(np.searchsorted(n, n[i] / min_similarity + 1e-6, side="right"))
+            open_ = (label[i + 1 : last] != label[i]) & ((chunk[i + 1 : last] != chunk[i]) if apart else True)
+            if not open_.any():
+                continue
+            own = flat[starts[i] : ends[i]]
             mark[own] = True
-            both = np.add.reduceat(mark[flat], starts, dtype=np.int64)
+            both = np.add.reduceat(mark[flat[starts[i + 1] : ends[last - 1]]], starts[i + 1 : last] - starts[i + 1], dtype=np.int64)
             mark[own] = False
-            near = np.flatnonzero(both >= min_similarity * (sizes + sizes[i] - both))
-            links.append((np.full(len(near), i), near))
-        member, root = forest(*map(np.concatenate, zip(*links)), len(node))
-        return pd.DataFrame({"src": node[member], "dst": node[root]})
+            near = np.flatnonzero(open_ & (both >= min_similarity * (n[i + 1 : last] + n[i] - both))) + i + 1
+            for j in near.tolist():
+                if label[j] != label[i]:
+                    src.append(node[i])
+                    dst.append(node[j])
+                    label[label == label[j]] = label[i]
+        return pd.DataFrame({"src": np.array(src, np.int64), "dst": np.array(dst, np.int64)})
 
-    rows = texts.join(clusters, texts["id"] == clusters["node"]).select("node", "cluster", "text").mapInArrow(sets, "node long, cluster long, found array<long>")
-    return pair_units(written(rows, "sets"), ["cluster"], F.col("node"), unit).groupBy("cluster", "lo", "hi").applyInPandas(compare, "src long, dst long")
+    rows = written(sets.join(clusters, "node"), "clusters")
+    return pair_units(rows, ["cluster"], F.col("node"), unit, F.col("n")).groupBy("cluster", "lo", "hi").applyInPandas(compare, "src long, dst long")
 
 
-def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, min_similarity: float = 0.8, hot: int = 32, unit: int = 512) -> DataFrame:
+def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, min_similarity: float = 0.8, max_bits: int = 4, hot: int = 32, unit: int = 200_000) -> DataFrame:
     """``node, component``: each id that some other is linked to, and the smallest id reachable.
 
     Two documents link if the Jaccard similarity of their sets of word shingles is ``min_similarity`` or
-    more; every such pair counts and no other. Similar sets share one of the shingles of their prefixes, so
-    pairs that do are compared by their whole texts. Where over ``hot`` sets share one, all that such
-    shingles connect are a cluster, compared in units of chunk pairs, each of which gives fewer edges than
-    it has documents. Equal sets are one before any comparison. Texts of no words link with each other;
-    rows of one id are one node; rows without id are left out.
+    more; every such pair counts and no other. Equal sets are one node. SimHash fingerprints within
+    ``max_bits`` bits, found at the anchors of a covering code, are candidates whose sets decide; they
+    connect most of a group of near copies. At a similarity of 0.8 fingerprints differ in about ten bits,
+    so many pairs are beyond any code's reach; these come by prefixes: similar sets share one of the
+    shingles of their prefixes, so nodes that do and are not connected yet are compared. Where over ``hot``
+    nodes share a shingle, all that such shingles connect are a cluster, compared in units of chunk pairs.
+    Texts of no words (null, too) link with each other; rows of one id are one node; rows without id are
+    left out; no rows give none; other columns are not read.
     """
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).where("id is not null")
-    own = written(prefixes(texts, shingle, min_similarity), "prefixes")
-    classes = own.groupBy("same").agg(F.min("id").alias("node"), F.first("n").alias("n"), F.first("prefix").alias("prefix"))
+    own = written(sketches(texts, shingle, min_similarity), "sketches")
+    classes = written(own.groupBy("same").agg(F.min("id").alias("node"), F.first("n").alias("n"), F.min("fp").alias("fp"), F.first("prefix").alias("prefix")), "classes")
+    equal = own.join(classes.select("same", "node"), "same").where("id <> node").select(F.col("node").alias("src"), F.col("id").alias("dst"))
+
     posted = classes.select("node", "n", F.explode("prefix").alias("shingle"))
-    keys = posted.groupBy("shingle").agg(F.count(F.lit(1)).alias("sets"), F.min("node").alias("first")).where("sets > 1")
+    keys = written(posted.groupBy("shingle").agg(F.count(F.lit(1)).alias("sets")).where("sets > 1").select("shingle"), "keys")
     held = written(posted.join(keys, "shingle"), "posted")
-    clusters = written(components(held.where(F.col("sets") > hot).select("first", "node"), "first", "node").select("node", F.col("component").alias("cluster")), "clusters")
-    few = held.where(F.col("sets") <= hot).join(clusters, "node", "left").select("shingle", "node", "n", "cluster")
-    a, b = (few.select("shingle", *(F.col(c).alias(f"{c}_{end}") for c in ("node", "n", "cluster"))) for end in "ab")
-    sizes_fit = F.least("n_a", "n_b") >= F.greatest("n_a", "n_b") * F.lit(min_similarity - 1e-9)
-    apart = ~F.coalesce(F.col("cluster_a") == F.col("cluster_b"), F.lit(False))
-    pairs = written(a.join(b, "shingle").where((F.col("node_a") < F.col("node_b")) & sizes_fit & apart).select(F.col("node_a").alias("src"), F.col("node_b").alias("dst")).distinct(), "pairs")
-    equal = own.join(own.groupBy("same").agg(F.min("id").alias("src")), "same").where("id <> src").select("src", F.col("id").alias("dst"))
-    found = similar_pairs(texts, pairs, shingle, min_similarity).unionByName(similar_in_clusters(texts, clusters, shingle, min_similarity, unit)).unionByName(equal)
+    sets = written(shingle_sets(texts, held.select("node").distinct(), shingle), "sets")
+
+    prints = classes.groupBy("fp").agg(F.min("node").alias("node"))
+    alike = classes.join(prints.withColumnRenamed("node", "src"), "fp").where("src <> node").select("src", F.col("node").alias("dst"))
+    close = linked_classes(written(prints, "prints"), max_bits).unionByName(alike)
+    sure = written(similar_pairs(sets, close, min_similarity), "sure")
+    known = written(components(sure).select("node", F.col("component").alias("label")), "known")
+
+    labelled = written(held.join(known, "node", "left").withColumn("label", F.coalesce("label", "node")), "labelled")
+    mixed = written(labelled.groupBy("shingle").agg(F.count(F.lit(1)).alias("sets"), F.min("node").alias("first"), F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("shingle", "sets", "first"), "mixed")
+    open_ = written(labelled.join(mixed, "shingle"), "open")
+    joined = components(open_.where(F.col("sets") > hot).select("first", "node"), "first", "node")
+    clusters = written(joined.select("node", F.col("component").alias("cluster")).join(known, "node", "left").withColumn("label", F.coalesce("label", "node")), "clusters")
+    few = open_.where(F.col("sets") <= hot).join(clusters.select("node", "cluster"), "node", "left").select("shingle", "node", "n", "label", "cluster")
+    a, b = (few.select("shingle", *(F.col(c).alias(f"{c}_{end}") for c in ("node", "n", "label", "cluster"))) for end in "ab")
+    fit = F.least("n_a", "n_b") >= F.greatest("n_a", "n_b") * F.lit(min_similarity - 1e-9)
+    apart = (F.col("label_a") != F.col("label_b")) & ~F.coalesce(F.col("cluster_a") == F.col("cluster_b"), F.lit(False))
+    pairs = written(a.join(b, "shingle").where((F.col("node_a") < F.col("node_b")) & fit & apart).select(F.col("node_a").alias("src"), F.col("node_b").alias("dst")).distinct(), "pairs")
+    discard(labelled, mixed, open_, held, keys)
+    found = written(sure.unionByName(similar_pairs(sets, pairs, min_similarity)).unionByName(similar_in_clusters(sets, clusters, min_similarity, unit)).unionByName(equal), "links")
+    discard(own, classes, sets, sure, known, clusters, pairs)
     return components(found)

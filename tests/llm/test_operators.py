@@ -71,10 +71,11 @@ def test_simhash_links_at_the_edge(spark):
     signed = [int(np.uint64(p).astype(np.int64)) for p in prints]
     classes = spark.createDataFrame(list(enumerate(signed)), "node long, fp long")
     for bits in (4, 10):
-        edges = linked_classes(classes, bits, unit=8, bucket_rows=64).collect()
         links = {(i, j) for i, a in enumerate(prints) for j, b in enumerate(prints) if i < j and (a ^ b).bit_count() <= bits}
         ids = list(range(len(prints)))
-        assert brute.reachable(ids, {(e.src, e.dst) for e in edges}) == brute.reachable(ids, links)
+        for many in (10**9, 0):  # either layout of the codes
+            edges = linked_classes(classes, bits, unit=8, bucket_rows=64, many=many).collect()
+            assert brute.reachable(ids, {(e.src, e.dst) for e in edges}) == brute.reachable(ids, links)
 
 
 @pytest.mark.parametrize("window", [5, 35])
