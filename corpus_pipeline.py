@@ -32,7 +32,8 @@ def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates, that of the smallest id, and the rows without id.
 
-    Near-duplicates are linked by a Jaccard similarity of 0.8 or more on shingles of five words.
+    Near-duplicates are linked by a Jaccard similarity of 0.8 or more on shingles of five words: by SimHash
+    at the anchors of a covering code, checked on the shingles, and what fingerprints miss by prefixes.
     """
     gone = similar_groups(docs, shingle=5, min_similarity=0.8).where("node <> component").select(F.col("node").alias("doc_id"))
     return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
@@ -51,7 +52,7 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 STAGES = [
     ("quality classifier", keep_quality),
     ("line dedup", drop_lines),
-    ("Jaccard near-dedup", drop_near_duplicates),
+    ("SimHash near-dedup", drop_near_duplicates),
     ("mixing sources", mix),
     ("best-fit packing", pack),
 ]
