@@ -93,8 +93,8 @@ def pair_units(rows: DataFrame, keys: list[str], spread: Column, unit: int, weig
 
 
 def ranges_by_document(ranges: DataFrame, *fields: str) -> DataFrame:
-    """``id, th`` and the list ``ranges`` of the document's structs: no longer than the document."""
-    return ranges.groupBy("id", "th").agg(F.collect_list(F.struct(*fields)).alias("ranges"))
+    """``id, th`` and the list ``ranges`` of the document's different structs: no longer than the document, however often the row repeats."""
+    return ranges.groupBy("id", "th").agg(F.collect_set(F.struct(*fields)).alias("ranges"))
 
 
 def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:

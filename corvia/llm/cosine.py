@@ -17,6 +17,8 @@ from corvia.llm.vectors import all_finite, matrix
 
 #: Budgets of squared distance are widened by this much, far above rounding; the exact test decides.
 SLACK = 1e-9
+#: Coordinates of a block that are cut into cells: with each, a vector goes to half as many cells more.
+GRID = 2
 
 
 def rotation(dims: int, seed: int = 11) -> np.ndarray:
@@ -48,16 +50,17 @@ class Subspaces:
         return np.stack([d[:, x].sum(1) <= y for x, y in zip(self.cuts, self.budgets)], 1).argmax(1)
 
 
-def linked_vectors(classes: DataFrame, dims: int, threshold: float, width: int = 8, unit: int = 32768) -> DataFrame:
+def linked_vectors(classes: DataFrame, dims: int, threshold: float, width: int = 8, unit: int = 1 << 21) -> DataFrame:
     """``node, root, links`` from each comparison: ``links`` sums the sizes of the classes linked to the node there, ``root`` is the smallest place of its component there.
 
     ``classes`` is ``node, size, v``, vectors all different. If two unit vectors are within the threshold's
-    distance, in some block they are within that block's share of it. Each block is range-joined: its
-    first coordinate is cut into strips twice as wide as the block's reach, a vector goes to its own strip
-    and to a lower one that its reach touches, so that two vectors meet once, in the lower strip of theirs;
-    there the second coordinate bounds the partners, the block's squared distance (in single precision,
-    with a margin) picks the candidates and the cosine of the whole vectors decides. A pair counts in the
-    first block that it meets.
+    distance, in some block they are within that block's share of it. Each block is range-joined: its first
+    ``GRID`` coordinates are cut into cells twice as wide as the block's reach. A vector goes to its own
+    cell and, along each coordinate, to the lower one if its reach touches that; so two vectors meet in the
+    cell that is along each coordinate the lower of theirs, and count there alone. The next coordinate
+    bounds the partners, the block's squared distance (in single precision, with a margin) picks the
+    candidates and the cosine of the whole vectors decides. A pair counts in the first block that it
+    meets. A cell of over ``unit`` components is cut into chunk pairs.
     """
     spaces = Subspaces(dims, threshold, width)
 
@@ -67,50 +70,51 @@ def linked_vectors(classes: DataFrame, dims: int, threshold: float, width: int =
                 part = batch.slice(at, 4096)
                 turned = units_of(matrix(part.column(2), dims)) @ spaces.turn
                 for block, (cut, budget) in enumerate(zip(spaces.cuts, spaces.budgets)):
-                    reach = np.sqrt(budget)
-                    own, low = (np.floor(x / (2 * reach)).astype(np.int64) for x in (turned[:, cut[0]], turned[:, cut[0]] - reach))
-                    n = own - low + 1
-                    row = np.repeat(np.arange(len(own)), n)
-                    strip = low[row] + np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
+                    reach, row = np.sqrt(budget), np.arange(len(turned))
+                    cell, home = np.zeros(len(row), np.int64), np.zeros(len(row), np.int32)
+                    for i, along in enumerate(cut[:GRID]):
+                        own, low = (np.floor(x / (2 * reach)).astype(np.int64) for x in (turned[row, along], turned[row, along] - reach))
+                        touch = np.flatnonzero(low < own)
+                        cell, home = cell << 21 | (own + (1 << 20)), home | 1 << i
+                        row, cell, home = np.concatenate([row, row[touch]]), np.concatenate([cell, cell[touch] - 1]), np.concatenate([home, home[touch] ^ 1 << i])
                     take = pa.array(row)
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(row), block, np.int32)), pa.array(strip.astype(np.int32)), pa.array(strip == own[row]), *(part.column(i).take(take) for i in range(3))], ["block", "strip", "home", "node", "size", "v"])
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(row), block, np.int32)), pa.array(cell), pa.array(home), *(part.column(i).take(take) for i in range(3))], ["block", "cell", "home", "node", "size", "v"])
 
     def compare(pdf: pd.DataFrame) -> pd.DataFrame:
         block, apart = int(pdf.block.iloc[0]), pdf.lo.iloc[0] != pdf.hi.iloc[0]
         v = matrix(list(pdf.v), dims)
         turned = units_of(v) @ spaces.turn
         cut, budget = spaces.cuts[block], spaces.budgets[block]
-        along = cut[min(1, len(cut) - 1)]
-        order = np.lexsort((turned[:, along], ~pdf.home.to_numpy(bool)))  # those at home first, each part along the second coordinate
+        along, everywhere = cut[min(GRID, len(cut) - 1)], (1 << len(cut[:GRID])) - 1
+        order = np.argsort(turned[:, along], kind="stable")
         pdf, v, turned = pdf.iloc[order], v[order], turned[order]
-        node, size, chunk, home = pdf.node.to_numpy(), pdf["size"].to_numpy(), pdf.chunk.to_numpy(), int(pdf.home.sum())
-        second, part, reach = turned[:, along], turned[:, cut], np.sqrt(budget)
+        node, size, chunk, home = pdf.node.to_numpy(), pdf["size"].to_numpy(), pdf.chunk.to_numpy(), pdf.home.to_numpy()
+        sorted_by, part, reach = turned[:, along], turned[:, cut], np.sqrt(budget)
         norms = (part * part).sum(1)
         left, right = np.column_stack([-2 * part, norms, np.ones(len(part))]).astype(np.float32), np.column_stack([part, np.ones(len(part)), norms]).T.astype(np.float32).copy()
         links, members, roots = np.zeros(len(node)), np.zeros(0, np.int64), np.zeros(0, np.int64)
-        for at in range(0, home, 256):
-            end = min(at + 256, home)
-            up = int(np.searchsorted(second[:home], second[end - 1] + reach, side="right"))
-            i, j = (home + np.searchsorted(second[home:], (second[at] - reach, second[end - 1] + reach))).tolist()
-            for first, last in ((at, up), (i, j + 1)):
-                r, c = np.divmod(np.flatnonzero((left[at:end] @ right[:, first:last] <= np.float32(budget + 1e-5)).ravel()), max(1, min(last, len(node)) - first))
-                r, c = r + at, c + first
-                keep = ((c > r) if first == at else (c >= home)) & ((chunk[r] != chunk[c]) if apart else True)
-                r, c = r[keep], c[keep]
-                for k in range(0, len(r), 65536):
-                    a, b = r[k : k + 65536], c[k : k + 65536]
-                    good = (spaces.first_met(turned[a], turned[b]) == block) & (cosines(v[a], v[b]) >= threshold)
-                    a, b = a[good], b[good]
-                    if len(a):
-                        links += np.bincount(a, size[b], len(node)) + np.bincount(b, size[a], len(node))
-                        members, roots = forest(np.concatenate([members, a]), np.concatenate([roots, b]), len(node))
+        for at in range(0, len(node), 256):
+            end = min(at + 256, len(node))
+            last = int(np.searchsorted(sorted_by, sorted_by[end - 1] + reach, side="right"))
+            r, c = np.divmod(np.flatnonzero((left[at:end] @ right[:, at:last] <= np.float32(budget + 1e-5)).ravel()), last - at)
+            r, c = r + at, c + at
+            keep = (c > r) & ((home[r] | home[c]) == everywhere) & ((chunk[r] != chunk[c]) if apart else True)
+            r, c = r[keep], c[keep]
+            for k in range(0, len(r), 65536):
+                a, b = r[k : k + 65536], c[k : k + 65536]
+                good = (spaces.first_met(turned[a], turned[b]) == block) & (cosines(v[a], v[b]) >= threshold)
+                a, b = a[good], b[good]
+                if len(a):
+                    links += np.bincount(a, size[b], len(node)) + np.bincount(b, size[a], len(node))
+                    members, roots = forest(np.concatenate([members, a]), np.concatenate([roots, b]), len(node))
         root = np.arange(len(node))
         root[members] = roots
         linked = np.flatnonzero(links)
         return pd.DataFrame({"node": node[linked], "root": node[root[linked]], "links": links[linked].astype(np.int64)})
 
-    rows = pair_units(classes.select("node", "size", "v").mapInArrow(spread, "block int, strip int, home boolean, node long, size long, v array<double>"), ["block", "strip"], F.col("node"), unit)
-    return rows.groupBy("block", "strip", "lo", "hi").applyInPandas(compare, "node long, root long, links long")
+    spread_out = classes.select("node", "size", "v").mapInArrow(spread, "block int, cell long, home int, node long, size long, v array<double>")
+    rows = pair_units(spread_out, ["block", "cell"], F.col("node"), max(1, unit // dims))
+    return rows.groupBy("block", "cell", "lo", "hi").applyInPandas(compare, "node long, root long, links long")
 
 
 def cosine_near_dup(rows: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", threshold: float = 0.95) -> DataFrame:

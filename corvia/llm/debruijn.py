@@ -72,11 +72,12 @@ def repeated_pieces(docs: DataFrame, k: int) -> DataFrame:
                 found = [twice(word_hashes(t.encode().split())) for t in part.column(1).to_pylist()]
                 each = [np.unique(x, return_counts=True) for x in found]
                 rows = pa.array(np.repeat(np.arange(len(each)), [len(x) for x, _ in each]))
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([x for x, _ in each])), part.column(0).take(rows), pa.array(np.concatenate([n for _, n in each]).astype(np.int32))], ["seed", "id", "n"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([x for x, _ in each])), part.column(0).take(rows), pa.array(np.concatenate([n for _, n in each]).astype(np.int32))], ["seed", "key", "n"])
 
-    seeds = docs.select("id", "text").mapInArrow(seeds_of, "seed long, id long, n int")
+    docs = docs.withColumn("key", F.xxhash64("id", "th"))
+    seeds = docs.select("key", "text").mapInArrow(seeds_of, "seed long, key long, n int")
     often = written(seeds.groupBy("seed").agg(F.sum("n").alias("n")).where("n > 1").select("seed"), "often")
-    wanted = written(seeds.join(often, "seed", "left_semi").groupBy("id").agg(F.collect_set("seed").alias("seeds")), "seeds")
+    wanted = written(seeds.join(often, "seed", "left_semi").groupBy("key").agg(F.collect_set("seed").alias("seeds")), "seeds")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -93,7 +94,7 @@ def repeated_pieces(docs: DataFrame, k: int) -> DataFrame:
                     hashes = pa.array([xxhash.xxh64_intdigest(x) - (1 << 63) for x in edges], pa.int64())
                     yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in rows], pa.int64()), pa.array(edges, pa.binary()), hashes, pa.array([x[2] for x in rows], pa.int64()), pa.array([x[3] for x in rows], pa.int64()), pa.array([x[4] for x in rows], pa.int32())], ["seed", "edges", "ph", "id", "th", "start"])
 
-    return docs.join(wanted, "id").select("id", "th", "text", "seeds").mapInArrow(run, "seed long, edges binary, ph long, id long, th long, start int")
+    return docs.join(wanted, "key").select("id", "th", "text", "seeds").mapInArrow(run, "seed long, edges binary, ph long, id long, th long, start int")
 
 
 def repeated_paths(docs: DataFrame, k: int) -> DataFrame:
@@ -103,7 +104,8 @@ def repeated_paths(docs: DataFrame, k: int) -> DataFrame:
     the number of their places; the edges of the pieces are counted by these, and edges of one place are
     none of the graph. Where every place of an edge has the same edge before and after it, the path goes
     on; where they differ, or a piece or its repeated part ends, it branches. So each place of a path has
-    all of it, and its first edge names it. In and out degrees are aggregates by edge, joined back to the
+    all of it, and its first edge names it. The one piece of a seed that has no other is such a path as a
+    whole, so its edges need no degrees. In and out degrees are aggregates by edge, joined back to the
     edges of the pieces, and the paths of a piece to its places in the documents.
     """
     places = written(repeated_pieces(docs, k), "places")
@@ -158,7 +160,7 @@ def verified(docs: DataFrame, paths: DataFrame, k: int) -> DataFrame:
 
     spans = ranges_by_document(paths, "start", "n", "path")
     read = written(docs.join(spans, ["id", "th"]).select("id", "th", "text", "ranges").mapInArrow(run, "id long, th long, start int, n int, path long, words binary"), "spans")
-    same = read.groupBy("path", "words").agg(F.count(F.lit(1)).alias("places")).where("places > 1").select("path", "words")
+    same = written(read.groupBy("path", "words").agg(F.count(F.lit(1)).alias("places")).where("places > 1").select("path", "words"), "same")
     return read.join(same, ["path", "words"], "left_semi").select("id", "th", "start", "n")
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -28,17 +29,25 @@ WORDS = frozenset(
     "notification pagination pager paywall popup promo promoted promotion recommended related replies respond share sharing sidebar signup skip social sponsor sponsored sponsors subscribe subscription tags teaser toc toolbar widget widgets".split()
 )
 HOLDS_ARTICLE = frozenset(("article", "main", "h1"))
+#: An element of a doubtful class or id stays if it has this share of the page's points.
+MOST_POINTS = 0.75
+#: The container around the best takes its place if it is worth this share of it; half of it comes from the best itself.
+WIDER = 0.75
 
 _TAG = re.compile(r"<(?:!--(?:.*?--!?>|.*)|[!?][^>]*>|(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|(/?)([a-zA-Z][^\s/>]*)([^>]*)>)", re.S)
 _ATTR = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]*)))?")
 _SPLIT = re.compile(r"[^a-zA-Z0-9]+|(?<=[a-z])(?=[A-Z])")
 
 
+#: Whose points are their parent's, in full.
+PARAGRAPHS = frozenset("p pre li td blockquote dd h1 h2 h3 h4 h5 h6".split())
+
+
 class Node:
-    __slots__ = ("tag", "attrs", "kids", "parent", "score", "gone")
+    __slots__ = ("tag", "attrs", "kids", "parent", "gone", "doubtful", "holds", "chars", "linked", "inline", "inline_linked", "commas", "points", "mass", "score")
 
     def __init__(self, tag: str, attrs: str, parent: Node | None):
-        self.tag, self.attrs, self.kids, self.parent, self.score, self.gone = tag, attrs, [], parent, 0.0, False
+        self.tag, self.attrs, self.kids, self.parent, self.gone, self.doubtful = tag, attrs, [], parent, False, False
 
     def walk(self) -> Iterator[Node]:
         stack = [self]
@@ -47,11 +56,21 @@ class Node:
             yield node
             stack += [k for k in reversed(node.kids) if isinstance(k, Node)]
 
+    def elements(self) -> list[Node]:
+        return [k for k in self.kids if isinstance(k, Node) and not k.gone]
+
 
 def parse(page: str) -> Node:
     """A tree of elements and raw text; open paragraphs, list items and cells end where HTML ends them, stray end tags are ignored."""
     root = node = Node("html", "", None)
-    at = 0
+    at, still_open = 0, Counter(("html",))  # open elements by tag: no search for one that is not there
+
+    def leave(to: Node | None) -> None:
+        nonlocal node
+        while to and node is not to:
+            still_open[node.tag] -= 1
+            node = node.parent
+
     while found := _TAG.search(page, at):
         if found.start() > at:
             node.kids.append(page[at : found.start()])
@@ -61,12 +80,13 @@ def parse(page: str) -> Node:
             continue
         tag = tag.lower()
         if end:
-            node = _closed(node, tag)
+            if still_open[tag]:
+                leave(_around(node, (tag,), BLOCK if tag not in BLOCK else frozenset()))
             continue
-        if tag in CLOSES_PARAGRAPH:
-            node = _up_to(node, ("p",), SCOPE)
-        if tag in SAME_CLOSES:
-            node = _up_to(node, SAME_CLOSES[tag], SCOPE - {"body", "html"})
+        if tag in CLOSES_PARAGRAPH and still_open["p"]:
+            leave(_around(node, ("p",), SCOPE))
+        if tag in SAME_CLOSES and any(still_open[x] for x in SAME_CLOSES[tag]):
+            leave(_around(node, SAME_CLOSES[tag], SCOPE - {"body", "html"}))
         child = Node(tag, attrs, node)
         node.kids.append(child)
         if tag in RAW:
@@ -74,48 +94,39 @@ def parse(page: str) -> Node:
             at = stop.end() if stop else len(page)
         elif tag not in VOID and not (attrs.endswith("/") and tag not in BLOCK):
             node = child
+            still_open[tag] += 1
     if at < len(page):
         node.kids.append(page[at:])
     return root
 
 
-def _up_to(node: Node, tags: tuple[str, ...], scope: frozenset[str]) -> Node:
-    """Close the nearest open element of ``tags``, unless an element of ``scope`` is in between."""
-    at = node
-    while at.parent:
-        if at.tag in tags:
-            return at.parent
-        if at.tag in scope:
-            break
-        at = at.parent
-    return node
-
-
-def _closed(node: Node, tag: str) -> Node:
-    at, inline = node, tag not in BLOCK
-    while at.parent:
-        if at.tag == tag:
-            return at.parent
-        if inline and at.tag in BLOCK:
-            break
-        at = at.parent
-    return node
+def _around(node: Node, tags: tuple[str, ...], scope: frozenset[str]) -> Node | None:
+    """The parent of the nearest open element of ``tags``, unless there is none or an element of ``scope`` is in between."""
+    while node.parent:
+        if node.tag in tags:
+            return node.parent
+        if node.tag in scope:
+            return None
+        node = node.parent
+    return None
 
 
 def _attributes(node: Node) -> dict[str, str]:
     return {m[1].lower(): html.unescape(m[2] or m[3] or m[4] or "") for m in _ATTR.finditer(node.attrs)}
 
 
-def _unwanted(node: Node) -> bool:
+def _judge(node: Node) -> None:
+    """Mark furniture as gone. A class or id that is a word for furniture, or ends in one, says so; one that only begins with it or has it inside leaves it to the scores, as any does of an article."""
     if node.tag in DROPPED:
-        return True
-    if not node.attrs or node.tag in ("html", "body", "article", "main"):
-        return False
-    attrs = _attributes(node)
-    named = {w.lower() for w in _SPLIT.split(f"{attrs.get('class', '')} {attrs.get('id', '')}")}
-    if attrs.get("role", "").lower() in ROLES or "hidden" in attrs or re.search(r"display\s*:\s*none", attrs.get("style", "")):
-        return True
-    return bool(named & WORDS) and not any(k.tag in HOLDS_ARTICLE for k in node.walk())
+        node.gone = True
+    elif node.attrs and node.tag not in ("html", "body", "main"):
+        attrs = _attributes(node)
+        if attrs.get("role", "").lower() in ROLES or "hidden" in attrs or re.search(r"display\s*:\s*none", attrs.get("style", "")):
+            node.gone = True
+        elif not any(isinstance(k, Node) and k.holds for k in node.kids):
+            names = [[w.lower() for w in _SPLIT.split(x) if w] for x in f"{attrs.get('class', '')} {attrs.get('id', '')}".split()]
+            node.gone = node.tag != "article" and any(x and x[-1] in WORDS for x in names)
+            node.doubtful = not node.gone and any(w in WORDS for x in names for w in x)
 
 
 def blocks(node: Node, out: list[str] | None = None) -> list[str]:
@@ -144,35 +155,60 @@ def blocks(node: Node, out: list[str] | None = None) -> list[str]:
     return out
 
 
-def _points(node: Node) -> None:
-    """Each paragraph's points go to its parent in full, to the next ancestor by half, to further ones by a third of the distance."""
-    for x in node.walk():
-        own = [k for k in x.kids if isinstance(k, str)] + [t for k in x.kids if isinstance(k, Node) and k.tag not in BLOCK and not k.gone for t in blocks(k)]
-        text = "".join(own).strip()
-        if not text or (x.tag not in BLOCK):
-            continue
-        points = 1 + text.count(",") + min(len(text) / 100, 3) if len(text) >= 25 else len(text) / 100
-        points *= 1 - _link_density(x)
-        at, far = (x.parent or x) if x.tag in ("p", "pre", "li", "td", "blockquote", "dd") or x.tag[0] == "h" and x.tag[1:].isdigit() else x, 0
-        while at and far < 6:
-            at.score += points / (1, 2, 6, 9, 12, 15)[far]
-            at, far = at.parent, far + 1
+def _weigh(order: list[Node]) -> None:
+    """Lengths, link lengths and points of all elements that are not gone, children first.
+
+    A block's own line of text gives points for its length and its commas, less its share of link text.
+    Paragraphs give them to their parent, other blocks keep them; half of what an element has goes on to
+    its parent, and so on to the root.
+    """
+    for x in reversed(order):
+        own = [html.unescape(k) for k in x.kids if isinstance(k, str)]
+        kids = x.elements()
+        length = sum(len(" ".join(t.split())) for t in own)
+        x.chars = length + sum(k.chars for k in kids)
+        x.linked = x.chars if x.tag == "a" else sum(k.linked for k in kids)
+        within = [k for k in kids if k.tag not in BLOCK]
+        x.inline = length + sum(k.inline for k in within)
+        x.inline_linked = x.inline if x.tag == "a" else sum(k.inline_linked for k in within)
+        x.commas = sum(t.count(",") for t in own) + sum(k.commas for k in within)
+        x.points = 0.0
+        if x.tag in BLOCK and x.inline:
+            x.points = 1 + x.commas + min(x.inline / 100, 3) if x.inline >= 25 else x.inline / 100
+            x.points *= 1 - x.inline_linked / x.inline
+        x.mass = x.points + sum(k.mass for k in kids)
+        x.score = (0.0 if x.tag in PARAGRAPHS else x.points) + sum(k.score / 2 + (k.points if k.tag in PARAGRAPHS else 0.0) for k in kids)
 
 
 def _link_density(node: Node) -> float:
-    size = sum(map(len, blocks(node)))
-    linked = sum(sum(map(len, blocks(k))) for k in node.walk() if k.tag == "a")
-    return min(1.0, linked / size) if size else 0.0
+    return node.linked / node.chars if node.chars else 0.0
 
 
-def _prune(root: Node) -> None:
-    stack = [root]
-    while stack:
-        x = stack.pop()
-        if x is not root and _unwanted(x):
+def _scored(root: Node) -> list[Node]:
+    """The elements in page order that are not gone, weighed; a doubtful one goes unless it has most of the page's points."""
+    everything = list(root.walk())
+    for x in reversed(everything):
+        x.holds = x.tag in HOLDS_ARTICLE or any(isinstance(k, Node) and k.holds for k in x.kids)
+
+    def left() -> list[Node]:
+        found, stack = [], [root]
+        while stack:
+            x = stack.pop()
+            found.append(x)
+            stack += reversed(x.elements())
+        return found
+
+    for x in everything[1:]:
+        _judge(x)
+    order = left()
+    _weigh(order)
+    doubtful = [x for x in order if x.doubtful and x.mass < MOST_POINTS * root.mass]
+    if doubtful:
+        for x in doubtful:
             x.gone = True
-            x.kids = []
-        stack += [k for k in x.kids if isinstance(k, Node)]
+        order = left()
+        _weigh(order)
+    return order
 
 
 def main_text(page: str | None) -> str:
@@ -180,26 +216,21 @@ def main_text(page: str | None) -> str:
     if not page:
         return ""
     root = parse(page)
-    _prune(root)
-    _points(root)
-    best = max(root.walk(), key=lambda x: x.score * (1 - _link_density(x)) if x.score else -1.0)
+    worth = lambda x: x.score * (1 - _link_density(x))
+    best = max(_scored(root), key=worth)
     if best.score <= 0:
         return ""
-    for wanted in ("article", "main"):
-        at = best
-        while at and at.tag != wanted:
-            at = at.parent
-        if at:
-            return " ".join(blocks(at))
-    inside = [x for x in root.walk() if x.tag in ("article", "main") and blocks(x)]
-    if len(inside) == 1 and len(" ".join(blocks(inside[0]))) >= 0.5 * len(" ".join(blocks(best))):
-        return " ".join(blocks(inside[0]))
-    if best.tag in ("html", "body") or not best.parent:
-        return " ".join(blocks(best))
+    while best.parent and worth(best.parent) >= WIDER * worth(best):
+        best = best.parent
+    at = best
+    while at and at.tag not in ("article", "main"):
+        at = at.parent
+    if at or best.tag in ("html", "body") or not best.parent:
+        return " ".join(blocks(at or best))
     bar = max(best.score * 0.2, 0.1)
     texts = []
-    for x in best.parent.kids:
-        if isinstance(x, Node) and (x is best or x.score >= bar and _link_density(x) < 0.3 or x.tag in ("p", "h1", "h2", "h3", "pre", "blockquote", "ul", "ol") and _link_density(x) < 0.3):
+    for x in best.parent.elements():
+        if x is best or _link_density(x) < 0.3 and (x.score >= bar or x.tag in ("p", "h1", "h2", "h3", "pre", "blockquote", "ul", "ol")):
             texts += blocks(x)
     return " ".join(texts)
 
@@ -207,10 +238,12 @@ def main_text(page: str | None) -> str:
 def extract_pages(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """``page_id, url, text, n_chars`` of every page, from the whole of its HTML.
 
-    Page furniture goes first (by element, role and words of class or id). Paragraphs then pass points for
-    length and commas, less their share of link text, to their ancestors; the best container is kept,
-    widened to the article or main element around it, or else with those of its siblings that are
-    paragraphs or score a fifth of it. A null or empty page has an empty text; ids and urls may be null or
+    Page furniture goes first: by element, by role, by a class or id that is or ends in a word for it, and
+    by one that merely has such a word in it where the element has under three quarters of the page's
+    points. Paragraphs pass points for length and commas, less their share of link text, to their
+    ancestors, half as many with each step up; the best container is kept, widened to what is around it
+    and worth nearly as much, to the article or main element around it, or else with those of its siblings that are paragraphs or score a fifth of it. The
+    work grows with the page's length, however deep it is nested. A null or empty page has an empty text; ids and urls may be null or
     repeated; no rows give none; other columns are not read.
     """
 

@@ -79,9 +79,9 @@ def recurring_lines(docs: DataFrame, min_docs: int = 3, depth: int = 3, min_toke
         F.bit_xor(cell).alias("x"), F.sum(cell.cast("decimal(20,0)")).alias("y"), F.avg(F.when(F.col("stays") & (F.col("token") != ANY), 1.0).otherwise(0.0)).alias("constant"), F.count(F.lit(1)).alias("tokens")
     )
     general = (F.col("constant") >= min_constant) & (F.col("tokens") >= min_tokens)
-    templates = shapes.select("leaf", "whole", F.xxhash64("leaf", F.when(general, F.col("x")).otherwise(F.col("whole")), F.when(general, F.col("y"))).alias("template"))
+    templates = written(shapes.select("leaf", "whole", F.xxhash64("leaf", F.when(general, F.col("x")).otherwise(F.col("whole")), F.when(general, F.col("y"))).alias("template")), "templates")  # so that the joins after it are of tables, whose hot keys Spark splits
     used = held.select("leaf", "whole", "id").join(templates, ["leaf", "whole"]).select("id", "whole", "template")
-    recurring = used.select("template", "id").distinct().groupBy("template").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("first")).where(F.col("n") >= min_docs)
+    recurring = written(used.select("template", "id").distinct().groupBy("template").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("first")).where(F.col("n") >= min_docs), "recurring")
     return used.join(recurring, "template").where(F.col("id") != F.col("first")).select("id", "whole").distinct()
 
 

@@ -52,7 +52,7 @@ def source_means(docs: DataFrame, weights: dict[str, float] | None, alpha: float
         pairs = [F.lit(x) for pair in weights.items() for x in pair]
         own = own.withColumn("weight", F.coalesce(F.try_element_at(F.create_map(*pairs), "_source"), F.lit(0.0)))
     own = written(own, "sources")
-    have, weight = own.agg(F.sum("have"), F.sum("weight")).first()  # two numbers
+    have, weight = own.agg(F.sum("have"), F.sum(F.col("weight").cast("decimal(38,12)")).cast("double")).first()  # two numbers, whatever the order of their sums
     mean = F.try_divide(F.col("weight") * F.lit(have) * size, F.lit(weight) * F.col("have"))
     return own.select("_source", F.coalesce(mean, F.lit(0.0)).alias("_mean"))
 
@@ -76,4 +76,5 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     counted = sized.join(means, "_source").withColumn("_n", poisson_count(seed, F.col("_key"), F.col("_mean")))
     copies = counted.where("_n > 0").select("_row", "_key", F.explode(F.sequence(F.lit(0), F.col("_n") - 1)).alias("_copy"))
     out = copies.select("_row.*", F.col("_copy").alias("copy"), hashed_unit(F.lit(f"{seed}/shuffle"), F.col("_key"), F.col("_copy").cast("string")).alias("shuffle_key"))
-    return out.repartitionByRange("shuffle_key").sortWithinPartitions("shuffle_key")
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return out.repartitionById(parts, F.floor(F.col("shuffle_key") * parts).cast("int")).sortWithinPartitions("shuffle_key")

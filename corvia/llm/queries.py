@@ -40,7 +40,7 @@ def op4_simhash_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = drop_recurring_lines(read(spark, sf_dir, "documents"), min_docs=3, depth=3, min_tokens=5, min_constant=0.6)
+    found = drop_recurring_lines(read(spark, sf_dir, "documents"), min_docs=3, depth=3, min_tokens=5, min_constant=0.6, short_lines=True)
     return found.select("doc_id", "n_lines", "n_dropped", "text")
 
 
@@ -93,10 +93,12 @@ from (select *, row_number() over (partition by query_id order by score desc, ve
 OP5_SQL = r"""
 with lines as (
   select doc_id, unnest(string_split(text, chr(10))) as line, generate_subscripts(string_split(text, chr(10)), 1) as no from documents
+), split_lines as (
+  select doc_id, no, line, list_filter(regexp_split_to_array(line, '[\x20\x09-\x0D]+'), lambda x: x <> '') as t from lines
 ), parsed as (
-  select doc_id, no, line, list_transform(list_filter(regexp_split_to_array(line, '[\x20\x09-\x0D]+'), lambda x: x <> ''), lambda x: case when regexp_matches(x, '[0-9]') then '<*>' else x end) as t from lines
+  select doc_id, no, line, case when len(t) < 5 then t else list_transform(t, lambda x: case when regexp_matches(x, '[0-9]') then '<*>' else x end) end as t from split_lines
 ), long_lines as (
-  select distinct doc_id, t, [len(t)::varchar] || t[1:3] as leaf from parsed where len(t) >= 5
+  select distinct doc_id, t, [len(t)::varchar] || t[1:3] as leaf from parsed where len(t) >= 1
 ), held as (
   select * from long_lines where leaf in (select leaf from long_lines group by leaf having count(distinct doc_id) >= 3)
 ), distinct_lines as (
@@ -110,7 +112,7 @@ with lines as (
          avg(case when s.token is not null and c.token <> '<*>' then 1.0 else 0.0 end) as constant
   from cells c left join stays s on c.leaf = s.leaf and c.place = s.place and c.token = s.token group by c.leaf, c.t
 ), used as (
-  select h.doc_id, h.t, case when s.constant >= 0.6 then ['general'] || s.shape else ['own'] || s.t end as template, h.leaf
+  select h.doc_id, h.t, case when s.constant >= 0.6 and len(h.t) >= 5 then ['general'] || s.shape else ['own'] || s.t end as template, h.leaf
   from held h join shapes s on h.leaf = s.leaf and h.t = s.t
 ), recurring as (
   select leaf, template, min(doc_id) as first from used group by leaf, template having count(distinct doc_id) >= 3
@@ -127,15 +129,17 @@ OP9_SQL = """
 with own as (
   select source, sum(greatest(length(text), 1))::double as have from documents group by source
 ), means as (
-  select source, least(sqrt(have) * sum(have) over () / (sum(sqrt(have)) over () * have), 16.0) as mean from own
+  select source, sqrt(have) * sum(have) over () / (sum(sqrt(have)) over () * have) as mean from own
+), shares as (
+  select source, greatest(ceil(mean / 16), 1)::int as parts, mean / greatest(ceil(mean / 16), 1) as share from means
 ), drawn as (
-  select doc_id, d.source, text, mean, ('0x' || substr(md5('42:' || doc_id), 1, 13))::bigint / 4503599627370496.0 as u
-  from documents d join means m on d.source is not distinct from m.source
+  select doc_id, d.source, text, ('0x' || substr(md5(case when part = 1 then '42:' || doc_id else '42/part:' || doc_id || ':' || part end), 1, 13))::bigint / 4503599627370496.0 as u
+  from documents d join shares s on d.source is not distinct from s.source, unnest(range(1, s.parts + 1)) as p(part)
 ), terms as (
   select source, k, sum(p) over (partition by source order by k) as below
-  from (select source, k, exp(-mean + k * ln(mean) - lgamma(k + 1)) as p from means, range(0, 65) r(k))
+  from (select source, k, exp(-share + k * ln(share) - lgamma(k + 1)) as p from shares, range(0, 65) r(k))
 ), counted as (
-  select d.doc_id, d.source, d.text, (select count(*) from terms t where t.source = d.source and t.below <= d.u) as n from drawn d
+  select d.doc_id, d.source, d.text, sum((select count(*) from terms t where t.source = d.source and t.below <= d.u))::bigint as n from drawn d group by all
 ), copies as (
   select doc_id, source, unnest(range(0, n))::int as copy, text from counted where n > 0
 )

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corvia.llm.common import keyed, ranges_by_document, written
+from corvia.llm.common import discard, keyed, ranges_by_document, written
 from corvia.llm.debruijn import run_hashes
 
 #: Bytes that are hashed together to choose the piece a string belongs to, and the most strings in a piece.
@@ -99,17 +99,20 @@ def _raise(members: list[int], order: list[int], place: list[int], group: list[i
     size[start] -= len(members)
 
 
-def pieces(raw: bytes, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """``(seed, start, strings)`` of the pieces of a text: runs of neighbouring strings of ``length`` bytes with the same least hash of ``SEED_BYTES`` bytes in them. Equal strings have the same seed wherever they stand."""
+def pieces(raw: bytes, length: int, seed_bytes: int = SEED_BYTES) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``(seed, start, strings)`` of the pieces of a text: runs of neighbouring strings of ``length`` bytes with the same least hash of ``seed_bytes`` bytes in them. Equal strings have the same seed wherever they stand."""
     if len(raw) < length:
         return (np.zeros(0, np.int64),) * 3
     h = _MIX[np.frombuffer(raw, np.uint8)]
-    step = 1
-    for odd in _ODD:
-        h = h[:-step] * odd + h[step:]
-        h ^= h >> np.uint64(29)
-        step *= 2
-    span, least = length - SEED_BYTES + 1, h
+    if seed_bytes == SEED_BYTES:
+        step = 1
+        for odd in _ODD:
+            h = h[:-step] * odd + h[step:]
+            h ^= h >> np.uint64(29)
+            step *= 2
+    else:
+        h = run_hashes(h, seed_bytes)
+    span, least = length - seed_bytes + 1, h
     width = 1
     while 2 * width <= span:
         least = np.minimum(least[:-width], least[width:])
@@ -145,6 +148,7 @@ def shared_pieces(own: DataFrame, length: int) -> DataFrame:
     seeds = document_seeds(own, length)
     shared = written(seeds.groupBy("seed").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low < high").select("seed"), "shared")
     wanted = written(seeds.join(shared, "seed", "left_semi").groupBy("id").agg(F.collect_set("seed").alias("seeds")), "seeds")
+    discard(shared)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -203,17 +207,14 @@ def candidates(seeds: np.ndarray, members: list[bytes], length: int) -> np.ndarr
     return found[np.argsort(seeds[found], kind="stable")]
 
 
-def removed_ranges(own: DataFrame, length: int, hot: int = 4096, bucket_pieces: int = 4096, array_pieces: int = 64) -> DataFrame:
-    """``id, th, start, n``: strings from ``start`` on, ``n`` of them, that stand in a document of a smaller id.
+def runs_in_pieces(distinct: DataFrame, length: int, hot: int, bucket_pieces: int, array_pieces: int, seed_bytes: int = SEED_BYTES) -> DataFrame:
+    """``seed, ph, runs``: the runs of strings of each of the ``distinct`` pieces (``seed, ph, piece, first``) that another piece of its seed with a smaller ``first`` has as well.
 
-    Equal pieces are one: all their documents but the first lose all their strings. What different pieces
-    of one seed have in common, their suffix arrays show, in buckets of seeds; pieces none of whose strings
-    shares its hash with another string of the seed are left out of these. A seed with more than
-    ``hot`` different pieces, as one at the edge of a passage that very many documents share, is dealt out
-    string by string and aggregated instead, so that no task needs all its pieces.
+    Suffix arrays show them, in buckets of whole seeds; pieces none of whose strings shares its hash with
+    another string of the seed are left out of these. The pieces of a seed with over ``hot`` of them, as
+    one at the edge of a passage that very many documents share, are cut anew by seeds twice as long, up to
+    the whole string, of which a seed has one only; so no task needs all pieces of such a seed.
     """
-    places = written(shared_pieces(own, length).withColumn("ph", F.xxhash64("piece")), "places", "zstd")
-    distinct = written(places.groupBy("seed", "ph", "piece").agg(F.min("id").alias("first"), F.max("id").alias("last")), "pieces", "zstd")
     many = distinct.groupBy("seed").agg(F.count(F.lit(1)).alias("pieces")).where("pieces > 1")
     apart = written(distinct.select("seed", "ph", "piece", "first").join(many, "seed"), "apart", "zstd")
 
@@ -231,19 +232,52 @@ def removed_ranges(own: DataFrame, length: int, hot: int = 4096, bucket_pieces:
             found += [[{"a": a, "b": b} for a, b in x] for x in runs if x]
         return pd.DataFrame({"seed": seed[kept], "ph": ph[kept], "runs": found})
 
-    cool = apart.where(F.col("pieces") <= hot)
+    cool, hotter = apart.where(F.col("pieces") <= hot), apart.where(F.col("pieces") > hot)
     buckets = cool.count() // bucket_pieces + 1
-    in_arrays = cool.select("seed", "ph", "piece", "first", F.pmod(F.xxhash64("seed"), F.lit(buckets)).alias("bucket")).groupBy("bucket").applyInPandas(compare, "seed long, ph long, runs array<struct<a:int,b:int>>")
-    strings = apart.where(F.col("pieces") > hot).select("seed", "ph", "first", F.posexplode(F.transform(F.sequence(F.lit(1), F.length("piece") - length + 1), lambda i: F.substring("piece", i, F.lit(length)))).alias("a", "string"))
-    earliest = strings.groupBy("seed", "string").agg(F.min("first").alias("least"))
-    one_by_one = strings.join(earliest, ["seed", "string"]).where("least < first").groupBy("seed", "ph").agg(F.collect_list(F.struct(F.col("a").cast("int").alias("a"), (F.col("a") + 1).cast("int").alias("b"))).alias("runs"))
-    runs = written(in_arrays.unionByName(one_by_one), "runs")
-    marked = distinct.select("seed", "ph", "first", "last").join(runs, ["seed", "ph"], "left").where("first < last or runs is not null").drop("last")
+    found = cool.select("seed", "ph", "piece", "first", F.pmod(F.xxhash64("seed"), F.lit(buckets)).alias("bucket")).groupBy("bucket").applyInPandas(compare, "seed long, ph long, runs array<struct<a:int,b:int>>")
+    if seed_bytes >= length or hotter.isEmpty():
+        found = written(found, "runs")
+        discard(apart)
+        return found
+    longer = min(2 * seed_bytes, length)
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):
+                part, rows = batch.slice(at, 256), []
+                for seed, ph, piece, first in zip(*(c.to_pylist() for c in part.columns)):
+                    rows += [(seed, ph, first, s, piece[a : a + n + length - 1], a, n) for s, a, n in zip(*(x.tolist() for x in pieces(piece, length, longer)))]
+                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int32(), pa.int32()))], ["of", "of_ph", "own", "seed", "piece", "at", "n"])
+
+    parts = written(hotter.select("seed", "ph", "piece", "first").mapInArrow(cut, "of long, of_ph long, own long, seed long, piece binary, at int, n int").withColumn("ph", F.xxhash64("piece")), "parts", "zstd")
+    smaller = written(parts.groupBy("seed", "ph", "piece").agg(F.min("own").alias("first")), "smaller", "zstd")
+    within = smaller.select("seed", "ph", "first").join(runs_in_pieces(smaller, length, hot, bucket_pieces, array_pieces, longer), ["seed", "ph"], "left")
+    runs = F.when(F.col("own") > F.col("first"), F.array(F.struct(F.lit(0).alias("a"), F.col("n").alias("b")))).otherwise(F.col("runs"))
+    each = parts.drop("piece").join(written(within, "within"), ["seed", "ph"]).select("of", "of_ph", "at", F.explode(runs).alias("r"))
+    moved = F.struct((F.col("r.a") + F.col("at")).alias("a"), (F.col("r.b") + F.col("at")).alias("b"))
+    out = written(found.unionByName(each.groupBy(F.col("of").alias("seed"), F.col("of_ph").alias("ph")).agg(F.collect_list(moved).alias("runs"))), "runs")
+    discard(apart, parts, smaller)
+    return out
+
+
+def removed_ranges(own: DataFrame, length: int, hot: int = 4096, bucket_pieces: int = 4096, array_pieces: int = 64) -> DataFrame:
+    """``id, th, start, n``: strings from ``start`` on, ``n`` of them, that stand in a document of a smaller id.
+
+    Equal pieces are one: all their documents but the first lose all their strings. What different pieces
+    of one seed have in common, their suffix arrays show (see :func:`runs_in_pieces`).
+    """
+    places = written(shared_pieces(own, length).withColumn("ph", F.xxhash64("piece")), "places", "zstd")
+    distinct = written(places.groupBy("seed", "ph", "piece").agg(F.min("id").alias("first"), F.max("id").alias("last")), "pieces", "zstd")
+    runs = runs_in_pieces(distinct, length, hot, bucket_pieces, array_pieces)
+    marked = written(distinct.select("seed", "ph", "first", "last").join(runs, ["seed", "ph"], "left").where("first < last or runs is not null").drop("last"), "marked")
+    discard(distinct, runs)
     named = places.select("seed", "ph", "id", "th", "start", "n").join(marked, ["seed", "ph"])
     all_of_it = F.array(F.struct(F.lit(0).alias("a"), F.col("n").alias("b")))
     gone = named.withColumn("runs", F.when(F.col("id") > F.col("first"), all_of_it).otherwise(F.col("runs"))).where("runs is not null")
     each = gone.select("id", "th", "start", F.explode("runs").alias("r"))
-    return written(each.select("id", "th", (F.col("start") + F.col("r.a")).alias("start"), (F.col("r.b") - F.col("r.a")).alias("n")), "ranges", "zstd")  # before the texts are shuffled
+    out = written(each.select("id", "th", (F.col("start") + F.col("r.a")).alias("start"), (F.col("r.b") - F.col("r.a")).alias("n")), "ranges", "zstd")  # before the texts are shuffled
+    discard(places, marked)
+    return out
 
 
 def drop_earlier_strings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 50) -> DataFrame:
@@ -251,12 +285,12 @@ def drop_earlier_strings(docs: DataFrame, id_col: str = "doc_id", text_col: str
 
     A string is ``length`` bytes of one document's UTF-8; it is earlier if it also starts in a document of
     a smaller id. Whole texts, judged on the input, overlaps count. ``kept`` (binary) is the remaining
-    bytes joined, ``n_spans`` counts the maximal runs removed. A null text is empty; a null id counts as
-    -1 and is returned as null; rows of the same id take nothing from each other; no rows give none;
-    other columns are not read.
+    bytes joined, ``n_spans`` counts the maximal runs removed. A null text is empty; a null id is neither
+    smaller nor larger than any, so its row takes and loses nothing; rows of the same id take nothing from
+    each other; no rows give none; other columns are not read.
     """
     own = keyed(docs, id_col, text_col)
-    ranges = ranges_by_document(removed_ranges(own, length), "start", "n")
+    ranges = ranges_by_document(removed_ranges(own.where("doc_id is not null"), length), "start", "n")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -275,5 +309,5 @@ def drop_earlier_strings(docs: DataFrame, id_col: str = "doc_id", text_col: str
                     rows.append((len(raw), len(raw) - len(kept), spans, hashlib.sha256(kept).hexdigest(), kept))
                 yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array(x, t) for x, t in zip(zip(*rows), (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary())))], [id_col, "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
 
-    joined = own.join(ranges, ["id", "th"], "left").select("doc_id", "text", "ranges")
+    joined = own.join(ranges, ["id", "th"], "left").select("doc_id", "text", F.when(F.col("doc_id").isNotNull(), F.col("ranges")).alias("ranges"))
     return joined.mapInArrow(run, f"{id_col} long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")

@@ -13,8 +13,8 @@ from pyspark.sql import functions as F
 from corvia.llm.common import written
 from corvia.llm.vectors import all_finite, matrix
 
-#: A bound is widened by this share before it stops a search, far above rounding.
-SLACK = 1e-9
+#: A bound is widened by this share of the largest norm before it stops a search: distances near zero, computed from inner products, may be off by some 1e-8 of it.
+SLACK = 1e-6
 
 
 def integer_vectors(rows: DataFrame, id_col: str, vector_col: str, scale: int) -> DataFrame:
@@ -75,7 +75,8 @@ def search_cell(ids: np.ndarray, v: np.ndarray, dist: np.ndarray, qid: np.ndarra
             least = np.maximum(best[at, 0], floor[at])
             reach = np.where(least == LOWEST, np.inf, np.sqrt(np.maximum(qnorm[at] + top - 2.0 * least, 0.0)))
             gap = np.maximum(np.maximum(inner[s] - qdist[at], qdist[at] - outer[s]), 0.0)
-            at, least = at[gap <= reach + SLACK * (1 + reach + qdist[at])], least[gap <= reach + SLACK * (1 + reach + qdist[at])]
+            close = gap <= reach + SLACK * (1 + np.sqrt(top) + np.sqrt(qnorm[at]))
+            at, least = at[close], least[close]
             if not len(at):
                 continue
             span = slice(starts[s], starts[s] + ring)
@@ -102,8 +103,8 @@ def top_k(rows: DataFrame, queries: DataFrame, id_col: str = "vec_id", vector_co
     Exact; ties go to the smaller id, fewer than ``k`` candidates give fewer rows. The pivots come from a
     sample of ``sample_rows`` rows (the smallest hashes of their id), every row is indexed: keyed by its
     nearest pivot and its distance to that. A first round searches one cell near each query and so bounds
-    its k-th best; the second goes to those cells alone that the triangle inequality leaves. A pivot with
-    more than ``cell_rows`` rows, as one at which a third of the rows are copies, is dealt over several
+    its k-th best; the second goes to those cells alone that the triangle inequality leaves, and a cell is
+    copied for the blocks of queries that reach it. A pivot with more than ``cell_rows`` rows, as one at which a third of the rows are copies, is dealt over several
     cells; queries come in blocks of ``query_rows``. Vectors that are null or hold null or non-finite
     components and rows without id take no part; shorter vectors end in zeros; exact repeats of a row
     count once; an empty table gives no rows; other columns are not read.
@@ -133,7 +134,7 @@ def top_k(rows: DataFrame, queries: DataFrame, id_col: str = "vec_id", vector_co
     inner, outer = np.array([known[p].inner for p in have]), np.array([known[p].outer for p in have])
     blocks = -(-n_asked // query_rows)
     of_pivot = F.element_at(F.array(*[F.lit(int(-(-known[p].n // cell_rows)) if p in known else 1) for p in range(len(centres))]), F.col("pivot") + 1)
-    dealt = index.withColumn("cell", F.pmod(F.xxhash64("vec_id"), of_pivot).cast("int")).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    dealt = index.withColumn("cell", F.pmod(F.xxhash64("vec_id"), of_pivot).cast("int"))
 
     def route(bounded: bool):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -149,7 +150,7 @@ def top_k(rows: DataFrame, queries: DataFrame, id_col: str = "vec_id", vector_co
                     least = batch.column(2).to_numpy()
                     reach = np.where(least == LOWEST, np.inf, np.sqrt(np.maximum(qnorm + top - 2.0 * least, 0.0)))[:, None]
                     gap = np.maximum(np.maximum(inner[None, :] - d, d - outer[None, :]), 0.0)
-                    row, at = np.nonzero(gap <= reach + SLACK * (1 + reach + d))
+                    row, at = np.nonzero(gap <= reach + SLACK * (1 + np.sqrt(top) + np.sqrt(qnorm))[:, None])
                     n = cells[at]
                     cell = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
                     row, at = np.repeat(row, n), np.repeat(at, n)
@@ -170,9 +171,10 @@ def top_k(rows: DataFrame, queries: DataFrame, id_col: str = "vec_id", vector_co
         return pd.DataFrame(dict(zip(("query_id", "vec_id", "score"), search_cell(x.vec_id.to_numpy(), v, x.dist.to_numpy(), y.query_id.to_numpy(), q, y.qdist.to_numpy(), qnorm, y.floor.to_numpy(), top, k))))
 
     def searched(routed: DataFrame) -> DataFrame:
-        routed = routed.withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int"))
+        routed = written(routed.withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int")), "routed")
         keys = ["pivot", "cell", "block"]
-        return dealt.groupBy(*keys).cogroup(routed.groupBy(*keys)).applyInPandas(search, "query_id long, vec_id long, score long")
+        reached = written(routed.select(*keys).distinct(), "reached")  # a cell is copied for those blocks alone that have queries for it
+        return dealt.join(reached, ["pivot", "cell"]).groupBy(*keys).cogroup(routed.groupBy(*keys)).applyInPandas(search, "query_id long, vec_id long, score long")
 
     routed_schema = "query_id long, q array<long>, pivot int, cell int, qdist double, floor long"
     near = written(searched(asked.mapInArrow(route(False), routed_schema)), "near")

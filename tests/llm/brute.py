@@ -49,18 +49,18 @@ def repeated_words(rows: list[tuple], window: int) -> list[tuple]:
 
 
 def earlier_bytes(rows: list[tuple], length: int) -> list[tuple]:
+    """A null id is neither smaller nor larger than any."""
     raw = [(i, (t or "").encode()) for i, t in rows]
-    key = lambda i: -1 if i is None else i
     first: dict[bytes, int] = {}
     for i, b in raw:
-        for a in range(len(b) - length + 1):
+        for a in range(len(b) - length + 1 if i is not None else 0):
             s = b[a : a + length]
-            first[s] = min(first.get(s, key(i)), key(i))
+            first[s] = min(first.get(s, i), i)
     out = []
     for i, b in raw:
         gone = np.zeros(len(b) + 1, bool)
-        for a in range(len(b) - length + 1):
-            if first[b[a : a + length]] < key(i):
+        for a in range(len(b) - length + 1 if i is not None else 0):
+            if first[b[a : a + length]] < i:
                 gone[a : a + length] = True
         spans = sum(1 for p in range(len(b)) if gone[p] and (p == 0 or not gone[p - 1]))
         kept = bytes(x for p, x in enumerate(b) if not gone[p])

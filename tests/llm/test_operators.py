@@ -113,7 +113,7 @@ def vectors(seed: int = 5) -> list[tuple]:
     return rows + [(200 + i, rows[3][1]) for i in range(20)] + [(300, rows[5][1]), (301, (np.array(rows[5][1]) * 3).tolist()), (302, rows[0][1][:8])]
 
 
-@pytest.mark.parametrize("unit", [32768, 8])
+@pytest.mark.parametrize("unit", [1 << 21, 128])
 def test_cosine(spark, monkeypatch, unit):
     import corvia.llm.cosine as cosine
 
