@@ -18,6 +18,8 @@ from corvia.llm.simhash import forest, linked_classes, majority, shingle_hashes
 
 #: One document in so many is read for the shingles that are common, of which so many are kept: they only order prefixes, and any order gives the same links.
 SAMPLE, COMMON = 16, 65536
+#: Where over so many nodes share a shingle, they are compared with two of them first.
+HUB = 8
 
 
 def shingle_set(hashes: np.ndarray) -> np.ndarray:
@@ -123,7 +125,7 @@ def similar_in_clusters(sets: DataFrame, clusters: DataFrame, min_similarity: fl
     return pair_units(rows, ["cluster"], F.col("node"), unit, F.col("n")).groupBy("cluster", "lo", "hi").applyInPandas(compare, "src long, dst long")
 
 
-def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, min_similarity: float = 0.8, max_bits: int = 4, hot: int = 32, unit: int = 200_000) -> DataFrame:
+def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, min_similarity: float = 0.8, max_bits: int = 4, hot: int = 256, unit: int = 2_000_000, rounds: int = 1) -> DataFrame:
     """``node, component``: each id that some other is linked to, and the smallest id reachable.
 
     Two documents link if the Jaccard similarity of their sets of word shingles is ``min_similarity`` or
@@ -131,7 +133,8 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     ``max_bits`` bits, found at the anchors of a covering code, are candidates whose sets decide; they
     connect most of a group of near copies. At a similarity of 0.8 fingerprints differ in about ten bits,
     so many pairs are beyond any code's reach; these come by prefixes: similar sets share one of the
-    shingles of their prefixes, so nodes that do and are not connected yet are compared. Where over ``hot``
+    shingles of their prefixes, so nodes that do, are not connected yet and may have enough in common by
+    the places of what they share (Xiao et al., 2008) are compared. Where over ``hot``
     nodes share a shingle, all that such shingles connect are a cluster, compared in units of chunk pairs.
     Texts of no words (null, too) link with each other; rows of one id are one node; rows without id are
     left out; no rows give none; other columns are not read.
@@ -141,7 +144,7 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     classes = written(own.groupBy("same").agg(F.min("id").alias("node"), F.first("n").alias("n"), F.min("fp").alias("fp"), F.first("prefix").alias("prefix")), "classes")
     equal = own.join(classes.select("same", "node"), "same").where("id <> node").select(F.col("node").alias("src"), F.col("id").alias("dst"))
 
-    posted = classes.select("node", "n", F.explode("prefix").alias("shingle"))
+    posted = classes.select("node", "n", F.posexplode("prefix").alias("at", "shingle"))
     keys = written(posted.groupBy("shingle").agg(F.count(F.lit(1)).alias("sets")).where("sets > 1").select("shingle"), "keys")
     held = written(posted.join(keys, "shingle"), "posted")
     sets = written(shingle_sets(texts, held.select("node").distinct(), shingle), "sets")
@@ -150,18 +153,32 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     alike = classes.join(prints.withColumnRenamed("node", "src"), "fp").where("src <> node").select("src", F.col("node").alias("dst"))
     close = linked_classes(written(prints, "prints"), max_bits).unionByName(alike)
     sure = written(similar_pairs(sets, close, min_similarity), "sure")
-    known = written(components(sure).select("node", F.col("component").alias("label")), "known")
-
-    labelled = written(held.join(known, "node", "left").withColumn("label", F.coalesce("label", "node")), "labelled")
-    mixed = written(labelled.groupBy("shingle").agg(F.count(F.lit(1)).alias("sets"), F.min("node").alias("first"), F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("shingle", "sets", "first"), "mixed")
-    open_ = written(labelled.join(mixed, "shingle"), "open")
+    for step in range(rounds + 1):
+        known = written(components(sure).select("node", F.col("component").alias("label")), "known")
+        labelled = written(held.join(known, "node", "left").withColumn("label", F.coalesce("label", "node")), "labelled")
+        hub = lambda label: F.min(F.struct(label, "node"))
+        mixed = written(labelled.groupBy("shingle").agg(F.count(F.lit(1)).alias("sets"), hub("label").alias("low"), hub(-F.col("label")).alias("high")).where("low.label <> -high.col1"), "mixed")
+        if step == rounds:
+            break
+        ends = F.explode(F.array(F.struct(F.col("low.node").alias("src"), F.col("low.label").alias("of")), F.struct(F.col("high.node").alias("src"), (-F.col("high.col1")).alias("of"))))
+        hubs = written(mixed.where(F.col("sets") > HUB).select("shingle", ends.alias("hub")).select("shingle", "hub.*"), "hubs")
+        around = written(labelled.join(hubs, "shingle").where("label <> of").select("src", F.col("node").alias("dst")).distinct(), "around")
+        if around.isEmpty():
+            break
+        before, sure = sure, written(sure.unionByName(similar_pairs(sets, around, min_similarity)), "sure")
+        discard(before, known, labelled, mixed, hubs, around)
+    open_ = written(labelled.join(mixed.select("shingle", "sets", F.col("low.node").alias("first")), "shingle"), "open")
     joined = components(open_.where(F.col("sets") > hot).select("first", "node"), "first", "node")
     clusters = written(joined.select("node", F.col("component").alias("cluster")).join(known, "node", "left").withColumn("label", F.coalesce("label", "node")), "clusters")
-    few = open_.where(F.col("sets") <= hot).join(clusters.select("node", "cluster"), "node", "left").select("shingle", "node", "n", "label", "cluster")
-    a, b = (few.select("shingle", *(F.col(c).alias(f"{c}_{end}") for c in ("node", "n", "label", "cluster"))) for end in "ab")
+    few = open_.where(F.col("sets") <= hot).join(clusters.select("node", "cluster"), "node", "left").select("shingle", "node", "n", "at", "label", "cluster")
+    a, b = (few.select("shingle", *(F.col(c).alias(f"{c}_{end}") for c in ("node", "n", "at", "label", "cluster"))) for end in "ab")
     fit = F.least("n_a", "n_b") >= F.greatest("n_a", "n_b") * F.lit(min_similarity - 1e-9)
     apart = (F.col("label_a") != F.col("label_b")) & ~F.coalesce(F.col("cluster_a") == F.col("cluster_b"), F.lit(False))
-    pairs = written(a.join(b, "shingle").where((F.col("node_a") < F.col("node_b")) & fit & apart).select(F.col("node_a").alias("src"), F.col("node_b").alias("dst")).distinct(), "pairs")
+    met = a.join(b, "shingle").where((F.col("node_a") < F.col("node_b")) & fit & apart)
+    together = met.groupBy(F.col("node_a").alias("src"), F.col("node_b").alias("dst"), "n_a", "n_b").agg(F.count(F.lit(1)).alias("shared"), F.max("at_a").alias("at_a"), F.max("at_b").alias("at_b"))
+    most = F.col("shared") + F.least(F.col("n_a") - F.col("at_a"), F.col("n_b") - F.col("at_b")) - 1  # what they have in common up to the last place they share, and all that comes after
+    enough = F.lit(min_similarity / (1 + min_similarity) - 1e-9) * (F.col("n_a") + F.col("n_b"))
+    pairs = written(together.where(most >= enough).select("src", "dst"), "pairs")
     discard(labelled, mixed, open_, held, keys)
     found = written(sure.unionByName(similar_pairs(sets, pairs, min_similarity)).unionByName(similar_in_clusters(sets, clusters, min_similarity, unit)).unionByName(equal), "links")
     discard(own, classes, sets, sure, known, clusters, pairs)

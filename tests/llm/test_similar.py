@@ -35,7 +35,7 @@ def test_pipeline_finds_all_pairs(spark):
     assert far and all(b not in left for _, b in far) and left == wanted(rows)
 
 
-@pytest.mark.parametrize("hot, unit", [(32, 200_000), (2, 800), (1000, 200_000)])
+@pytest.mark.parametrize("hot, unit", [(32, 200_000), (2, 800), (1000, 200_000), (8, 800)])
 def test_groups_of_varied_edits(spark, hot, unit):
     """Near copies of which about each second pair is under 0.8, some edge cases, and repeated ids."""
     rng, rows = random.Random(9), []
