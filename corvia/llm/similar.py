@@ -18,8 +18,8 @@ from corvia.llm.simhash import forest, linked_classes, majority, shingle_hashes
 
 #: One document in so many is read for the shingles that are common, of which so many are kept: they only order prefixes, and any order gives the same links.
 SAMPLE, COMMON = 16, 65536
-#: Where over so many nodes share a shingle, they are compared with two of them first.
-HUB = 8
+#: Where over so many nodes share a shingle, they are compared with two of them first; the parts that sets are counted in.
+HUB, PARTS = 8, 256
 
 
 def shingle_set(hashes: np.ndarray) -> np.ndarray:
@@ -67,24 +67,29 @@ def sketches(texts: DataFrame, shingle: int, min_similarity: float) -> DataFrame
 
 
 def shingle_sets(texts: DataFrame, nodes: DataFrame, shingle: int) -> DataFrame:
-    """``node, n, found`` of the documents in ``nodes``: the set of shingles and its size."""
+    """``node, n, parts, found`` of the documents in ``nodes``: the set of shingles, its size, and how many of it have each of the ``PARTS`` lowest bits' values."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
                 sets = [shingle_set(shingle_hashes(t, shingle)) for t in part.column(1).to_pylist()]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(x) for x in sets], pa.int64()), pa.array(sets, pa.list_(pa.int64()))], ["node", "n", "found"])
+                parts = [np.bincount(x & (PARTS - 1), minlength=PARTS).astype(np.int32) for x in sets]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(x) for x in sets], pa.int64()), pa.array(parts, pa.list_(pa.int32())), pa.array(sets, pa.list_(pa.int64()))], ["node", "n", "parts", "found"])
 
-    return texts.join(nodes, texts["id"] == nodes["node"]).select("node", "text").mapInArrow(run, "node long, n long, found array<long>")
+    return texts.join(nodes, texts["id"] == nodes["node"]).select("node", "text").mapInArrow(run, "node long, n long, parts array<int>, found array<long>")
 
 
 def similar_pairs(sets: DataFrame, pairs: DataFrame, min_similarity: float) -> DataFrame:
     """Those of ``pairs`` (``src, dst``: nodes) whose sets have a Jaccard similarity of ``min_similarity`` or more."""
-    a, b = (sets.select(F.col("node").alias(end), F.col("n").alias(f"n_{end}"), F.col("found").alias(f"found_{end}")) for end in ("src", "dst"))
-    both = F.size(F.array_intersect("found_src", "found_dst"))
+    side = lambda column: (sets.select(F.col("node").alias(end), *(F.col(c).alias(f"{c}_{end}") for c in column)) for end in ("src", "dst"))
+    (a, b), (x, y) = side(("n", "parts")), side(("found",))
+    enough = F.lit(min_similarity / (1 + min_similarity) - 1e-9) * (F.col("n_src") + F.col("n_dst"))
+    most = F.aggregate(F.zip_with("parts_src", "parts_dst", lambda u, v: F.least(u, v)), F.lit(0), lambda s, v: s + v)  # what they can have in common at most, for a small part of what the sets take
     fit = F.least("n_src", "n_dst") >= F.greatest("n_src", "n_dst") * F.lit(min_similarity - 1e-9)
-    joined = pairs.join(a, "src").join(b, "dst").where(fit).withColumn("both", both)
+    maybe = written(pairs.join(a, "src").join(b, "dst").where(fit).where(most >= enough).select("src", "dst", "n_src", "n_dst"), "maybe")  # written, so that its size is known: few pairs go to the sets, not the sets to the pairs
+    both = F.size(F.array_intersect("found_src", "found_dst"))
+    joined = maybe.join(x, "src").join(maybe.select("src", "dst").join(y, "dst"), ["src", "dst"]).withColumn("both", both)
     return joined.where(F.col("both") >= F.lit(min_similarity) * (F.col("n_src") + F.col("n_dst") - F.col("both"))).select("src", "dst")
 
 
@@ -121,7 +126,7 @@ def similar_in_clusters(sets: DataFrame, clusters: DataFrame, min_similarity: fl
                     label[label == label[j]] = label[i]
         return pd.DataFrame({"src": np.array(src, np.int64), "dst": np.array(dst, np.int64)})
 
-    rows = written(sets.join(clusters, "node"), "clusters")
+    rows = written(sets.drop("parts").join(clusters, "node"), "clusters")
     return pair_units(rows, ["cluster"], F.col("node"), unit, F.col("n")).groupBy("cluster", "lo", "hi").applyInPandas(compare, "src long, dst long")
 
 
