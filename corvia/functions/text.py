@@ -39,6 +39,23 @@ def masked(text: Column, patterns: dict[str, str] | None = None) -> Column:
     return text
 
 
+def look_alike(pattern: str) -> str:
+    """A pattern of :data:`IDENTIFIERS` that takes full-width digits, dashes and at signs as well."""
+    for plain, wide in (("0-9", "0-9０-９"), ("[1-4]", "[1-4１-４]"), ("[ -]", "[ \u2010-\u2015－-]"), ("@", "[@＠]")):
+        pattern = pattern.replace(plain, wide)
+    return pattern
+
+
+def masked_folded(text: Column) -> Column:
+    """Identifiers in look-alike characters masked where they stand; all else stays as it is written."""
+    return masked(text, {k: look_alike(p) for k, p in IDENTIFIERS.items()})
+
+
+def canonical_json(fields: dict[str, Column]) -> Column:
+    """A JSON object with its members in the order of their names and no white space."""
+    return F.to_json(F.struct(*[fields[k].alias(k) for k in sorted(fields)]))
+
+
 def kinds(text: Column, patterns: dict[str, str] | None = None) -> Column:
     """The sorted names of the patterns that occur in the text."""
     return F.array_sort(F.array_compact(F.array(*[F.when(text.rlike(p), F.lit(k)) for k, p in (patterns or IDENTIFIERS).items()])))

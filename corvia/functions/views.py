@@ -8,6 +8,7 @@ from functools import lru_cache
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from corvia.functions.text import SPACES, ZERO_WIDTH, normalized
 
@@ -22,7 +23,7 @@ def nfkc_char(c: str) -> str:
     return " " if c in SPACES or c.isspace() else unicodedata.normalize("NFKC", c)
 
 
-@F.pandas_udf("struct<text:string,starts:array<int>>")
+@F.pandas_udf(T.StructType([T.StructField("text", T.StringType()), T.StructField("starts", T.ArrayType(T.IntegerType()))]))
 def nfkc_view(texts: pd.Series) -> pd.DataFrame:
     """Per-character NFKC and, for each character of the view, its source offset."""
     rows = []

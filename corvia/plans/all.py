@@ -1,5 +1,5 @@
 """Imports every module that registers queries."""
 
-from corvia.plans import analysis, corpus, matching
+from corvia.plans import analysis, corpus, matching, records
 
-MODULES = (analysis, corpus, matching)
+MODULES = (analysis, corpus, matching, records)

@@ -248,11 +248,12 @@ def baseline_delta(t: Tables) -> DataFrame:
     return M.drift(half_rates(t, 0), half_rates(t, 1), "rule_id", 0.005).where("delta <> 0").select("rule_id", "delta")
 
 
-@query(SQL_HITS + " select rule_id, 'added' as change from (select distinct rule_id from fired where doc_id % 2 = 0 except select rule_id from fired where doc_id % 2 = 1) union all select rule_id, 'removed' from (select distinct rule_id from fired where doc_id % 2 = 1 except select rule_id from fired where doc_id % 2 = 0)")
+@query(SQL_HITS + ", s as (select distinct source, rule_id from fired join documents using (doc_id)) select rule_id, 'added' as change from (select rule_id from s where source = 'src0' except select rule_id from s where source = 'src1') union all select rule_id, 'removed' from (select rule_id from s where source = 'src1' except select rule_id from s where source = 'src0') union all select rule_id, 'never fired' from (select rule_id from rules except select rule_id from s)")
 def identifier_changes(t: Tables) -> DataFrame:
-    found = hits(t)
-    now, before = found.where("doc_id % 2 = 0").select("rule_id"), found.where("doc_id % 2 = 1").select("rule_id")
-    return now.subtract(before).withColumn("change", F.lit("added")).unionByName(before.subtract(now).withColumn("change", F.lit("removed")))
+    """Rules that fire in one source and not in the other, and those that fire in none: one pass over the matches."""
+    found = hits(t).join(t.documents.select("doc_id", "source"), "doc_id").groupBy("rule_id").agg(F.bool_or(F.col("source") == "src0").alias("now"), F.bool_or(F.col("source") == "src1").alias("before"))
+    change = F.when(F.col("now").isNull(), "never fired").when(F.col("now") & ~F.col("before"), "added").when(F.col("before") & ~F.col("now"), "removed")
+    return rules(t).select("rule_id").join(found, "rule_id", "left").select("rule_id", change.alias("change")).where("change is not null")
 
 
 @query("with o as (select c_custkey, c_mktsegment, c_nationkey from customer where c_custkey % 11 <> 0), n as (select c_custkey, case when c_custkey % 10 = 0 then lower(c_mktsegment) else c_mktsegment end as c_mktsegment, c_nationkey from customer where c_custkey % 13 <> 0), ol as (unpivot (select c_custkey, c_mktsegment, c_nationkey::varchar as c_nationkey from o) on c_mktsegment, c_nationkey into name field value v), nl as (unpivot (select c_custkey, c_mktsegment, c_nationkey::varchar as c_nationkey from n) on c_mktsegment, c_nationkey into name field value v) select c_custkey, field, ol.v as before, nl.v as after from ol full join nl using (c_custkey, field) where ol.v is distinct from nl.v")

@@ -191,7 +191,7 @@ DEFAULT = Catalog(
     ),
     slots=(
         Slot("license", "licence", (r"re:(?i)licen[sc]e",), (("name", (r"re:(?i)apache|gnu|mit|creative",)), ("version", (r"re:(?i)version [0-9]|[0-9]\.[0-9]",)))),
-        Slot("body", "body", (r"re:\S+(?:\s+\S+){39}",), (("sentence", (r"re:[.!?]\s",)), ("comma", (r"re:, ",)))),
+        Slot("body", "body", (r"re:\A\s*\S+(?:\s+\S+){39}",), (("sentence", (r"re:[.!?]\s",)), ("comma", (r"re:, ",)))),
         Slot("link", "link", (r"re:https?://", r"re:www\."), (("secure", (r"re:https://",)),)),
         Slot("number", "number", (r"re:[0-9]+",), (("long", (r"re:[0-9]{4}",)), ("decimal", (r"re:[0-9]\.[0-9]",)))),
     ),

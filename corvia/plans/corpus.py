@@ -129,11 +129,16 @@ def exclude_known_hashes(t: Tables) -> DataFrame:
 def source_quota(t: Tables) -> DataFrame:
     """The first rows of each source that no earlier row repeats, as many as the source's limit."""
     fresh = C.keep_first(t.documents.withColumn("hash", C.content_hash(F.col("text"))), ["hash"], ["doc_id"])
-    return C.quota(fresh, "source", ["doc_id"], 10 + F.length("source")).select("doc_id", "source")
+    return C.own_quota(fresh, "source", "doc_id", 10 + F.length("source")).select("doc_id", "source")
 
 
-@query()
+@query("""with c as (select source, count(*) as n from documents group by source), s as (select source, n, n * 0.3::double as share from c),
+b as (select *, least(greatest(floor(share), (n > 1)::int), n - 1) as base, round(sum(n) over () * 0.3::double) as want from s),
+f as (select *, row_number() over (order by base - share, source) as r, want - sum(base) over () as left_over from b),
+k as (select source, base + (r <= left_over)::int as held from f)
+select doc_id, source, case when r <= held then 'holdout' else 'train' end as split from (select doc_id, source, row_number() over (partition by source order by sha256(doc_id::varchar), doc_id) as r from documents) join k using (source)""")
 def stratified_split(t: Tables) -> DataFrame:
+    """Exact quotas by stratum; the SQL holds where no stratum's bound is met twice."""
     return C.stratified_split(t.documents.select("doc_id", "source"), "source", "doc_id", 0.3)
 
 
@@ -210,18 +215,22 @@ def run_coverage(t: Tables) -> DataFrame:
 # --- constraints
 
 
-@query("select doc_id from documents where length(text) <> n_chars")
+@query("select doc_id, recorded, sha256(text) as found from (select doc_id, text, sha256(lower(text)) as recorded from documents) where recorded <> sha256(text)")
 def hash_integrity(t: Tables) -> DataFrame:
-    """Rows whose recorded length disagrees with the text."""
-    return t.documents.where(F.length("text") != F.col("n_chars")).select("doc_id")
+    """Rows whose recorded hash (here that of the text in lower case) is not that of the text."""
+    rows = t.documents.select("doc_id", F.sha2(F.lower("text"), 256).alias("recorded"), F.sha2("text", 256).alias("found"))
+    return rows.where("recorded <> found")
 
 
-@query("select conv_id, turn, count(*) as n from conversations group by conv_id, turn having count(*) > 1")
+@query("with r as (select conv_id, turn from conversations union all select conv_id, turn from conversations where role = 'assistant') select conv_id, turn, count(*) as n from r group by conv_id, turn having count(*) > 1")
 def duplicate_keys(t: Tables) -> DataFrame:
-    return t.conversations.groupBy("conv_id", "turn").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    """Keys that two logs merged into one have twice."""
+    keys = t.conversations.select("conv_id", "turn", "role")
+    return keys.unionByName(keys.where("role = 'assistant'")).groupBy("conv_id", "turn").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
 
 
-@query("select 'orders' as tab, o_orderkey as key from orders where o_custkey not in (select c_custkey from customer) union all select 'labels', doc_id from labels where doc_id not in (select doc_id from documents)")
+@query("select 'orders' as tab, o_orderkey as key from orders where o_custkey not in (select c_custkey from customer where c_acctbal >= 0) union all select 'labels', doc_id from labels where doc_id not in (select doc_id from documents where lang = 'en')")
 def orphan_keys(t: Tables) -> DataFrame:
-    orders = t.orders.join(t.customer, F.col("o_custkey") == F.col("c_custkey"), "left_anti").select(F.lit("orders").alias("tab"), F.col("o_orderkey").alias("key"))
-    return orders.unionByName(t.labels.join(t.documents, "doc_id", "left_anti").select(F.lit("labels").alias("tab"), F.col("doc_id").alias("key")))
+    """Rows whose key a part of the other table lacks."""
+    orders = t.orders.join(t.customer.where("c_acctbal >= 0"), F.col("o_custkey") == F.col("c_custkey"), "left_anti").select(F.lit("orders").alias("tab"), F.col("o_orderkey").alias("key"))
+    return orders.unionByName(t.labels.join(t.documents.where("lang = 'en'"), "doc_id", "left_anti").select(F.lit("labels").alias("tab"), F.col("doc_id").alias("key")))

@@ -1 +1 @@
-"""Readers and writers."""
+"""File sources and sinks."""
