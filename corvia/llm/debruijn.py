@@ -23,15 +23,20 @@ def word_hashes(words: list[bytes]) -> np.ndarray:
 
 
 def run_hashes(each: np.ndarray, k: int) -> np.ndarray:
-    """The 64-bit hash of each run of ``k`` words, from the words' hashes."""
-    n = len(each) - k + 1
-    if n < 1:
+    """The 64-bit hash of each run of ``k`` words, from the words' hashes: those of runs of powers of two, by doubling, put together."""
+    if len(each) < k:
         return np.zeros(0, np.uint64)
-    total = np.zeros(n, np.uint64)
-    for i in range(k):
-        total *= _FACTOR
-        total += each[i : i + n]
-    total ^= total >> np.uint64(31)
+    run, width, factor, total, done = each, 1, int(_FACTOR), None, 0
+    while True:
+        if k & width:
+            left = len(each) - done - width + 1
+            total = run if total is None else total[:left] * np.uint64(factor) + run[done : done + left]
+            done += width
+        if done == k:
+            break
+        run = run[:-width] * np.uint64(factor) + run[width:]
+        width, factor = 2 * width, factor * factor % (1 << 64)
+    total = total ^ total >> np.uint64(31)
     return total * np.uint64(0xBF58476D1CE4E5B9)
 
 
