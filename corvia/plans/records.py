@@ -88,15 +88,15 @@ def line_contexts(t: Tables) -> DataFrame:
     return lines.withColumn("bare", bare).withColumn("head", head).where(F.col("line").rlike(TERM)).select("doc_id", "no", (F.col("bare") | F.col("head").isNull()).alias("allowed"))
 
 
-@query(rf"""with {_LINES}, m as (select *, row_number() over (partition by doc_id order by no) as r from l where regexp_matches(line, '^\s*(?:[-*#|]|[0-9]+[.)])')), first as (select doc_id, min(no) as start from m group by doc_id),
-after as (select l.doc_id, min(l.no) as stop from l join first f on l.doc_id = f.doc_id and l.no > f.start where trim(l.line) = '' group by l.doc_id),
+@query(rf"""with {_LINES}, m as (select *, row_number() over (partition by doc_id order by no) as r from l where regexp_matches(line, '^[A-E]')), first as (select doc_id, min(no) as start from m group by doc_id),
+after as (select l.doc_id, min(l.no) as stop from l join first f on l.doc_id = f.doc_id and l.no > f.start where length(trim(l.line)) < 40 group by l.doc_id),
 size as (select doc_id, count(*) as n from l group by doc_id)
 select f.doc_id, f.start::int as start, coalesce(a.stop, s.n)::int as stop from first f join size s using (doc_id) left join after a using (doc_id)""")
 def block_ends(t: Tables) -> DataFrame:
-    """Where a document's first list block starts and the line that ends it: the next empty one, or the end; array functions on one row, no shuffle."""
+    """Where a document's first block starts (at a line that opens with A to E) and the line that ends it: the next short one, or the end; array functions on one row, no shuffle."""
     lines = F.split("text", "\n", -1)
-    at = F.filter(F.transform(lines, lambda x, i: F.when(x.rlike(r"^\s*(?:[-*#|]|[0-9]+[.)])"), i)), lambda x: x.isNotNull())
-    blank = F.filter(F.transform(lines, lambda x, i: F.when(F.trim(x) == "", i)), lambda x: x.isNotNull())
+    at = F.filter(F.transform(lines, lambda x, i: F.when(x.rlike("^[A-E]"), i)), lambda x: x.isNotNull())
+    blank = F.filter(F.transform(lines, lambda x, i: F.when(F.length(F.trim(x)) < 40, i)), lambda x: x.isNotNull())
     found = t.documents.select("doc_id", F.size(lines).alias("n"), F.try_element_at(at, F.lit(1)).alias("start"), blank.alias("blank")).where("start is not null")
     return found.select("doc_id", "start", F.coalesce(F.array_min(F.expr("filter(blank, x -> x > start)")), "n").alias("stop"))
 
