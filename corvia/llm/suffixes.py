@@ -8,7 +8,8 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import xxhash
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from corvia.llm.common import discard, keyed, ranges_by_document, written
@@ -144,7 +145,7 @@ def document_seeds(own: DataFrame, length: int) -> DataFrame:
 
 
 def shared_pieces(own: DataFrame, length: int) -> DataFrame:
-    """``seed, piece, id, th, start, n``: the pieces whose seed documents of different ids have; no other string can be in two documents."""
+    """``seed, ph, id, th, start, n``: where the pieces stand whose seed documents of different ids have; no other string can be in two documents. ``ph`` is the hash of the piece's bytes."""
     seeds = document_seeds(own, length)
     shared = written(seeds.groupBy("seed").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low < high").select("seed"), "shared")
     wanted = written(seeds.join(shared, "seed", "left_semi").groupBy("id").agg(F.collect_set("seed").alias("seeds")), "seeds")
@@ -153,16 +154,45 @@ def shared_pieces(own: DataFrame, length: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 128):
-                part, rows = batch.slice(at, 128), []
-                for doc, th, text, seeds in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), part.column(2).to_pylist(), part.column(3)):
+                part, found, hashes = batch.slice(at, 128), [], []
+                for text, seeds in zip(part.column(2).to_pylist(), part.column(3)):
                     raw = text.encode()
                     seed, start, n = pieces(raw, length)
                     keep = np.isin(seed, seeds.values.to_numpy())
-                    rows += [(s, raw[a : a + k + length - 1], doc, th, a, k) for s, a, k in zip(seed[keep].tolist(), start[keep].tolist(), n[keep].tolist())]
-                if rows:
-                    yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), (pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int32(), pa.int32()))], ["seed", "piece", "id", "th", "start", "n"])
+                    found.append((seed[keep], start[keep], n[keep]))
+                    hashes += [xxhash.xxh64_intdigest(raw[a:b]) for a, b in zip(start[keep].tolist(), (start[keep] + n[keep] + length - 1).tolist())]
+                seed, start, n = map(np.concatenate, zip(*found))
+                rows = pa.array(np.repeat(np.arange(len(found)), [len(x) for x, _, _ in found]))
+                ph = np.array(hashes, np.uint64).view(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(seed), pa.array(ph), part.column(0).take(rows), part.column(1).take(rows), pa.array(start.astype(np.int32)), pa.array(n.astype(np.int32))], ["seed", "ph", "id", "th", "start", "n"])
 
-    return own.join(wanted, "id").select("id", "th", "text", "seeds").mapInArrow(run, "seed long, piece binary, id long, th long, start int, n int")
+    return own.join(wanted, "id").select("id", "th", "text", "seeds").mapInArrow(run, "seed long, ph long, id long, th long, start int, n int")
+
+
+def pieces_apart(own: DataFrame, distinct: DataFrame, length: int) -> DataFrame:
+    """``seed, ph, first, pieces, piece``: the different pieces of the seeds that have ``pieces`` of them, two or more, with their bytes, read where ``distinct`` places them."""
+    many = distinct.groupBy("seed").agg(F.count(F.lit(1)).alias("pieces")).where("pieces > 1")
+    at = F.struct("seed", "ph", "pieces", "start", "n")
+    wanted = written(distinct.join(many, "seed").groupBy(F.col("first").alias("id"), "th").agg(F.collect_list(at).alias("at")), "at", "zstd")
+    again = F.lag("id").over(Window.partitionBy("id", "th").orderBy("id"))
+    once = own.select("id", "th", "text").withColumn("again", again).where("again is null").drop("again")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in range(0, batch.num_rows, 128):
+                part = batch.slice(row, 128)
+                lists = part.column(2)
+                at = lists.flatten()
+                own = np.repeat(np.arange(len(lists)), lists.value_lengths().to_numpy())
+                seed, ph, pieces, start, n = at.flatten()
+                raw = [t.encode() for t in part.column(1).to_pylist()]
+                piece = [raw[i][a : a + k + length - 1] for i, a, k in zip(own.tolist(), start.to_pylist(), n.to_pylist())]
+                yield pa.RecordBatch.from_arrays([seed, ph, part.column(0).take(pa.array(own)), pieces, pa.array(piece, pa.binary())], ["seed", "ph", "first", "pieces", "piece"])
+
+    read = once.join(wanted, ["id", "th"]).select("id", "text", "at").mapInArrow(run, "seed long, ph long, first long, pieces long, piece binary")
+    out = written(read, "apart", "zstd")
+    discard(wanted)
+    return out
 
 
 def earlier_strings(members: list[bytes], first: np.ndarray, length: int) -> list[list[tuple[int, int]]]:
@@ -195,42 +225,69 @@ def earlier_strings(members: list[bytes], first: np.ndarray, length: int) -> lis
     return out
 
 
-def candidates(seeds: np.ndarray, members: list[bytes], length: int) -> np.ndarray:
-    """The pieces, by seed, that may have a string in common with another of their seed: those of which the hash of a string comes twice."""
+def repeated_runs(seeds: np.ndarray, members: list[bytes], length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``(piece, from, strings)``: the runs of strings whose hash comes twice or more in the pieces of their seed. No other string can have an equal one."""
     sizes = np.array(list(map(len, members)))
     ends = np.cumsum(sizes)
     own = np.repeat(np.arange(len(sizes)), sizes)[: max(0, int(ends[-1]) - length + 1)]
     at = np.flatnonzero(np.arange(len(own)) + length <= ends[own])
     hashes = run_hashes(_MIX[np.frombuffer(b"".join(members), np.uint8)], length)[at] ^ seeds.astype(np.int64).view(np.uint64)[own[at]] * _ODD[0]
-    _, which, n = np.unique(hashes, return_inverse=True, return_counts=True)
-    found = np.unique(own[at[n[which] > 1]])
-    return found[np.argsort(seeds[found], kind="stable")]
+    order = np.sort(hashes)
+    twice = order[1:][order[1:] == order[:-1]]
+    if not len(twice):
+        return (np.zeros(0, np.int64),) * 3
+    at = at[twice[np.minimum(np.searchsorted(twice, hashes), len(twice) - 1)] == hashes]
+    heads = np.flatnonzero(np.concatenate(([True], (at[1:] != at[:-1] + 1) | (own[at[1:]] != own[at[:-1]]))))
+    piece = own[at[heads]]
+    return piece, at[heads] - (ends - sizes)[piece], np.diff(np.concatenate((heads, [len(at)])))
 
 
-def runs_in_pieces(distinct: DataFrame, length: int, hot: int, bucket_pieces: int, array_pieces: int, seed_bytes: int = SEED_BYTES) -> DataFrame:
-    """``seed, ph, runs``: the runs of strings of each of the ``distinct`` pieces (``seed, ph, piece, first``) that another piece of its seed with a smaller ``first`` has as well.
+def runs_in_bucket(seed: np.ndarray, first: np.ndarray, members: list[bytes], length: int, array_pieces: int) -> dict[int, list[tuple[int, int]]]:
+    """For the pieces of whole seeds, by number, the runs ``(from, to)`` of strings that a piece of the seed with a smaller ``first`` has as well.
 
-    Suffix arrays show them, in buckets of whole seeds; pieces none of whose strings shares its hash with
-    another string of the seed are left out of these. The pieces of a seed with over ``hot`` of them, as
-    one at the edge of a passage that very many documents share, are cut anew by seeds twice as long, up to
-    the whole string, of which a seed has one only; so no task needs all pieces of such a seed.
+    Equal runs of a seed are one in the suffix arrays, with the smallest ``first``: all its pieces but
+    those of that ``first`` lose the whole run, these what the array shows.
+    """
+    piece, at, strings = repeated_runs(seed, members, length)
+    known: dict[tuple[int, bytes], int] = {}
+    places = list(zip(piece.tolist(), at.tolist(), strings.tolist()))
+    which = np.array([known.setdefault((s, members[p][a : a + n + length - 1]), len(known)) for s, (p, a, n) in zip(seed[piece].tolist(), places)], np.int64)
+    if not len(which):
+        return {}
+    least = np.full(len(known), np.iinfo(np.int64).max)
+    np.minimum.at(least, which, first[piece])
+    of, text = np.array([s for s, _ in known], np.int64), [t for _, t in known]
+    order, cuts = np.argsort(of, kind="stable"), [0]
+    for i in (np.flatnonzero(np.diff(of[order])) + 1).tolist():
+        if i - cuts[-1] >= array_pieces:
+            cuts.append(i)
+    shown: list[list[tuple[int, int]]] = [[]] * len(text)
+    for a, b in zip(cuts, [*cuts[1:], len(order)]):  # whole seeds in small arrays, which stay in the processor's cache
+        part = order[a:b]
+        for i, runs in zip(part.tolist(), earlier_strings([text[i] for i in part], least[part], length)):
+            shown[i] = runs
+    out: dict[int, list[tuple[int, int]]] = {}
+    for (p, a, n), r, late in zip(places, which.tolist(), (first[piece] > least[which]).tolist()):
+        runs = [(0, n)] if late else shown[r]
+        if runs:
+            out.setdefault(p, []).extend((a + x, a + y) for x, y in runs)
+    return out
+
+
+def runs_in_pieces(apart: DataFrame, length: int, hot: int, bucket_pieces: int, array_pieces: int, seed_bytes: int = SEED_BYTES) -> DataFrame:
+    """``seed, ph, runs``: the runs of strings of each of the pieces of ``apart`` (``seed, ph, first, pieces, piece``) that another piece of its seed with a smaller ``first`` has as well.
+
+    Suffix arrays show them, in buckets of whole seeds (see :func:`runs_in_bucket`). The pieces of a seed
+    with over ``hot`` of them, as one at the edge of a passage that very many documents share, are cut
+    anew by seeds twice as long, up to the whole string, of which a seed has one only; so no task needs
+    all pieces of such a seed. ``apart`` is discarded.
     """
-    many = distinct.groupBy("seed").agg(F.count(F.lit(1)).alias("pieces")).where("pieces > 1")
-    apart = written(distinct.select("seed", "ph", "piece", "first").join(many, "seed"), "apart", "zstd")
 
     def compare(pdf: pd.DataFrame) -> pd.DataFrame:
-        seed, ph, first, piece = pdf.seed.to_numpy(), pdf.ph.to_numpy(), pdf["first"].to_numpy(), list(pdf.piece)
-        order = candidates(seed, piece, length)
-        cuts, kept, found = [0], [], []
-        for i in np.flatnonzero(np.diff(seed[order])) + 1:
-            if i - cuts[-1] >= array_pieces:
-                cuts.append(int(i))
-        for a, b in zip(cuts, [*cuts[1:], len(order)]):  # whole seeds in small arrays, which stay in the processor's cache
-            part = order[a:b]
-            runs = earlier_strings([piece[i] for i in part], first[part], length) if b > a else []
-            kept += [i for i, x in zip(part, runs) if x]
-            found += [[{"a": a, "b": b} for a, b in x] for x in runs if x]
-        return pd.DataFrame({"seed": seed[kept], "ph": ph[kept], "runs": found})
+        seed, ph = pdf.seed.to_numpy(), pdf.ph.to_numpy()
+        found = runs_in_bucket(seed, pdf["first"].to_numpy(), list(pdf.piece), length, array_pieces)
+        kept = list(found)
+        return pd.DataFrame({"seed": seed[kept], "ph": ph[kept], "runs": [[{"a": a, "b": b} for a, b in x] for x in found.values()]})
 
     cool, hotter = apart.where(F.col("pieces") <= hot), apart.where(F.col("pieces") > hot)
     buckets = cool.count() // bucket_pieces + 1
@@ -251,7 +308,9 @@ def runs_in_pieces(distinct: DataFrame, length: int, hot: int, bucket_pieces: in
 
     parts = written(hotter.select("seed", "ph", "piece", "first").mapInArrow(cut, "of long, of_ph long, own long, seed long, piece binary, at int, n int").withColumn("ph", F.xxhash64("piece")), "parts", "zstd")
     smaller = written(parts.groupBy("seed", "ph", "piece").agg(F.min("own").alias("first")), "smaller", "zstd")
-    within = smaller.select("seed", "ph", "first").join(runs_in_pieces(smaller, length, hot, bucket_pieces, array_pieces, longer), ["seed", "ph"], "left")
+    many = smaller.groupBy("seed").agg(F.count(F.lit(1)).alias("pieces")).where("pieces > 1")
+    rest = written(smaller.join(many, "seed"), "apart", "zstd")
+    within = smaller.select("seed", "ph", "first").join(runs_in_pieces(rest, length, hot, bucket_pieces, array_pieces, longer), ["seed", "ph"], "left")
     runs = F.when(F.col("own") > F.col("first"), F.array(F.struct(F.lit(0).alias("a"), F.col("n").alias("b")))).otherwise(F.col("runs"))
     each = parts.drop("piece").join(written(within, "within"), ["seed", "ph"]).select("of", "of_ph", "at", F.explode(runs).alias("r"))
     moved = F.struct((F.col("r.a") + F.col("at")).alias("a"), (F.col("r.b") + F.col("at")).alias("b"))
@@ -263,12 +322,14 @@ def runs_in_pieces(distinct: DataFrame, length: int, hot: int, bucket_pieces: in
 def removed_ranges(own: DataFrame, length: int, hot: int = 4096, bucket_pieces: int = 4096, array_pieces: int = 64) -> DataFrame:
     """``id, th, start, n``: strings from ``start`` on, ``n`` of them, that stand in a document of a smaller id.
 
-    Equal pieces are one: all their documents but the first lose all their strings. What different pieces
-    of one seed have in common, their suffix arrays show (see :func:`runs_in_pieces`).
+    Pieces of the same seed and hash are one: all their documents but the first lose all their strings.
+    What different pieces of one seed have in common, their suffix arrays show (see :func:`runs_in_pieces`);
+    only for these are bytes shuffled, once.
     """
-    places = written(shared_pieces(own, length).withColumn("ph", F.xxhash64("piece")), "places", "zstd")
-    distinct = written(places.groupBy("seed", "ph", "piece").agg(F.min("id").alias("first"), F.max("id").alias("last")), "pieces", "zstd")
-    runs = runs_in_pieces(distinct, length, hot, bucket_pieces, array_pieces)
+    places = written(shared_pieces(own, length), "places", "zstd")
+    least = F.min(F.struct("id", "th", "start", "n"))
+    distinct = written(places.groupBy("seed", "ph").agg(least.alias("at"), F.max("id").alias("last")).select("seed", "ph", F.col("at.id").alias("first"), "at.th", "at.start", "at.n", "last"), "pieces", "zstd")
+    runs = runs_in_pieces(pieces_apart(own, distinct, length), length, hot, bucket_pieces, array_pieces)
     marked = written(distinct.select("seed", "ph", "first", "last").join(runs, ["seed", "ph"], "left").where("first < last or runs is not null").drop("last"), "marked")
     discard(distinct, runs)
     named = places.select("seed", "ph", "id", "th", "start", "n").join(marked, ["seed", "ph"])
