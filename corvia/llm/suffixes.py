@@ -131,42 +131,49 @@ def pieces(raw: bytes, length: int, seed_bytes: int = SEED_BYTES) -> tuple[np.nd
 
 
 def document_seeds(own: DataFrame, length: int) -> DataFrame:
-    """``seed, id``: each document's seeds, once each."""
+    """``seed, id``: the seeds of the documents, aggregated as they are read: of each 256 documents a seed has its smallest and its largest id."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
-                found = [np.unique(pieces(t.encode(), length)[0]) for t in part.column(1).to_pylist()]
-                rows = pa.array(np.repeat(np.arange(len(found)), list(map(len, found))))
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found)), part.column(0).take(rows)], ["seed", "id"])
+                found = [pieces(t.encode(), length)[0] for t in part.column(1).to_pylist()]
+                seed, ids = np.concatenate(found), np.repeat(part.column(0).to_numpy(), list(map(len, found)))
+                if len(seed):
+                    order = np.argsort(seed)
+                    seed, ids = seed[order], ids[order]
+                    heads = np.flatnonzero(np.concatenate(([True], seed[1:] != seed[:-1])))
+                    seed, low, high = seed[heads], np.minimum.reduceat(ids, heads), np.maximum.reduceat(ids, heads)
+                    more = high > low
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate((seed, seed[more]))), pa.array(np.concatenate((low, high[more])))], ["seed", "id"])
 
     return own.select("id", "text").mapInArrow(run, "seed long, id long")
 
 
 def shared_pieces(own: DataFrame, length: int) -> DataFrame:
     """``seed, ph, id, th, start, n``: where the pieces stand whose seed documents of different ids have; no other string can be in two documents. ``ph`` is the hash of the piece's bytes."""
-    seeds = document_seeds(own, length)
+    seeds = document_seeds(own, length).repartition("seed")  # aggregated above, so Spark's own partial aggregate would find nothing before the shuffle
     shared = written(seeds.groupBy("seed").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low < high").select("seed"), "shared")
-    wanted = written(seeds.join(shared, "seed", "left_semi").groupBy("id").agg(F.collect_set("seed").alias("seeds")), "seeds")
-    discard(shared)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 128):
                 part, found, hashes = batch.slice(at, 128), [], []
-                for text, seeds in zip(part.column(2).to_pylist(), part.column(3)):
+                for text in part.column(2).to_pylist():
                     raw = text.encode()
                     seed, start, n = pieces(raw, length)
-                    keep = np.isin(seed, seeds.values.to_numpy())
-                    found.append((seed[keep], start[keep], n[keep]))
-                    hashes += [xxhash.xxh64_intdigest(raw[a:b]) for a, b in zip(start[keep].tolist(), (start[keep] + n[keep] + length - 1).tolist())]
+                    found.append((seed, start, n))
+                    hashes += [xxhash.xxh64_intdigest(raw[a:b]) for a, b in zip(start.tolist(), (start + n + length - 1).tolist())]
                 seed, start, n = map(np.concatenate, zip(*found))
                 rows = pa.array(np.repeat(np.arange(len(found)), [len(x) for x, _, _ in found]))
                 ph = np.array(hashes, np.uint64).view(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(seed), pa.array(ph), part.column(0).take(rows), part.column(1).take(rows), pa.array(start.astype(np.int32)), pa.array(n.astype(np.int32))], ["seed", "ph", "id", "th", "start", "n"])
+                yield pa.RecordBatch.from_arrays([pa.array(seed), pa.array(ph), part.column(0).take(rows), part.column(1).take(rows), pa.array(start.astype(np.int64) << 10 | n)], ["seed", "ph", "id", "th", "at"])
 
-    return own.join(wanted, "id").select("id", "th", "text", "seeds").mapInArrow(run, "seed long, ph long, id long, th long, start int, n int")
+    every = own.select("id", "th", "text").mapInArrow(run, "seed long, ph long, id long, th long, at long")
+    start, n = F.shiftright("at", 10).cast("int"), F.col("at").bitwiseAND(1023).cast("int")  # one number in the shuffle; a piece has at most MOST_STRINGS strings
+    out = written(every.join(shared, "seed", "left_semi").select("seed", "ph", "id", "th", start.alias("start"), n.alias("n")), "places", "zstd")
+    discard(shared)
+    return out
 
 
 def pieces_apart(own: DataFrame, distinct: DataFrame, length: int) -> DataFrame:
@@ -257,13 +264,17 @@ def runs_in_bucket(seed: np.ndarray, first: np.ndarray, members: list[bytes], le
     least = np.full(len(known), np.iinfo(np.int64).max)
     np.minimum.at(least, which, first[piece])
     of, text = np.array([s for s, _ in known], np.int64), [t for _, t in known]
-    order, cuts = np.argsort(of, kind="stable"), [0]
+    _, kind, n = np.unique(of, return_inverse=True, return_counts=True)
+    several = np.flatnonzero(n[kind] > 1)  # the one run that a seed is left with has no other to be compared with
+    order, cuts = several[np.argsort(of[several], kind="stable")], [0]
     for i in (np.flatnonzero(np.diff(of[order])) + 1).tolist():
         if i - cuts[-1] >= array_pieces:
             cuts.append(i)
     shown: list[list[tuple[int, int]]] = [[]] * len(text)
     for a, b in zip(cuts, [*cuts[1:], len(order)]):  # whole seeds in small arrays, which stay in the processor's cache
         part = order[a:b]
+        if not len(part):
+            break
         for i, runs in zip(part.tolist(), earlier_strings([text[i] for i in part], least[part], length)):
             shown[i] = runs
     out: dict[int, list[tuple[int, int]]] = {}
@@ -326,7 +337,7 @@ def removed_ranges(own: DataFrame, length: int, hot: int = 4096, bucket_pieces:
     What different pieces of one seed have in common, their suffix arrays show (see :func:`runs_in_pieces`);
     only for these are bytes shuffled, once.
     """
-    places = written(shared_pieces(own, length), "places", "zstd")
+    places = shared_pieces(own, length)
     least = F.min(F.struct("id", "th", "start", "n"))
     distinct = written(places.groupBy("seed", "ph").agg(least.alias("at"), F.max("id").alias("last")).select("seed", "ph", F.col("at.id").alias("first"), "at.th", "at.start", "at.n", "last"), "pieces", "zstd")
     runs = runs_in_pieces(pieces_apart(own, distinct, length), length, hot, bucket_pieces, array_pieces)
