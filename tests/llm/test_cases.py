@@ -18,7 +18,7 @@ from corvia.llm.html import PARAGRAPHS, _link_density, _scored, main_text, parse
 from corvia.llm.lines import drop_recurring_lines
 from corvia.llm.mixing import mix_sources
 from corvia.llm.quality import _quadrants, _steps
-from corvia.llm.suffixes import drop_earlier_strings
+from corvia.llm.suffixes import drop_earlier_strings, runs_in_bucket
 from tests.conftest import SMALL
 from tests.llm import brute
 
@@ -226,3 +226,16 @@ def test_no_folder_on_a_cluster(spark, monkeypatch):
 
     with pytest.raises(ValueError):
         common.shared_folder(Session())
+
+
+def test_runs_in_bucket_against_all_strings():
+    draw, length = random.Random(7), 6
+    for _ in range(60):
+        parts = ["".join(draw.choices("ab", k=draw.randint(2, 9))).encode() for _ in range(4)]
+        members = [p for p in {b"".join(draw.choices(parts, k=draw.randint(1, 4))) for _ in range(20)} if len(p) >= length]
+        seed, first = np.array([draw.randint(0, 2) for _ in members]), np.array([draw.randint(0, 5) for _ in members])
+        found = runs_in_bucket(seed, first, members, length, array_pieces=2)
+        for i, text in enumerate(members):
+            earlier = {t[a : a + length] for t, s, f in zip(members, seed, first) if s == seed[i] and f < first[i] for a in range(len(t) - length + 1)}
+            wanted = {a for a in range(len(text) - length + 1) if text[a : a + length] in earlier}
+            assert {a for x, y in found.get(i, []) for a in range(x, y)} == wanted
