@@ -7,9 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from corvia.llm.clusters import cluster_vectors
+from corvia.llm.codes import compress_vectors
 from corvia.llm.common import read
 from corvia.llm.cosine import cosine_near_dup
 from corvia.llm.debruijn import drop_repeated_spans
+from corvia.llm.exact import exact_dedup
 from corvia.llm.html import extract_pages
 from corvia.llm.lines import drop_recurring_lines
 from corvia.llm.mixing import mix_sources
@@ -64,6 +67,18 @@ def op10_suffix_grouping_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return drop_earlier_strings(read(spark, sf_dir, "documents").select("doc_id", "text"), length=50).drop("kept")
 
 
+def op11_cuckoo_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_dedup(read(spark, sf_dir, "documents"))
+
+
+def op12_block_norm_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cluster_vectors(read(spark, sf_dir, "embeddings"), dims=64, scale=64, k=16, rounds=3, seed=1)
+
+
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return compress_vectors(read(spark, sf_dir, "embeddings"), scale=1024, parts=4, entries=256, rounds=4)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_topk_pivot_distance": op1_topk_pivot_distance,
     "op2_quality_gam": op2_quality_gam,
@@ -75,6 +90,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_best_fit_pack": op8_best_fit_pack,
     "op9_mix_sources": op9_mix_sources,
     "op10_suffix_grouping_dedup": op10_suffix_grouping_dedup,
+    "op11_cuckoo_exact_dedup": op11_cuckoo_exact_dedup,
+    "op12_block_norm_clusters": op12_block_norm_clusters,
+    "op13_vector_codes": op13_vector_codes,
 }
 
 OP1_SQL = """
@@ -146,8 +164,91 @@ with own as (
 select doc_id, source, copy, ('0x' || substr(md5('42/shuffle:' || doc_id || ':' || copy), 1, 13))::bigint / 4503599627370496.0 as shuffle_key, text from copies
 """
 
+OP11_SQL = r"""
+with own as (
+  select doc_id, coalesce(text, '') as t, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g')) as text_sha256 from documents
+), ranked as (
+  select *, row_number() over (partition by text_sha256 order by length(t) desc, doc_id) as n, count(*) over (partition by text_sha256) as group_size,
+         first_value(doc_id) over (partition by text_sha256 order by length(t) desc, doc_id) as keep_id from own
+)
+select doc_id, keep_id, group_size, n = 1 as kept, text_sha256 from ranked
+"""
+
+
+def _floor_mean(total: str, n: str) -> str:
+    return f"(({total}) - ((({total}) % {n} + {n}) % {n})) // {n}"
+
+
+def _op12_sql(dims: int = 64, scale: int = 64, k: int = 16, rounds: int = 3, seed: int = 1) -> str:
+    """One round after another over long tables of components; a squared distance is a sum over components."""
+    parts = [f"""ints as materialized (
+  select vec_id, list_transform(embedding, lambda x: floor({scale} * x::double)::bigint) as v from embeddings
+  where embedding is not null and len(embedding) = {dims} and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0
+), places as (
+  select unnest(range(1, {dims} + 1)) as place
+), c0 as materialized (
+  select n - 1 as cluster, v as c from (select v, row_number() over (order by sha256('{seed}:' || vec_id), v) as n from ints) where n <= {k}
+)"""]
+    for r in range(rounds + 1):
+        parts.append(f"""near{r} as materialized (
+  select vec_id, v, cluster, distance from (
+    select i.*, c.cluster, list_sum(list_transform(list_zip(i.v, c.c), lambda p: (p[1] - p[2]) * (p[1] - p[2])))::bigint as distance from ints i, c{r} c
+  ) qualify row_number() over (partition by vec_id order by distance, cluster) = 1
+)""")
+        if r < rounds:
+            parts.append(f"""c{r + 1} as materialized (
+  select cluster, coalesce(m, c) as c from c{r} left join (
+    select cluster, list(m order by place) as m from (select cluster, place, {_floor_mean("sum(v[place])::bigint", "count(*)")} as m from near{r}, places group by cluster, place) group by cluster
+  ) using (cluster)
+)""")
+    return f"""
+with {", ".join(parts)}
+select vec_id, cluster::int as cluster, distance, (sum(distance) over (partition by cluster))::bigint as cluster_inertia, (sum(distance) over ())::bigint as inertia, sha256(array_to_string(c, ',')) as centroid_sha256
+from near{rounds} join c{rounds} using (cluster)
+"""
+
+
+def _op13_sql(scale: int = 1024, parts: int = 4, width: int = 16, entries: int = 256, rounds: int = 4) -> str:
+    """Squared distances through inner products of doubles, which are exact at this size."""
+    each = [f"""ints as materialized (
+  select vec_id, label, list_transform(embedding, lambda x: floor({scale} * x::double)) as v from embeddings
+  where embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0
+), cut as materialized (
+  select vec_id, part, v[part * {width} + 1 : (part + 1) * {width}] as x from ints, range(0, {parts}) p(part)
+), places as (
+  select unnest(range(1, {width} + 1)) as place
+), b0 as materialized (
+  select part, n - 1 as entry, x as b from (select part, x, row_number() over (partition by part order by vec_id) as n from cut) where n <= {entries}
+)"""]
+    for r in range(rounds + 1):
+        each.append(f"""near{r} as materialized (
+  select vec_id, part, x, entry, distance from (
+    select c.*, b.entry, list_dot_product(c.x, c.x) - 2 * list_dot_product(c.x, b.b) + list_dot_product(b.b, b.b) as distance from cut c join b{r} b using (part)
+  ) qualify row_number() over (partition by vec_id, part order by distance, entry) = 1
+)""")
+        if r < rounds:
+            each.append(f"""b{r + 1} as materialized (
+  select part, entry, coalesce(m, b) as b from b{r} left join (
+    select part, entry, list(m order by place) as m from (select part, entry, place, floor(sum(x[place]) / count(*)) as m from near{r}, places group by part, entry, place) group by part, entry
+  ) using (part, entry)
+)""")
+    return f"""
+with {", ".join(each)}, coded as (
+  select vec_id, string_agg(lpad(to_hex(entry::int)::varchar, 2, '0'), '' order by part) as code, sum(distance)::bigint as error from near{rounds} group by vec_id
+), book as (
+  select sha256(string_agg(array_to_string(list_transform(b, lambda x: x::bigint), ','), ',' order by part, entry)) as codebooks_sha256 from b{rounds}
+)
+select vec_id, lower(code) as code, error, (sum(error) over (partition by label))::bigint as label_error, codebooks_sha256 from coded join ints using (vec_id), book
+"""
+
+
+OP12_SQL, OP13_SQL = _op12_sql(), _op13_sql()
+
 ORACLE_SQL: dict[str, str] = {
     "op1_topk_pivot_distance": OP1_SQL,
     "op5_line_dedup": OP5_SQL,
     "op9_mix_sources": OP9_SQL,
+    "op11_cuckoo_exact_dedup": OP11_SQL,
+    "op12_block_norm_clusters": OP12_SQL,
+    "op13_vector_codes": OP13_SQL,
 }
