@@ -22,19 +22,27 @@ SAME_CLOSES = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr
 SCOPE = frozenset("table ul ol dl body html article section main".split())
 
 #: Never part of an article: by element, by role, and by a word of the class or id.
-DROPPED = frozenset("head nav header footer aside form button select input label dialog menu object svg canvas audio video map fieldset".split()) | RAW
-ROLES = frozenset("navigation banner contentinfo complementary search form alert alertdialog dialog menu menubar".split())
+DROPPED = frozenset("head nav header footer aside button select input label legend dialog menu object svg canvas audio video map".split()) | RAW
+ROLES = frozenset("navigation banner contentinfo complementary search alert alertdialog dialog menu menubar".split())
 WORDS = frozenset(
     "ad ads advert advertisement adverts advertising banner breadcrumb breadcrumbs comment comments consent cookie cookies disqus disclaimer footer form gdpr header masthead menu modal nav navbar navigation newsletter notice notices "
-    "notification pagination pager paywall popup promo promoted promotion recommended related replies respond share sharing sidebar signup skip social sponsor sponsored sponsors subscribe subscription tags teaser toc toolbar widget widgets".split()
+    "notification pagination pager paywall popup promo promoted promotion reactions recommended related replies respond responses share sharing sidebar signup skip social sponsor sponsored sponsors subscribe subscription tags talkback teaser toc toolbar widget widgets".split()
 )
+#: Words of a class or id that speak for an article, and the elements that do.
+STORY = frozenset("article body content entry main page post story text wrapper".split())
 HOLDS_ARTICLE = frozenset(("article", "main", "h1"))
-#: An element of a doubtful class or id stays if it has this share of the page's points.
-MOST_POINTS = 0.75
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+#: An element of a doubtful class or id stays if it has this share of the page's points: one that merely has a word for furniture in its name, and one whose name ends in such a word or that is a form.
+INSIDE, AT_END = 0.75, 0.9
 #: The container around the best takes its place if it is worth this share of it; half of it comes from the best itself.
 WIDER = 0.75
+#: Lists of so many links that are hardly anything else are menus, wherever they stand.
+MENU_LINKS, MENU_DENSITY = 3, 0.9
+MENUS = frozenset("div section table ul ol".split())
 
-_TAG = re.compile(r"<(?:!--(?:.*?--!?>|.*)|[!?][^>]*>|(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|(/?)([a-zA-Z][^\s/>]*)([^>]*)>)", re.S)
+_OPEN = re.compile(r"<(?:(!--)|([!?])|(/?)([a-zA-Z][^\s/>]*))")
+_COMMENT_END = re.compile(r"--!?>")
+_SPECIAL = re.compile(r"[>\"']")
 _ATTR = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]*)))?")
 _SPLIT = re.compile(r"[^a-zA-Z0-9]+|(?<=[a-z])(?=[A-Z])")
 
@@ -44,10 +52,10 @@ PARAGRAPHS = frozenset("p pre li td blockquote dd h1 h2 h3 h4 h5 h6".split())
 
 
 class Node:
-    __slots__ = ("tag", "attrs", "kids", "parent", "gone", "doubtful", "holds", "chars", "linked", "inline", "inline_linked", "commas", "points", "mass", "score")
+    __slots__ = ("tag", "attrs", "kids", "parent", "gone", "needs", "holds", "headed", "inside", "masthead", "links", "lines", "chars", "linked", "inline", "inline_linked", "commas", "points", "mass", "score")
 
     def __init__(self, tag: str, attrs: str, parent: Node | None):
-        self.tag, self.attrs, self.kids, self.parent, self.gone, self.doubtful = tag, attrs, [], parent, False, False
+        self.tag, self.attrs, self.kids, self.parent, self.gone, self.needs = tag, attrs, [], parent, False, 0.0
 
     def walk(self) -> Iterator[Node]:
         stack = [self]
@@ -60,10 +68,41 @@ class Node:
         return [k for k in self.kids if isinstance(k, Node) and not k.gone]
 
 
+class TagEnds:
+    """Where tags end. Each place is looked at a bounded number of times, whatever quotes and brackets are left open."""
+
+    def __init__(self, page: str):
+        self.page, self.bracket, self.first, self.dead = page, 0, (0, 0), set()
+
+    def after_bracket(self, at: int) -> int:
+        """The place after the next ``>``, or -1; ``at`` never goes back."""
+        if 0 <= self.bracket <= at:
+            self.bracket = self.page.find(">", at) + 1 or -1
+        return self.bracket
+
+    def after_tag(self, at: int) -> int:
+        """The same for a tag whose name ends at ``at``, past brackets in quotes; if a quote stays open, quotes count for nothing."""
+        low, place = self.first
+        if not low <= at <= place:
+            found = _SPECIAL.search(self.page, at)
+            place = found.start() if found else len(self.page)
+            self.first = at, place
+        passed = []
+        while place < len(self.page) and place not in self.dead:
+            if self.page[place] == ">":
+                return place + 1
+            passed.append(place)
+            close = self.page.find(self.page[place], place + 1)
+            found = _SPECIAL.search(self.page, close + 1) if close >= 0 else None
+            place = found.start() if found else len(self.page)
+        self.dead.update(passed)  # whoever comes by these quotes finds no end either
+        return self.after_bracket(at)
+
+
 def parse(page: str) -> Node:
     """A tree of elements and raw text; open paragraphs, list items and cells end where HTML ends them, stray end tags are ignored."""
     root = node = Node("html", "", None)
-    at, still_open = 0, Counter(("html",))  # open elements by tag: no search for one that is not there
+    at, still_open, ends = 0, Counter(("html",)), TagEnds(page)  # open elements by tag: no search for one that is not there
 
     def leave(to: Node | None) -> None:
         nonlocal node
@@ -71,14 +110,24 @@ def parse(page: str) -> Node:
             still_open[node.tag] -= 1
             node = node.parent
 
-    while found := _TAG.search(page, at):
+    while found := _OPEN.search(page, at):
         if found.start() > at:
             node.kids.append(page[at : found.start()])
-        at = found.end()
-        end, tag, attrs = (found[1], found[2], found[3]) if found[2] else (found[4], found[5], found[6])
-        if not tag:
+        comment, other, end, tag = found.groups()
+        if comment:
+            stop = _COMMENT_END.search(page, found.end())
+            at = stop.end() if stop else len(page)
             continue
-        tag = tag.lower()
+        after = ends.after_bracket(found.end()) if other else ends.after_tag(found.end())
+        if after < 0:  # no tag can end any more
+            rest = page.find("<!--", found.start())
+            node.kids.append(page[found.start() : rest if rest >= 0 else len(page)])
+            at = len(page)
+            break
+        at = after
+        if other:
+            continue
+        tag, attrs = tag.lower(), page[found.end() : after - 1]
         if end:
             if still_open[tag]:
                 leave(_around(node, (tag,), BLOCK if tag not in BLOCK else frozenset()))
@@ -90,8 +139,9 @@ def parse(page: str) -> Node:
         child = Node(tag, attrs, node)
         node.kids.append(child)
         if tag in RAW:
-            stop = re.compile(rf"</{tag}\b[^>]*>", re.I).search(page, at)
-            at = stop.end() if stop else len(page)
+            stop = re.compile(rf"</{tag}\b", re.I).search(page, at)
+            at = ends.after_bracket(stop.end()) if stop else -1
+            at = at if at >= 0 else len(page)
         elif tag not in VOID and not (attrs.endswith("/") and tag not in BLOCK):
             node = child
             still_open[tag] += 1
@@ -116,17 +166,35 @@ def _attributes(node: Node) -> dict[str, str]:
 
 
 def _judge(node: Node) -> None:
-    """Mark furniture as gone. A class or id that is a word for furniture, or ends in one, says so; one that only begins with it or has it inside leaves it to the scores, as any does of an article."""
-    if node.tag in DROPPED:
+    """Mark furniture as gone, and say what share of the page's points a doubtful element needs to stay.
+
+    A class or id made of words for furniture alone says so, unless another speaks for an article. One that
+    ends in such a word, and a form, need nearly all points; one that only begins with it or has it
+    inside needs most, as any does of an article. What holds an article is not judged by names. Of the
+    header of an article, headings stay.
+    """
+    if node.masthead:
+        node.gone = node.tag not in HEADINGS and not node.headed
+    elif node.tag in DROPPED:
+        node.gone = not (node.tag == "header" and node.inside and node.headed)
+    elif node.tag in ("form", "fieldset"):
+        node.needs = AT_END
+    if node.gone or not node.attrs or node.tag in ("html", "body", "main"):
+        return
+    attrs = _attributes(node)
+    if attrs.get("role", "").lower() in ROLES or "hidden" in attrs or re.search(r"display\s*:\s*none", attrs.get("style", "")):
         node.gone = True
-    elif node.attrs and node.tag not in ("html", "body", "main"):
-        attrs = _attributes(node)
-        if attrs.get("role", "").lower() in ROLES or "hidden" in attrs or re.search(r"display\s*:\s*none", attrs.get("style", "")):
-            node.gone = True
-        elif not any(isinstance(k, Node) and k.holds for k in node.kids):
-            names = [[w.lower() for w in _SPLIT.split(x) if w] for x in f"{attrs.get('class', '')} {attrs.get('id', '')}".split()]
-            node.gone = node.tag != "article" and any(x and x[-1] in WORDS for x in names)
-            node.doubtful = not node.gone and any(w in WORDS for x in names for w in x)
+    elif attrs.get("role", "").lower() == "form":
+        node.needs = AT_END
+    if node.gone or any(isinstance(k, Node) and k.holds for k in node.kids):
+        return
+    names = [x for x in ([w.lower() for w in _SPLIT.split(x) if w] for x in f"{attrs.get('class', '')} {attrs.get('id', '')}".split()) if x]
+    if node.tag != "article" and any(WORDS.issuperset(x) for x in names) and not any(w in STORY for x in names for w in x):
+        node.gone = True
+    elif node.tag != "article" and any(x[-1] in WORDS for x in names):
+        node.needs = AT_END
+    elif any(w in WORDS for x in names for w in x):
+        node.needs = max(node.needs, INSIDE)
 
 
 def blocks(node: Node, out: list[str] | None = None) -> list[str]:
@@ -171,6 +239,8 @@ def _weigh(order: list[Node]) -> None:
         within = [k for k in kids if k.tag not in BLOCK]
         x.inline = length + sum(k.inline for k in within)
         x.inline_linked = x.inline if x.tag == "a" else sum(k.inline_linked for k in within)
+        x.links = (x.tag == "a") + sum(k.links for k in kids)
+        x.lines = x.tag in PARAGRAPHS and x.chars > 0 or any(k.lines for k in kids)
         x.commas = sum(t.count(",") for t in own) + sum(k.commas for k in within)
         x.points = 0.0
         if x.tag in BLOCK and x.inline:
@@ -185,10 +255,17 @@ def _link_density(node: Node) -> float:
 
 
 def _scored(root: Node) -> list[Node]:
-    """The elements in page order that are not gone, weighed; a doubtful one goes unless it has most of the page's points."""
+    """The elements in page order that are not gone, weighed; a doubtful one goes unless it has the share of the page's points that it needs."""
     everything = list(root.walk())
     for x in reversed(everything):
-        x.holds = x.tag in HOLDS_ARTICLE or any(isinstance(k, Node) and k.holds for k in x.kids)
+        within = [k for k in x.kids if isinstance(k, Node)]
+        x.holds = x.tag in HOLDS_ARTICLE or any(k.holds for k in within)
+        x.headed = x.tag in HEADINGS or any(k.headed for k in within)
+    root.inside = root.masthead = False
+    for x in everything[1:]:
+        up = x.parent
+        x.inside = up.inside or up.tag in ("article", "main")
+        x.masthead = up.tag == "header" and up.inside or up.masthead and up.tag not in HEADINGS
 
     def left() -> list[Node]:
         found, stack = [], [root]
@@ -202,9 +279,9 @@ def _scored(root: Node) -> list[Node]:
         _judge(x)
     order = left()
     _weigh(order)
-    doubtful = [x for x in order if x.doubtful and x.mass < MOST_POINTS * root.mass]
-    if doubtful:
-        for x in doubtful:
+    unfit = [x for x in order if x.needs and x.mass < x.needs * root.mass]
+    if unfit:
+        for x in unfit:
             x.gone = True
         order = left()
         _weigh(order)
@@ -217,11 +294,14 @@ def main_text(page: str | None) -> str:
         return ""
     root = parse(page)
     worth = lambda x: x.score * (1 - _link_density(x))
-    best = max(_scored(root), key=worth)
+    order = _scored(root)
+    best = max(order, key=worth)
     if best.score <= 0:
         return ""
     while best.parent and worth(best.parent) >= WIDER * worth(best):
         best = best.parent
+    for x in order:  # menus, wherever they stand
+        x.gone = x.tag in MENUS and x.links >= MENU_LINKS and _link_density(x) >= MENU_DENSITY
     at = best
     while at and at.tag not in ("article", "main"):
         at = at.parent
@@ -230,7 +310,7 @@ def main_text(page: str | None) -> str:
     bar = max(best.score * 0.2, 0.1)
     texts = []
     for x in best.parent.elements():
-        if x is best or _link_density(x) < 0.3 and (x.score >= bar or x.tag in ("p", "h1", "h2", "h3", "pre", "blockquote", "ul", "ol")):
+        if x is best or _link_density(x) < 0.3 and (x.score >= bar or x.lines):
             texts += blocks(x)
     return " ".join(texts)
 
@@ -238,11 +318,12 @@ def main_text(page: str | None) -> str:
 def extract_pages(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """``page_id, url, text, n_chars`` of every page, from the whole of its HTML.
 
-    Page furniture goes first: by element, by role, by a class or id that is or ends in a word for it, and
-    by one that merely has such a word in it where the element has under three quarters of the page's
-    points. Paragraphs pass points for length and commas, less their share of link text, to their
-    ancestors, half as many with each step up; the best container is kept, widened to what is around it
-    and worth nearly as much, to the article or main element around it, or else with those of its siblings that are paragraphs or score a fifth of it. The
+    Page furniture goes first: by element, by role, and by a class or id that is nothing but words for it;
+    a form, and an element whose class or id ends in such a word or has one in it, goes unless it has nine
+    tenths, or three quarters, of the page's points; and a list that is nothing but links goes. Paragraphs pass points for
+    length and commas, less their share of link text, to their ancestors, half as many with each step up;
+    the best container is kept, widened to what is around it and worth nearly as much, to the article or
+    main element around it, or else with those of its siblings that hold paragraphs or score a fifth of it. The
     work grows with the page's length, however deep it is nested. A null or empty page has an empty text; ids and urls may be null or
     repeated; no rows give none; other columns are not read.
     """
