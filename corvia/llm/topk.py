@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from corvia.llm.common import written
-from corvia.llm.vectors import all_finite, matrix
+from corvia.llm.vectors import all_finite, floored, matrix
 
 #: A bound is widened by this share of the largest norm before it stops a search: distances near zero, computed from inner products, may be off by some 1e-8 of it.
 SLACK = 1e-6
@@ -20,7 +20,7 @@ SLACK = 1e-6
 def integer_vectors(rows: DataFrame, id_col: str, vector_col: str, scale: int) -> DataFrame:
     """``vec_id, v``: each component x as floor(scale * x), x as double; vectors that are null or hold null or non-finite components are left out."""
     usable = rows.where(all_finite(F.col(vector_col)) & F.col(id_col).isNotNull())
-    return usable.select(F.col(id_col).cast("long").alias("vec_id"), F.transform(F.col(vector_col), lambda x: F.floor(x.cast("double") * scale).cast("long")).alias("v")).distinct()
+    return usable.select(F.col(id_col).cast("long").alias("vec_id"), floored(F.col(vector_col), scale).alias("v"))
 
 
 def lifted(v: np.ndarray, top: float) -> np.ndarray:
@@ -106,12 +106,13 @@ def top_k(rows: DataFrame, queries: DataFrame, id_col: str = "vec_id", vector_co
     its k-th best; the second goes to those cells alone that the triangle inequality leaves, and a cell is
     copied for the blocks of queries that reach it. A pivot with more than ``cell_rows`` rows, as one at which a third of the rows are copies, is dealt over several
     cells; queries come in blocks of ``query_rows``. Vectors that are null or hold null or non-finite
-    components and rows without id take no part; shorter vectors end in zeros; exact repeats of a row
-    count once; an empty table gives no rows; other columns are not read.
+    components and rows without id take no part; shorter vectors end in zeros; rows that repeat count as
+    often as they stand there, but for the query's own id; an empty table gives no rows; other columns are
+    not read.
     """
     spark = rows.sparkSession
-    ints = written(integer_vectors(rows, id_col, vector_col, scale), "ints")
-    asked = integer_vectors(queries, id_col, vector_col, scale)
+    ints = written(integer_vectors(rows, id_col, vector_col, scale).withColumn("row", F.monotonically_increasing_id()), "ints")
+    asked = integer_vectors(queries, id_col, vector_col, scale).distinct()
     empty = spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
     norm = F.aggregate("v", F.lit(0.0), lambda s, x: s + x.cast("double") * x)
     top, dims, n_asked = ints.agg(F.max(norm), F.max(F.size("v"))).first()[:2] + (asked.count(),)
@@ -125,16 +126,16 @@ def top_k(rows: DataFrame, queries: DataFrame, id_col: str = "vec_id", vector_co
         for batch in batches:
             d = distances(lifted(matrix(batch.column(1), dims), top), centres)
             near = d.argmin(1)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(near.astype(np.int32)), pa.array(d[np.arange(len(d)), near])], ["vec_id", "v", "pivot", "dist"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(near.astype(np.int32)), pa.array(d[np.arange(len(d)), near])], ["vec_id", "v", "row", "pivot", "dist"])
 
-    index = written(ints.mapInArrow(key, "vec_id long, v array<long>, pivot int, dist double"), "index")
+    index = written(ints.mapInArrow(key, "vec_id long, v array<long>, row long, pivot int, dist double"), "index")
     known = {r.pivot: r for r in index.groupBy("pivot").agg(F.count(F.lit(1)).alias("n"), F.min("dist").alias("inner"), F.max("dist").alias("outer")).collect()}  # a row a pivot
     have = np.array(sorted(known))
     cells = np.array([-(-known[p].n // cell_rows) for p in have])
     inner, outer = np.array([known[p].inner for p in have]), np.array([known[p].outer for p in have])
     blocks = -(-n_asked // query_rows)
     of_pivot = F.element_at(F.array(*[F.lit(int(-(-known[p].n // cell_rows)) if p in known else 1) for p in range(len(centres))]), F.col("pivot") + 1)
-    dealt = index.withColumn("cell", F.pmod(F.xxhash64("vec_id"), of_pivot).cast("int"))
+    dealt = index.withColumn("cell", F.pmod(F.xxhash64("vec_id", "row"), of_pivot).cast("int")).drop("row")
 
     def route(bounded: bool):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
