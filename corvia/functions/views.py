@@ -1,8 +1,15 @@
-"""Views whose characters map back to the source, for texts where normalisation changes lengths."""
+"""Views of a text whose characters map back to the source, for texts where normalisation or rewriting changes lengths.
+
+A view is its text and, for each of its characters, where the source it stands for starts and ends. Views
+compose, so that a span of the last is a span of the first.
+"""
 
 from __future__ import annotations
 
+import re
 import unicodedata
+from collections.abc import Sequence
+from dataclasses import dataclass
 from functools import lru_cache
 
 import pandas as pd
@@ -12,6 +19,53 @@ from pyspark.sql import types as T
 
 from corvia.functions.text import SPACES, ZERO_WIDTH, normalized
 
+#: Characters that per-character normalisation may change.
+_CHANGEABLE = re.compile("[^\t\n\r\x20-\x7e]")
+
+#: Endings and what they are rewritten to; at one place the first that fits counts.
+ENDINGS = (("ization", "isation"), ("izing", "ising"), ("ized", "ised"), ("ation", "ate"), ("ements", "ement"), ("ungen", "ung"), ("iones", "ión"))
+
+
+@dataclass(frozen=True)
+class View:
+    """Character ``i`` of ``text`` stands for the source's ``[starts[i], ends[i])``."""
+
+    text: str
+    starts: Sequence[int]
+    ends: Sequence[int]
+
+    def span(self, start: int, end: int) -> tuple[int, int]:
+        """The source of a span of the view that is not empty."""
+        return self.starts[start], self.ends[end - 1]
+
+    def then(self, change) -> View:
+        """The view that ``change`` makes of this one's text, mapped to this one's source."""
+        after = change(self.text)
+        if after.text == self.text:
+            return self
+        if isinstance(self.starts, range):
+            return after
+        return View(after.text, [self.starts[i] for i in after.starts], [self.ends[i - 1] for i in after.ends])
+
+
+def same(text: str) -> View:
+    return View(text, range(len(text)), range(1, len(text) + 1))
+
+
+def replaced(text: str, edits: list[tuple[int, int, str]]) -> View:
+    """The view with each ``(start, end, new)`` in place, edits in order and apart; every character of ``new`` stands for the whole of what it replaces."""
+    if not edits:
+        return same(text)
+    pieces, starts, ends, at = [], [], [], 0
+    for start, end, new in (*edits, (len(text), len(text), "")):
+        pieces += [text[at:start], new]
+        starts.extend(range(at, start))
+        ends.extend(range(at + 1, start + 1))
+        starts += [start] * len(new)
+        ends += [end] * len(new)
+        at = end
+    return View("".join(pieces), starts, ends)
+
 
 @lru_cache(1 << 16)
 def nfkc_char(c: str) -> str:
@@ -23,16 +77,44 @@ def nfkc_char(c: str) -> str:
     return " " if c in SPACES or c.isspace() else unicodedata.normalize("NFKC", c)
 
 
+def normal_view(text: str) -> View:
+    """Per-character NFKC."""
+    edits = [(m.start(), m.end(), nfkc_char(m[0])) for m in _CHANGEABLE.finditer(text)]
+    return replaced(text, [e for e in edits if e[2] != text[e[0]]])
+
+
+@lru_cache(16)
+def _endings(rules: tuple[tuple[str, str], ...]) -> tuple[re.Pattern, dict[str, str]]:
+    targets: dict[str, str] = {}
+    for old, new in rules:
+        targets.setdefault(old, new)
+    return re.compile(f"(?:{'|'.join(map(re.escape, targets))})(?![a-zA-ZÀ-ÿ])"), targets
+
+
+def ending_view(text: str, rules: tuple[tuple[str, str], ...] = ENDINGS) -> View:
+    """Words with their endings rewritten, in one pass from the left."""
+    pattern, targets = _endings(rules)
+    return replaced(text, [(*m.span(), targets[m[0]]) for m in pattern.finditer(text)])
+
+
+@F.pandas_udf(T.StructType([T.StructField("text", T.StringType()), T.StructField("starts", T.ArrayType(T.IntegerType())), T.StructField("ends", T.ArrayType(T.IntegerType()))]))
+def match_view(texts: pd.Series) -> pd.DataFrame:
+    """The normalised text with its endings rewritten, and the source of each of its characters."""
+    views = [None if x is None else normal_view(x).then(ending_view) for x in texts]
+    return pd.DataFrame([(None, None, None) if v is None else (v.text, list(v.starts), list(v.ends)) for v in views], columns=["text", "starts", "ends"])
+
+
 @F.pandas_udf(T.StructType([T.StructField("text", T.StringType()), T.StructField("starts", T.ArrayType(T.IntegerType()))]))
 def nfkc_view(texts: pd.Series) -> pd.DataFrame:
     """Per-character NFKC and, for each character of the view, its source offset."""
-    rows = []
-    for text in texts:
-        parts = [nfkc_char(c) for c in text or ""]
-        rows.append(("".join(parts), [i for i, p in enumerate(parts) for _ in p]) if text is not None else (None, None))
-    return pd.DataFrame(rows, columns=["text", "starts"])
+    views = [None if x is None else normal_view(x) for x in texts]
+    return pd.DataFrame([(None, None) if v is None else (v.text, list(v.starts)) for v in views], columns=["text", "starts"])
 
 
 def is_plain(text: Column) -> Column:
     """True of texts that normalisation leaves as they are: they need no view."""
-    return ~text.rlike(r"[^\x00-\x7FÀ-ɏ]") & (normalized(text) == text)
+    return ~text.rlike(r"[^\x00-\x7FÀ-ÿ]") & (normalized(text) == text)
+
+
+def has_ending(text: Column, rules: tuple[tuple[str, str], ...] = ENDINGS) -> Column:
+    return text.rlike(_endings(rules)[0].pattern)

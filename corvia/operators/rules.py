@@ -1,8 +1,10 @@
-"""The rule engine: candidates, exclusions, context, first survivors, slots, questions, with no shuffle.
+"""The rule engine: candidates, protective clauses, exclusions, context, first survivors, slots, questions, with no shuffle.
 
-Whether a document can match at all is one JVM expression; only those that can go to an Arrow UDF, which
-scans with compiled expressions and bisects the sorted spans of exclusions and context, so that a text
-with very many matches costs no more than in proportion. All else is column algebra on the same row.
+Which rules a document can match at all is a JVM expression each; only documents with any go to an Arrow UDF,
+which scans for those rules with compiled expressions and bisects the sorted spans of exclusions and
+context, so that a text with very many matches costs no more than in proportion. Where views are asked for,
+a text is also scanned as normalised and rewritten, and spans are those of the source. All else is column
+algebra on the same row.
 """
 
 from __future__ import annotations
@@ -17,6 +19,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corvia.functions.text import evidence
+from corvia.functions.views import ending_view, has_ending, is_plain, normal_view, same
+from corvia.operators.clauses import Sentences, governed
 from corvia.operators.spans import any_of, to_regex
 
 if TYPE_CHECKING:
@@ -31,9 +35,39 @@ def _compiled(pattern: str) -> re.Pattern:
     return re.compile(to_regex(pattern))
 
 
-def all_spans(text: str, patterns: tuple[str, ...]) -> list[tuple[int, int]]:
-    """The non-empty matches of several patterns, each span once, by (start, end)."""
-    return sorted({m.span() for p in patterns for m in _compiled(p).finditer(text) if m.end() > m.start()})
+class Texts:
+    """A source with the views that differ from it, and the spans found in all of them."""
+
+    def __init__(self, source: str, views: bool = False):
+        plain = same(source)
+        self.source, self.normal = source, plain.then(normal_view) if views else plain
+        self.match = self.normal.then(ending_view) if views else plain
+        self.found: dict[tuple[str, ...], list[tuple[int, int]]] = {}
+        self._sentences: Sentences | None = None
+
+    @property
+    def sentences(self) -> Sentences:
+        if not self._sentences:
+            self._sentences = Sentences(self.source)
+        return self._sentences
+
+    def spans(self, patterns: tuple[str, ...]) -> list[tuple[int, int]]:
+        """The non-empty matches of several patterns, each span once, by (start, end): expressions on the normalised text, literals on that with its endings rewritten, all on the source."""
+        if patterns not in self.found:
+            out = {m.span() for p in patterns for m in _compiled(p).finditer(self.source) if m.end() > m.start()}
+            for p in patterns:
+                view = self.normal if p.startswith("re:") else self.match
+                if view.text != self.source:
+                    seen = _compiled(p if p.startswith("re:") else viewed(p))
+                    out |= {view.span(*m.span()) for m in seen.finditer(view.text) if m.end() > m.start()}
+            self.found[patterns] = sorted(out)
+        return self.found[patterns]
+
+
+@lru_cache(4096)
+def viewed(literal: str) -> str:
+    """A literal as it is written in the view that literals are matched on."""
+    return same(literal).then(normal_view).then(ending_view).text
 
 
 def near(span: tuple[int, int], others: list[tuple[int, int]], window: int, overlap: bool = False, other: bool = False) -> bool:
@@ -48,44 +82,50 @@ def near(span: tuple[int, int], others: list[tuple[int, int]], window: int, over
     return False
 
 
-def match_text(text: str, rule: Rule) -> tuple[list[tuple[int, int]], list[tuple[int, int]]]:
-    """A rule's candidates in a text, and those that no exclusion covers and that have every context group around them."""
-    found = left = all_spans(text, rule.patterns)
+def match_text(text: str | Texts, rule: Rule) -> tuple[list[tuple[int, int]], list[tuple[int, int]]]:
+    """A rule's candidates in a text, and those that no protective word governs and no exclusion covers and that have every context group around them."""
+    text = Texts(text) if isinstance(text, str) else text
+    found = left = text.spans(rule.patterns)
     if found:
+        if rule.protect:
+            left = [c for c in left if not governed(text.sentences, *c, rule.protect)]
         for e in rule.exclude:
-            terms = all_spans(text, (e.term,))
-            left = [c for c in left if not ((not e.candidate or _compiled(e.candidate).search(text[c[0] : c[1]])) and near(c, terms, e.window, e.overlap))]
+            terms = text.spans((e.term,))
+            left = [c for c in left if not ((not e.candidate or _compiled(e.candidate).search(text.source[c[0] : c[1]])) and near(c, terms, e.window, e.overlap))]
         for g in rule.context:
-            terms = all_spans(text, g.patterns)
+            terms = text.spans(g.patterns)
             left = [c for c in left if near(c, terms, g.window, other=True)]
     return found, left
 
 
-def matches(text: Column, rules: list[Rule]) -> Column:
+def matches(text: Column, rules: list[Rule], views: bool = False) -> Column:
     """``rule_id, candidates, survivors`` of each rule with candidates, in the order of the rules."""
-    gate = any_of([p for r in rules for p in r.patterns])
+    may = F.array_compact(F.array(*[F.when(text.rlike(any_of(r.patterns)), F.lit(i)) for i, r in enumerate(rules)]))
+    if views:  # a text that has views may match in them alone
+        may = F.when(~is_plain(text) | has_ending(text), F.array(*[F.lit(i) for i in range(len(rules))])).otherwise(may)
 
     @F.pandas_udf(MATCHES)
-    def scan(texts: pd.Series) -> pd.Series:
-        def one(text: str | None) -> list:
+    def scan(texts: pd.Series, numbers: pd.Series) -> pd.Series:
+        def one(text: str | None, which) -> list:
             if not isinstance(text, str):
                 return []
+            seen = Texts(text, views)
             named = lambda spans: [{"start": a, "end": b, "txt": text[a:b]} for a, b in spans]
-            each = ((r.id, *match_text(text, r)) for r in rules)
+            each = ((rules[i].id, *match_text(seen, rules[i])) for i in which)
             return [{"rule_id": k, "candidates": named(found), "survivors": named(left)} for k, found, left in each if found]
 
-        return pd.Series([one(x) for x in texts])
+        return pd.Series([one(x, n) for x, n in zip(texts, numbers)])
 
-    return scan(F.when(text.rlike(gate), text))
+    return scan(F.when(F.size(may) > 0, text), may)
 
 
 def presence_rules(catalog: Catalog) -> list[Rule]:
     return [r for r in catalog.rules if r.trigger == "presence"]
 
 
-def rule_matches(docs: DataFrame, catalog: Catalog, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``doc_id, rule_id, candidates, survivors`` of each document and presence rule with candidates."""
-    found = docs.select(id_col, matches(F.col(text_col), presence_rules(catalog)).alias("_m"))
+def rule_matches(docs: DataFrame, catalog: Catalog, id_col: str = "doc_id", text_col: str = "text", views: bool = False) -> DataFrame:
+    """``doc_id, rule_id, candidates, survivors`` of each document and presence rule with candidates; with ``views``, also of what is only seen in a text's views."""
+    found = docs.select(id_col, matches(F.col(text_col), presence_rules(catalog), views).alias("_m"))
     return found.select(id_col, F.explode("_m").alias("m")).select(id_col, "m.*")
 
 
@@ -121,7 +161,7 @@ def slot_status(docs: DataFrame, catalog: Catalog, id_col: str = "doc_id", text_
     return docs.select(id_col, F.explode(F.array(*[slot_columns(text, s) for s in catalog.slots])).alias("s")).select(id_col, "s.*")
 
 
-def check(docs: DataFrame, catalog: Catalog, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def check(docs: DataFrame, catalog: Catalog, id_col: str = "doc_id", text_col: str = "text", views: bool = False) -> DataFrame:
     """The whole check of each document in one projection.
 
     ``findings`` (rule_id, severity, start, end, txt, evidence, statute, article) by rule id; ``suppressed``
@@ -131,7 +171,7 @@ def check(docs: DataFrame, catalog: Catalog, id_col: str = "doc_id", text_col: s
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
     rules = presence_rules(catalog)
-    found = docs.select(id_col, text.alias("_t"), matches(text, rules).alias("_m"), F.array(*[slot_columns(text, s) for s in catalog.slots]).alias("slots"))
+    found = docs.select(id_col, text.alias("_t"), matches(text, rules, views).alias("_m"), F.array(*[slot_columns(text, s) for s in catalog.slots]).alias("slots"))
     fired = F.transform(F.filter("_m", lambda m: F.size(m["survivors"]) > 0), lambda m: m["rule_id"])
     quelled = F.transform(F.filter("_m", lambda m: F.size(m["survivors"]) == 0), lambda m: m["rule_id"])
     found = found.select("*", fired.alias("_fired"), F.array_sort(quelled).alias("suppressed"))

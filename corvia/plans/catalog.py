@@ -36,6 +36,18 @@ class ContextGroup:
     window: int
 
 
+@dataclass(frozen=True)
+class Protection:
+    """Expressions that govern a candidate in its clause; they may hold no groups."""
+
+    protect: str
+    require: str
+    indifferent: str
+    contrast: str
+    breaks: str
+    item_words: int = 3
+
+
 @dataclass(frozen=True)
 class Rule:
     id: str
@@ -52,6 +64,7 @@ class Rule:
     statute: str | None = None
     article: str | None = None
     message: str = ""
+    protect: Protection | None = None
 
 
 @dataclass(frozen=True)
@@ -117,6 +130,12 @@ class Catalog:
                         yield f"{r.id}: pattern {p!r} matches the empty text"
                 except re.error as e:
                     yield f"{r.id}: pattern {p!r}: {e}"
+            for p in (r.protect.protect, r.protect.require, r.protect.indifferent, r.protect.contrast, r.protect.breaks) if r.protect else ():
+                try:
+                    if re.compile(p).groups or re.search(p, ""):
+                        yield f"{r.id}: governor {p!r} has groups or matches the empty text"
+                except re.error as e:
+                    yield f"{r.id}: governor {p!r}: {e}"
         for a in self.articles:
             try:
                 if date.fromisoformat(a.effective) > date.fromisoformat(self.snapshot):
@@ -132,7 +151,7 @@ class Catalog:
     @property
     def matching_version(self) -> str:
         """Changes only with what decides matches."""
-        parts = [(r.id, r.trigger, r.patterns, [asdict(e) for e in r.exclude], [asdict(g) for g in r.context], r.slot) for r in self.rules]
+        parts = [(r.id, r.trigger, r.patterns, [asdict(e) for e in r.exclude], [asdict(g) for g in r.context], r.slot, *([asdict(r.protect)] if r.protect else [])) for r in self.rules]
         return hashlib.sha256(json.dumps([parts, [asdict(s) for s in self.slots]], sort_keys=True, ensure_ascii=False).encode()).hexdigest()[:16]
 
     def with_local(self, rules: Iterable[Rule]) -> Catalog:
@@ -152,7 +171,7 @@ class Catalog:
             data = json.loads(raw)
         try:
             rules = tuple(
-                Rule(**r | {"patterns": tuple(r.get("patterns", ())), "related": tuple(r.get("related", ())), "exclude": tuple(Exclusion(**e) for e in r.get("exclude", ())), "context": tuple(ContextGroup(g["name"], tuple(g["patterns"]), g["window"]) for g in r.get("context", ()))})
+                Rule(**r | {"patterns": tuple(r.get("patterns", ())), "related": tuple(r.get("related", ())), "exclude": tuple(Exclusion(**e) for e in r.get("exclude", ())), "context": tuple(ContextGroup(g["name"], tuple(g["patterns"]), g["window"]) for g in r.get("context", ())), "protect": Protection(**r["protect"]) if r.get("protect") else None})
                 for r in data["rules"]
             )
             slots = tuple(Slot(s["id"], s["label"], tuple(s["accept"]), tuple((k, tuple(v)) for k, v in s.get("components", {}).items())) for s in data["slots"])
@@ -203,3 +222,32 @@ DEFAULT = Catalog(
         Article("conduct", "1", "Insults", "Insults are marked.", "2023-11-30"),
     ),
 )
+
+
+#: Words that protect what stands in their clause, in the languages of the texts; each with the blanks or marks around it.
+NEGATIONS = Protection(
+    protect=r"(?i)[ ,(](?:not|no|without|never|nicht|kein|pas|sans|sin)[ ,.)]",
+    require=r"(?i)[ ,(](?:must|required|only|muss|doit|debe)[ ,.)]",
+    indifferent=r"(?i)[ ,(](?:regardless|whatever|all|alle|tout)[ ,.)]",
+    contrast=r"(?i)[ ,(](?:but|however|or|aber|mais|pero)[ ,.)]",
+    breaks=r"(?i)[;:]| (?:but|however|and|aber|und|mais|et|pero|y) ",
+)
+
+#: The default catalog with its personal data protected where a text negates it, and a rule whose candidates are plain words.
+GUARDED = replace(
+    DEFAULT,
+    rules=(
+        *(replace(r, protect=NEGATIONS) if r.id in ("P-MAIL", "P-ADDR", "P-CARD", "P-SECRET", "Q-NOISE") else r for r in DEFAULT.rules),
+        Rule("Q-CLAIM", "question", "facts", "low", "presence", (r"re:(?i) (?:are|was|ist|sind|est|sont|es|son)[ ,.]",), message="is it so?", protect=NEGATIONS),
+    ),
+)
+
+#: Rules for texts in look-alike characters: expressions see the normalised text, literals that with its endings rewritten.
+VIEWED = replace(
+    DEFAULT,
+    rules=(
+        *DEFAULT.rules,
+        Rule("Q-ENDING", "question", "style", "low", "presence", ("heate", "tión", "eung"), (Exclusion("re:[0-9]{3}", 40),), message="which word is it?"),
+        Rule("Q-LIGATURE", "question", "style", "low", "presence", ("fi",), (), (ContextGroup("mark", (",", "."), 30),), message="is it one character?"),
+    ),
+)

@@ -6,10 +6,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corvia.functions.text import evidence, heading_key, snippet
+from corvia.operators.clauses import REACH, SENTENCE_END
 from corvia.operators.rules import check, first_survivors, matches, presence_rules, rule_matches, slot_status, suppressed
 from corvia.operators.sections import label_units, lines, sections
 from corvia.operators.spans import any_of, to_regex
-from corvia.plans.catalog import DEFAULT, ContextGroup, Rule
+from corvia.plans.catalog import DEFAULT, Catalog, ContextGroup, Rule
 from corvia.plans.registry import Tables, query
 
 # --- the same in DuckDB SQL, built from the catalog
@@ -19,12 +20,13 @@ def q(s: str) -> str:
     return "'" + s.replace("'", "''") + "'"
 
 
-PATTERNS = sorted({to_regex(p) for r in presence_rules(DEFAULT) for p in (*r.patterns, *(e.term for e in r.exclude), *(p for g in r.context for p in g.patterns))} | {r"[*#&%$]{3}"})
+def patterns_of(catalog: Catalog) -> list[str]:
+    return sorted({to_regex(p) for r in presence_rules(catalog) for p in (*r.patterns, *(e.term for e in r.exclude), *(p for g in r.context for p in g.patterns))})
 
 
-def sql_spans(patterns: list[str], table: str = "sp") -> str:
+def sql_spans(patterns: list[str], table: str = "sp", source: str = "documents") -> str:
     """``k, doc_id, start, end, txt`` of all matches, with offsets from the lengths of the pieces and matches before each."""
-    each = " union all ".join(f"select {q(rx)} as k, doc_id, unnest(regexp_extract_all(text, {q(rx)})) as txt, unnest(string_split_regex(text, {q(rx)})[:-2]) as gap, generate_subscripts(regexp_extract_all(text, {q(rx)}), 1) as i from documents where regexp_matches(text, {q(rx)})" for rx in patterns)
+    each = " union all ".join(f"select {q(rx)} as k, doc_id, unnest(regexp_extract_all(text, {q(rx)})) as txt, unnest(string_split_regex(text, {q(rx)})[:-2]) as gap, generate_subscripts(regexp_extract_all(text, {q(rx)}), 1) as i from {source} where regexp_matches(text, {q(rx)})" for rx in patterns)
     return f"""{table} as materialized (select k, doc_id, (e - length(txt))::int as start, e::int as "end", txt from (select *, sum(length(gap) + length(txt)) over (partition by k, doc_id order by i) as e from ({each})))"""
 
 
@@ -36,24 +38,53 @@ def among(patterns) -> str:
     return "(" + ", ".join(q(to_regex(p)) for p in patterns) + ")"
 
 
-def sql_matches() -> str:
+def sql_governed(catalog: Catalog) -> str:
+    """``rule_id, doc_id, start, end, governed`` of the candidates of protected rules: sentence, clause, list items and nearest governor by pieces of the text on either side."""
+    protected = [r for r in presence_rules(catalog) if r.protect]
+    (p,) = {r.protect for r in protected}
+    words, near = (lambda x: f"len(regexp_extract_all({x}, '\\S+'))"), lambda rx: f"least(case when len(string_split_regex(l, {q(rx)})) > 1 then length(string_split_regex(l, {q(rx)})[-1]) end, case when len(string_split_regex(r, {q(rx)})) > 1 then length(string_split_regex(r, {q(rx)})[1]) end)"
+    return f"""g0 as (
+  select c.*, right(string_split_regex(substr(d.text, 1, c.start), {q(SENTENCE_END)})[-1], {REACH}) as sl, string_split_regex(left(substr(d.text, c."end" + 1), {REACH}), {q(SENTENCE_END)})[1] as sr
+  from cands c join documents d using (doc_id) where c.rule_id in ({", ".join(q(r.id) for r in protected)})
+), g1 as (
+  select *, string_split(string_split_regex(sl, {q(p.breaks)})[-1], ',') as ll, string_split(string_split_regex(sr, {q(p.breaks)})[1], ',') as rr from g0
+), g2 as (
+  select *, case when {words("ll[-1] || txt || rr[1]")} <= {p.item_words} then coalesce(list_max(list_filter(range(1, len(ll)), lambda i: {words("ll[i]")} > {p.item_words})), 1) else len(ll) end as j,
+    coalesce(list_min(list_filter(range(2, len(rr) + 1), lambda i: {words("rr[i]")} > {p.item_words})), len(rr) + 1) as m from g1
+), g3 as (
+  select *, ' ' || array_to_string(ll[j:], ',') || ' ' as l, ' ' || array_to_string(rr[1:m - 1], ',') || ' ' as r, ' ' || sr || ' ' as after from g2
+), gov as materialized (
+  select rule_id, doc_id, start, "end", case when regexp_matches(r, {q(p.indifferent)}) then not regexp_matches(substr(after, length(string_split_regex(r, {q(p.indifferent)})[1]) + length(regexp_extract(r, {q(p.indifferent)}))), {q(p.contrast)})
+    else coalesce({near(p.protect)} <= coalesce({near(p.require)}, 100000), false) end as governed from g3
+)"""
+
+
+def sql_matches(catalog: Catalog = DEFAULT, spans: str | None = None) -> str:
+    """``cands`` and ``left_over`` of a catalog, from the spans ``sp`` of its patterns."""
     cands, left = [], []
-    for r in presence_rules(DEFAULT):
+    for r in presence_rules(catalog):
         cands.append(f'select distinct {q(r.id)} as rule_id, {q(r.layer)} as layer, doc_id, start, "end", txt from sp where k in {among(r.patterns)}')
         tests = [f"c.rule_id = {q(r.id)}"]
+        if r.protect:
+            tests.append('not exists (select 1 from gov g where g.governed and g.rule_id = c.rule_id and g.doc_id = c.doc_id and g.start = c.start and g."end" = c."end")')
         for e in r.exclude:
             cand = f" and regexp_matches(c.txt, {q(to_regex(e.candidate))})" if e.candidate else ""
             tests.append(f"not exists (select 1 from sp o where o.k = {q(to_regex(e.term))} and {sql_within(e.window, e.overlap)}{cand})")
         for g in r.context:
             tests.append(f"exists (select 1 from sp o where o.k in {among(g.patterns)} and {sql_within(g.window, other=True)})")
         left.append(f"select * from cands c where {' and '.join(tests)}")
-    return f"{sql_spans(PATTERNS)}, cands as materialized ({' union all '.join(cands)}), left_over as materialized ({' union all '.join(left)})"
+    guard = f", {sql_governed(catalog)}" if any(r.protect for r in catalog.rules) else ""
+    return f"{spans or sql_spans(patterns_of(catalog))}, cands as materialized ({' union all '.join(cands)}){guard}, left_over as materialized ({' union all '.join(left)})"
+
+
+def sql_rules(catalog: Catalog) -> str:
+    return "rules(rule_id, layer, dimension, severity, trigger, slot, scope, statute, article) as (values " + ", ".join("(" + ", ".join(q(x) if x else "null" for x in (r.id, r.layer, r.dimension, r.severity, r.trigger, r.slot, r.scope, r.statute, r.article)) + ")" for r in catalog.rules) + ")"
 
 
 MATCHES = sql_matches()
 FIRED = """fired as materialized (select doc_id, rule_id, layer, start, "end", l.txt, text from (select *, row_number() over (partition by doc_id, rule_id order by start, "end") as rn from left_over) l join documents using (doc_id) where rn = 1),
 quelled as (select distinct doc_id, rule_id from cands where (doc_id, rule_id) not in (select (doc_id, rule_id) from left_over))"""
-VALUES_RULES = "rules(rule_id, layer, dimension, severity, trigger, slot, scope, statute, article) as (values " + ", ".join("(" + ", ".join(q(x) if x else "null" for x in (r.id, r.layer, r.dimension, r.severity, r.trigger, r.slot, r.scope, r.statute, r.article)) + ")" for r in DEFAULT.rules) + ")"
+VALUES_RULES = sql_rules(DEFAULT)
 VALUES_LINKS = "links(rule_id, question) as (values " + ", ".join(f"({q(r.id)}, {q(x)})" for r in DEFAULT.rules for x in r.related) + ")"
 VALUES_ARTICLES = "articles(statute, article, title, effective) as (values " + ", ".join(f"({q(a.statute)}, {q(a.article)}, {q(a.title)}, {q(a.effective)})" for a in DEFAULT.articles) + ")"
 

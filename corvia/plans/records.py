@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from corvia.functions import text as X
-from corvia.functions.views import nfkc_view
+from corvia.functions.views import ENDINGS, nfkc_view
 from corvia.operators import corpus as C
 from corvia.operators.lines import changed_lines
 from corvia.operators.rules import first_survivors, rule_matches
@@ -29,7 +29,6 @@ def folded_masking(t: Tables) -> DataFrame:
     return t.documents.select("doc_id", X.masked_folded(written).alias("masked"))
 
 
-ENDINGS = (("ization", "isation"), ("izing", "ising"), ("ized", "ised"), ("ation", "ate"), ("ements", "ement"), ("ungen", "ung"), ("iones", "ión"))
 _REWRITTEN = "text"
 for _old, _new in ENDINGS:
     _REWRITTEN = rf"regexp_replace({_REWRITTEN}, '{_old}([^a-zA-ZÀ-ÿ]|$)', '{_new}\1', 'g')"
