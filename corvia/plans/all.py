@@ -1,5 +1,5 @@
 """Imports every module that registers queries."""
 
-from corvia.plans import analysis, corpus, guarded, matching, records
+from corvia.plans import analysis, corpus, guarded, matching, ordered, records
 
-MODULES = (analysis, corpus, guarded, matching, records)
+MODULES = (analysis, corpus, guarded, matching, ordered, records)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from corvia.operators import corpus as C
 from corvia.operators import metrics as M
+from corvia.operators.order import medians, percentiles
 from corvia.operators.rules import check, first_survivors, rule_matches, slot_status
 from corvia.plans.catalog import DEFAULT
 from corvia.plans.matching import ALL, FIRED, MATCHES, SLOTS, VALUES_ARTICLES, VALUES_LINKS, VALUES_RULES
@@ -103,19 +104,20 @@ def date_range(t: Tables) -> DataFrame:
 
 @query("select event_type, round(median(value), 6) as median from events group by event_type")
 def median_value(t: Tables) -> DataFrame:
-    return t.events.groupBy("event_type").agg(F.round(F.median("value"), 6).alias("median"))
+    return medians(t.events, ["event_type"], "value").select("event_type", F.round("median", 6).alias("median"))
 
 
 @query("select event_type, quantile_disc(value, 0.5) as p50, quantile_disc(value, 0.95) as p95, quantile_disc(value, 0.99) as p99 from events group by event_type")
 def latency_percentiles(t: Tables) -> DataFrame:
     """Nearest-rank percentiles, exact."""
-    return t.events.groupBy("event_type").agg(*[F.expr(f"percentile_disc({p / 100}) within group (order by value)").alias(f"p{p}") for p in (50, 95, 99)])
+    return percentiles(t.events, ["event_type"], "value", {f"p{p}": p / 100 for p in (50, 95, 99)}).drop("n")
 
 
 @query("with d as (select event_type, ts::date as day, count(*) as n from events group by 1, 2) select event_type, min(n) as least, max(n) as most, sum(n)::bigint as total, round(avg(n), 6) as mean, median(n)::double as median from d group by event_type")
 def throughput_by_group(t: Tables) -> DataFrame:
     days = t.events.groupBy("event_type", F.to_date("ts").alias("day")).agg(F.count(F.lit(1)).alias("n"))
-    return days.groupBy("event_type").agg(F.min("n").alias("least"), F.max("n").alias("most"), F.sum("n").alias("total"), F.round(F.avg("n"), 6).alias("mean"), F.median("n").alias("median"))
+    sums = days.groupBy("event_type").agg(F.min("n").alias("least"), F.max("n").alias("most"), F.sum("n").alias("total"), F.round(F.avg("n"), 6).alias("mean"))
+    return sums.join(medians(days, ["event_type"], "n").drop("n"), "event_type")
 
 
 @query(r"with w as (select regexp_extract(text, '^[A-Za-z]+') as word, lang from documents) select lower(word) as key, array_to_string(list_sort(list_distinct(list(word))), '|') as variants, array_to_string(list_sort(list_distinct(list(lang))), '|') as langs, count(*) as n from w where word <> '' group by lower(word)")
@@ -128,7 +130,7 @@ def expression_groups(t: Tables) -> DataFrame:
 
 @query("select count(distinct user_id) as users, count(distinct ts::date) as days, count(*) as events, count(*) filter (value > 50) as high, round(median(value), 6) as median from events")
 def pilot_summary(t: Tables) -> DataFrame:
-    return t.events.agg(F.countDistinct("user_id").alias("users"), F.countDistinct(F.to_date("ts")).alias("days"), F.count(F.lit(1)).alias("events"), F.count_if(F.col("value") > 50).alias("high"), F.round(F.median("value"), 6).alias("median"))
+    return t.events.agg(F.countDistinct("user_id").alias("users"), F.countDistinct(F.to_date("ts")).alias("days"), F.count(F.lit(1)).alias("events"), F.count_if(F.col("value") > 50).alias("high")).join(medians(t.events, [], "value").select(F.round("median", 6).alias("median")), how="left")
 
 
 # --- evaluation and agreement
