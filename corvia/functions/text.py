@@ -138,3 +138,12 @@ def keyword_class(text: Column, classes: dict[str, list[str]], fallback: str) ->
     for name, count in counts:
         out = out.when(count == most, F.lit(name))
     return out.otherwise(F.lit(fallback))
+
+
+def hmac_sha256(text: Column, key: bytes) -> Column:
+    """The keyed hash of a text in hex (RFC 2104), by two plain hashes."""
+    import hashlib
+
+    block = (hashlib.sha256(key).digest() if len(key) > 64 else key).ljust(64, b"\0")
+    inner, outer = (F.lit(bytearray(b ^ pad for b in block)) for pad in (0x36, 0x5C))
+    return F.sha2(F.concat(outer, F.unhex(F.sha2(F.concat(inner, F.encode(text, "UTF-8")), 256))), 256)

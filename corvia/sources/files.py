@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import codecs
 import io
 import zipfile
 from collections.abc import Iterator
+from csv import reader as csv_reader
 from pathlib import PurePath
 
 import pandas as pd
@@ -47,23 +49,74 @@ def partition(rows: DataFrame, split: str, manifest: DataFrame, key: str = "id",
 
 
 def csv(spark: SparkSession, path: str, schema: T.StructType, fallback: str = "cp949") -> DataFrame:
-    """CSV files whose header names the fields of ``schema``: those that are UTF-8 throughout as such (with or without a byte order mark), others line by line in ``fallback``, whatever it cannot decode replaced. Only names of files reach the driver."""
-    lines = spark.read.text(guarded(path)).select(F.col("_metadata.file_path").alias("file"), F.is_valid_utf8("value").alias("valid"))
-    found = lines.groupBy("file").agg(F.every("valid").alias("valid")).collect()
-    good, other = (sorted(r.file for r in found if r.valid is valid) for valid in (True, False))
+    """The fields of ``schema`` from CSV files, by the names in each file's own header, in whatever order and among whatever others.
+
+    Files that are UTF-8 throughout are read as such (with or without a byte order mark), others in
+    ``fallback``, whatever it cannot decode replaced: Spark takes such a file apart by its bytes, which is
+    right for encodings in which commas, quotes and line ends stand for themselves alone, and its values
+    are decoded then. Records are whole: quoted values may hold line breaks, so a file is read by one task. A header without one of the fields, or with one twice, is an error; empty
+    files have no rows. Of each file, its name and header reach the driver.
+    """
+    lines = spark.read.text(guarded(path)).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("at"), "value", F.monotonically_increasing_id().alias("no"))
+    head = F.min_by(F.when(F.col("at") == 0, F.col("value").cast("binary")), F.when(F.col("at") == 0, F.col("no")))
+    found = lines.groupBy("file").agg(F.every(F.is_valid_utf8("value")).alias("valid"), head.alias("head")).collect()
+
+    @F.pandas_udf(T.StringType())
+    def in_fallback(values: pd.Series) -> pd.Series:
+        return values.map(lambda x: x.encode("latin-1").decode(fallback, "replace"), na_action="ignore")
+
+    alike: dict[tuple[str, tuple[str, ...]], list[str]] = {}
+    for r in found:
+        encoding = "utf-8-sig" if r.valid else fallback
+        names = tuple(x.strip() for x in next(csv_reader([bytes(r.head).decode(encoding, "replace")])))
+        for name in schema.names:
+            if names.count(name) != 1:
+                raise ValueError(f"{r.file}: the header names {name} {names.count(name)} times")
+        alike.setdefault((encoding, names), []).append(r.file)
     out = spark.createDataFrame([], schema)
-    if good:
-        out = out.unionByName(spark.read.schema(schema).option("header", True).csv(good))
-    if other:
+    for (encoding, names), same in sorted(alike.items()):
+        own = T.StructType([T.StructField(f"_{i}", schema[n].dataType if n in schema.names else T.StringType()) for i, n in enumerate(names)])
+        rows = spark.read.schema(own).option("header", True).option("multiLine", True).option("escape", '"').option("encoding", "UTF-8" if encoding == "utf-8-sig" else "ISO-8859-1").csv(sorted(same))
+        of = lambda f: F.col(f"_{names.index(f.name)}")
+        out = out.unionByName(rows.select(*[(in_fallback(of(f)) if encoding == fallback and f.dataType == T.StringType() else of(f)).alias(f.name) for f in schema.fields]))
+    return out
 
-        def decode(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for frame in frames:
-                yield pd.DataFrame({"line": [bytes(x).decode(fallback, "replace") for x in frame.raw]})
 
-        decoded = spark.read.text(other).select(F.col("value").cast("binary").alias("raw")).mapInPandas(decode, "line string")
-        records = decoded.where(F.col("line") != ",".join(schema.names)).select(F.from_csv("line", schema.toDDL()).alias("r"))
-        out = out.unionByName(records.select("r.*"))
-    return out
+#: Marks at the start of a file, the longer ones first.
+MARKS = ((b"\xef\xbb\xbf", "utf-8"), (b"\xff\xfe\x00\x00", "utf-32-le"), (b"\x00\x00\xfe\xff", "utf-32-be"), (b"\xff\xfe", "utf-16-le"), (b"\xfe\xff", "utf-16-be"))
+
+
+def decoded(content: bytes, encoding: str | None) -> tuple[str, str]:
+    """``text, encoding``: by the mark, if there is one, else as ``encoding``, else as UTF-8."""
+    mark, named = next(((m, e) for m, e in MARKS if content.startswith(m)), (b"", encoding or "utf-8"))
+    if mark and encoding and codecs.lookup(encoding).name.replace("_", "-") not in (named, named[:-3], f"{named}-sig"):
+        raise UnicodeError(f"marked as {named}, named as {encoding}")
+    return content[len(mark) :].decode(named), named
+
+
+def text_files(spark: SparkSession, path: str, encoding: str | None = None, most_bytes: int = 256 << 20) -> DataFrame:
+    """``file, text, encoding`` of whole text files: UTF-8, what their mark says, or a named encoding; Spark passes over empty files, so they have no row.
+
+    A file that cannot be decoded, whose mark and named encoding differ, or of more than ``most_bytes`` is an error that names the file and the offset of the byte.
+    """
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            rows = []
+            for file, size, content in zip(frame.path, frame.length, frame.content):
+                if size > most_bytes:
+                    raise ValueError(f"{file}: {size} bytes")
+                try:
+                    rows.append((file, *decoded(content, encoding)))
+                except UnicodeDecodeError as e:
+                    raise ValueError(f"{file}: byte {e.start + len(content) - len(e.object)}: {e.reason}") from e
+                except UnicodeError as e:
+                    raise ValueError(f"{file}: byte 0: {e}") from e
+            yield pd.DataFrame(rows, columns=["file", "text", "encoding"])
+
+    if encoding:
+        codecs.lookup(encoding)  # an unknown name fails here and not in a task
+    return spark.read.format("binaryFile").load(guarded(path)).select("path", "length", "content").mapInPandas(run, "file string, text string, encoding string")
 
 
 def xml(spark: SparkSession, path: str, row_tag: str, schema: T.StructType) -> DataFrame:

@@ -27,11 +27,13 @@ def event_log(events: DataFrame) -> DataFrame:
 
     def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         now = state.get[0] if state.exists else 0
-        rows = pd.concat(list(frames)).sort_values("event_id", kind="stable")
-        good, after = accepted(rows.expected.tolist(), now)
-        state.update((after,))
-        version = now + pd.Series(good, dtype="int64").cumsum()
-        yield pd.DataFrame({"packet": key[0], "event_id": rows.event_id.to_numpy(), "accepted": good, "version": version.to_numpy()})
+        for rows in frames:  # one after the other: a packet with very many rows is never whole in memory
+            rows = rows.sort_values("event_id", kind="stable")
+            good, after = accepted(rows.expected.tolist(), now)
+            version = now + pd.Series(good, dtype="int64").cumsum()
+            now = after
+            yield pd.DataFrame({"packet": key[0], "event_id": rows.event_id.to_numpy(), "accepted": good, "version": version.to_numpy()})
+        state.update((now,))
 
     return events.groupBy("packet").applyInPandasWithState(step, "packet long, event_id long, accepted boolean, version long", "version long", "append", GroupStateTimeout.NoTimeout)
 
