@@ -11,11 +11,12 @@ def rate(n: Column, total: Column) -> Column:
     return F.round(F.try_divide(n.cast("double"), total.cast("double")), 6)
 
 
-def activation_rates(ids: DataFrame, hits: DataFrame, id_col: str, doc_col: str, total: int | Column) -> DataFrame:
-    """``id, records, rate`` of every id of the catalog, those never observed too."""
+def activation_rates(ids: DataFrame, hits: DataFrame, id_col: str, doc_col: str, docs: DataFrame) -> DataFrame:
+    """``id, records, rate`` of every id of the catalog, those never observed too, over the number of ``docs``."""
     seen = hits.groupBy(id_col).agg(F.countDistinct(doc_col).alias("records"))
-    n = F.lit(total) if isinstance(total, int) else total
-    return ids.select(id_col).join(seen, id_col, "left").select(id_col, F.coalesce("records", F.lit(0)).alias("records")).withColumn("rate", rate(F.col("records"), n))
+    total = F.broadcast(docs.agg(F.count(F.lit(1)).alias("_n")))  # one row
+    every = ids.select(id_col).join(seen, id_col, "left").join(total, how="left")
+    return every.select(id_col, F.coalesce("records", F.lit(0)).alias("records"), "_n").select(id_col, "records", rate(F.col("records"), F.col("_n")).alias("rate"))
 
 
 def confusion(predicted: DataFrame, expected: DataFrame, keys: list[str], by: list[str]) -> DataFrame:
@@ -38,7 +39,11 @@ def kappa(pairs: DataFrame, a: str, b: str, by: list[str]) -> DataFrame:
 
 def drift(current: DataFrame, baseline: DataFrame, key: str, threshold: float) -> DataFrame:
     """``key, now, then, delta, state`` of two tables of rates (``rate``); ids of one side alone count as 0 on the other."""
-    both = current.select(key, F.col("rate").alias("now")).join(baseline.select(key, F.col("rate").alias("then")), key, "full_outer")
+    return drifted(current.select(key, F.col("rate").alias("now")).join(baseline.select(key, F.col("rate").alias("then")), key, "full_outer"), key, threshold)
+
+
+def drifted(both: DataFrame, key: str, threshold: float) -> DataFrame:
+    """The same of one table with both rates (``now, then``)."""
     now, then = F.coalesce("now", F.lit(0.0)), F.coalesce("then", F.lit(0.0))
     delta = F.round(now - then, 6)
     state = F.when((then == 0) & (now > 0), "appeared").when((then > 0) & (now == 0), "vanished").when(F.abs(delta) >= threshold, "alert").otherwise("ok")

@@ -28,7 +28,7 @@ def rules(t: Tables) -> DataFrame:
 
 
 def rates(t: Tables) -> DataFrame:
-    return M.activation_rates(rules(t), hits(t), "rule_id", "doc_id", t.documents.count())
+    return M.activation_rates(rules(t), hits(t), "rule_id", "doc_id", t.documents)
 
 
 # --- counts and rates
@@ -79,7 +79,8 @@ def slot_missing_rates(t: Tables) -> DataFrame:
 @query(f"with {ALL}, n as (select scope, count(*) * (select count(*) from documents) as possible from rules where layer = 'question' group by scope), a as (select scope, count(*) as asked from questions join rules using (rule_id) group by scope) select scope, possible, coalesce(asked, 0) as asked, round(1 - coalesce(asked, 0)::double / possible, 6) as reduction from n left join a using (scope)")
 def scope_reduction(t: Tables) -> DataFrame:
     """Of all questions of a scope for all documents, the share that is not asked."""
-    of_scope = rules(t).where("layer = 'question'").groupBy("scope").agg((F.count(F.lit(1)) * t.documents.count()).alias("possible"))
+    total = F.broadcast(t.documents.agg(F.count(F.lit(1)).alias("_n")))  # one row
+    of_scope = rules(t).where("layer = 'question'").groupBy("scope").agg(F.count(F.lit(1)).alias("_q")).join(total, how="left").select("scope", (F.col("_q") * F.col("_n")).alias("possible"))
     asked = check(t.documents, DEFAULT).select(F.explode("questions.rule_id").alias("rule_id")).join(F.broadcast(rules(t).select("rule_id", "scope")), "rule_id").groupBy("scope").agg(F.count(F.lit(1)).alias("asked"))
     n = F.coalesce("asked", F.lit(0))
     return of_scope.join(asked, "scope", "left").select("scope", "possible", n.alias("asked"), F.round(1 - n.cast("double") / F.col("possible"), 6).alias("reduction"))
@@ -236,18 +237,22 @@ def disagreements_by_rule(t: Tables) -> DataFrame:
 SQL_HALVES = SQL_HITS + ", h as (select r.rule_id, count(distinct f.doc_id) filter (f.doc_id % 2 = 0)::double / (select count(*) from documents where doc_id % 2 = 0) as now, count(distinct f.doc_id) filter (f.doc_id % 2 = 1)::double / (select count(*) from documents where doc_id % 2 = 1) as before from rules r left join fired f using (rule_id) group by r.rule_id), g as (select rule_id, round(now, 6) as now, round(before, 6) as before, round(round(now, 6) - round(before, 6), 6) as delta from h)"
 
 
-def half_rates(t: Tables, half: int) -> DataFrame:
-    return M.activation_rates(rules(t), hits(t).where(f"doc_id % 2 = {half}"), "rule_id", "doc_id", t.documents.where(f"doc_id % 2 = {half}").count())
+def half_drift(t: Tables) -> DataFrame:
+    """Even ids against odd ones. The matches are read once: both sides are columns of one aggregate, told apart before the join."""
+    seen = hits(t).groupBy("rule_id").agg(*[F.countDistinct(F.when(F.col("doc_id") % 2 == k, F.col("doc_id"))).alias(f"n{k}") for k in (0, 1)])
+    total = F.broadcast(t.documents.agg(*[F.count_if(F.col("doc_id") % 2 == k).alias(f"all{k}") for k in (0, 1)]))  # one row
+    every = rules(t).select("rule_id").join(seen, "rule_id", "left").join(total, how="left")
+    return M.drifted(every.select("rule_id", *[M.rate(F.coalesce(f"n{k}", F.lit(0)), F.col(f"all{k}")).alias(name) for k, name in ((0, "now"), (1, "then"))]), "rule_id", 0.005)
 
 
 @query(SQL_HALVES + ' select rule_id, now, before as "then", delta, case when before = 0 and now > 0 then \'appeared\' when before > 0 and now = 0 then \'vanished\' when abs(delta) >= 0.005 then \'alert\' else \'ok\' end as state from g')
 def activation_drift(t: Tables) -> DataFrame:
-    return M.drift(half_rates(t, 0), half_rates(t, 1), "rule_id", 0.005)
+    return half_drift(t)
 
 
 @query(SQL_HALVES + " select rule_id, delta from g where delta <> 0")
 def baseline_delta(t: Tables) -> DataFrame:
-    return M.drift(half_rates(t, 0), half_rates(t, 1), "rule_id", 0.005).where("delta <> 0").select("rule_id", "delta")
+    return half_drift(t).where("delta <> 0").select("rule_id", "delta")
 
 
 @query(SQL_HITS + ", s as (select distinct source, rule_id from fired join documents using (doc_id)) select rule_id, 'added' as change from (select rule_id from s where source = 'src0' except select rule_id from s where source = 'src1') union all select rule_id, 'removed' from (select rule_id from s where source = 'src1' except select rule_id from s where source = 'src0') union all select rule_id, 'never fired' from (select rule_id from rules except select rule_id from s)")
@@ -345,8 +350,10 @@ def answer_progress(t: Tables) -> DataFrame:
 
 @query("select user_id, array_to_string(list_sort(list_distinct(list(event_type || ':' || props)))[1:32], ' ') as refs from events group by user_id")
 def evidence_refs(t: Tables) -> DataFrame:
-    refs = F.slice(F.sort_array(F.collect_set(F.concat("event_type", F.lit(":"), "props"))), 1, 32)
-    return t.events.groupBy("user_id").agg(F.array_join(refs, " ").alias("refs"))
+    """The first 32 different references of each user; no task holds more of one."""
+    refs = t.events.select("user_id", F.concat("event_type", F.lit(":"), "props").alias("ref")).distinct()
+    first = C.quota(refs, "user_id", [F.col("ref")], 32)
+    return first.groupBy("user_id").agg(F.array_join(F.sort_array(F.collect_list("ref")), " ").alias("refs"))
 
 
 SQL_QUEUE = f"with {MATCHES}, {FIRED}, u as (select *, row_number() over (partition by rule_id, txt order by sha256(doc_id::varchar), doc_id) as c from fired), k as (select *, row_number() over (partition by rule_id order by sha256(doc_id::varchar), doc_id) as n from u where c = 1)"

@@ -174,11 +174,21 @@ class Catalog:
                 Rule(**r | {"patterns": tuple(r.get("patterns", ())), "related": tuple(r.get("related", ())), "exclude": tuple(Exclusion(**e) for e in r.get("exclude", ())), "context": tuple(ContextGroup(g["name"], tuple(g["patterns"]), g["window"]) for g in r.get("context", ())), "protect": Protection(**r["protect"]) if r.get("protect") else None})
                 for r in data["rules"]
             )
+            if unknown := sorted(set(data) - {"rules", "slots", "articles", "snapshot"} | {k for s in data["slots"] for k in set(s) - {"id", "label", "accept", "components"}}):
+                raise CatalogError(f"unknown keys: {', '.join(unknown)}")
             slots = tuple(Slot(s["id"], s["label"], tuple(s["accept"]), tuple((k, tuple(v)) for k, v in s.get("components", {}).items())) for s in data["slots"])
             return Catalog(rules, slots, tuple(Article(**a) for a in data["articles"]), data.get("snapshot", Catalog.snapshot))
         except (TypeError, KeyError) as e:
             raise CatalogError(str(e)) from e
 
+    def dump(self) -> str:
+        """JSON that :meth:`load` reads."""
+        data = asdict(self)
+        del data["local"]
+        for s in data["slots"]:
+            s["components"] = dict(s["components"])
+        return json.dumps(data, ensure_ascii=False, indent=1)
+
     def rule_table(self, spark: SparkSession) -> DataFrame:
         rows = [(r.id, r.layer, r.dimension, r.severity, r.trigger, r.slot, list(r.related), r.scope, r.statute, r.article, r.message) for r in self.rules]
         return spark.createDataFrame(rows, "rule_id string, layer string, dimension string, severity string, trigger string, slot string, related array<string>, scope string, statute string, article string, message string")

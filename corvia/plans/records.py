@@ -9,7 +9,7 @@ from corvia.functions import text as X
 from corvia.functions.views import ENDINGS, nfkc_view
 from corvia.operators import corpus as C
 from corvia.operators.lines import changed_lines
-from corvia.operators.rules import first_survivors, rule_matches
+from corvia.operators.rules import check, first_survivors, rule_matches
 from corvia.operators.spans import spans
 from corvia.plans.analysis import SQL_HITS, hits, rules
 from corvia.plans.catalog import DEFAULT
@@ -136,11 +136,14 @@ def sensitive_pointers(t: Tables) -> DataFrame:
 
 @query(r"select n_nationkey, coalesce(nullif(regexp_extract(listing, '(?:^|\n)' || n_name || '\n(?:[^\n]*\n){0,8}?key: ([^\n]*)', 1), ''), '') as key from nation, (select string_agg(n_name || chr(10) || 'region: ' || n_regionkey || chr(10) || 'key: ' || n_nationkey, chr(10) || chr(10) order by n_nationkey) as listing from nation)")
 def record_lookup(t: Tables) -> DataFrame:
-    """A field of the record whose header line is the name, within the nine lines after it, in one text listing (here of the nations)."""
-    parts = t.nation.agg(F.array_sort(F.collect_list(F.struct("n_nationkey", F.concat_ws("\n", "n_name", F.concat(F.lit("region: "), "n_regionkey"), F.concat(F.lit("key: "), "n_nationkey")).alias("t")))).alias("p"))
-    listing = parts.select(F.array_join(F.col("p.t"), "\n\n").alias("listing")).scalar()
-    pattern = F.concat(F.lit(r"(?:^|\n)"), "n_name", F.lit(r"\n(?:[^\n]*\n){0,8}?key: ([^\n]*)"))
-    return t.nation.select("n_nationkey", F.call_function("regexp_extract", listing, pattern, F.lit(1)).alias("key"))
+    """A field of the record whose header line is the name, within the nine lines after it, in text listings (here one a region): listings are split into lines, a window finds each line's next field, and headers are joined by name."""
+    record = F.concat_ws("\n", "n_name", F.concat(F.lit("region: "), "n_regionkey"), F.concat(F.lit("key: "), "n_nationkey"))
+    listings = t.nation.groupBy("n_regionkey").agg(F.array_join(F.array_sort(F.collect_list(record)), "\n\n").alias("text"))
+    lines = listings.select("n_regionkey", F.posexplode(F.split("text", "\n", -1)).alias("no", "line"))
+    near = Window.partitionBy("n_regionkey").orderBy("no").rowsBetween(1, 9)
+    field = F.first(F.when(F.col("line").startswith("key: "), F.substring("line", 6, 1 << 30)), ignorenulls=True).over(near)
+    keyed = lines.select("line", field.alias("key"))
+    return t.nation.join(keyed, F.col("n_name") == F.col("line"), "left").select("n_nationkey", F.coalesce("key", F.lit("")).alias("key"))
 
 
 @query("select c_custkey, case when lower(c_mktsegment) in ('building', 'machinery') then lower(c_mktsegment) else 'other' end as segment, coalesce(case when c_acctbal >= 0 then 'open' end, 'closed') as state from customer")
@@ -179,16 +182,12 @@ def line_diff(t: Tables) -> DataFrame:
 @query(f"with {ALL} select doc_id, 'finding' as kind, rule_id as item from fired where layer = 'policy' union all select doc_id, 'missing', slot from slots where not found union all select doc_id, 'question', rule_id from questions q where not exists (select 1 from rules r join slots s on r.slot = s.slot where r.rule_id = q.rule_id and s.doc_id = q.doc_id and not s.found)")
 def comparison_items(t: Tables) -> DataFrame:
     """What two checks of a document are compared by: findings, missing slots, and the questions that no missing slot stands for."""
-    from corvia.operators.rules import check
-
-    found = check(t.documents, DEFAULT)
-    slot_of = rules(t).where("slot is not null").select(F.col("rule_id").alias("item"), "slot")
-    missing = found.select("doc_id", F.explode(F.filter("slots", lambda s: ~s["found"])).alias("s")).select("doc_id", F.lit("missing").alias("kind"), F.col("s.slot").alias("item"))
-    asked = found.select("doc_id", F.explode("questions").alias("x")).select("doc_id", F.lit("question").alias("kind"), F.col("x.rule_id").alias("item"))
-    stood_for = missing.select("doc_id", F.col("item").alias("slot")).join(F.broadcast(slot_of), "slot").select("doc_id", "item")
-    policy = F.broadcast(rules(t).where("layer = 'policy'").select(F.col("rule_id").alias("item")))
-    findings = hits(t).select("doc_id", F.lit("finding").alias("kind"), F.col("rule_id").alias("item")).join(policy, "item", "left_semi").select("doc_id", "kind", "item")
-    return findings.unionByName(missing).unionByName(asked.join(stood_for, ["doc_id", "item"], "left_anti").select("doc_id", "kind", "item"))
+    slot_of = F.create_map(*[F.lit(x) for r in DEFAULT.rules if r.slot for x in (r.id, r.slot)])
+    gone = F.transform(F.filter("slots", lambda s: ~s["found"]), lambda s: s["slot"])
+    own = F.filter(F.col("questions.rule_id"), lambda x: ~F.coalesce(F.array_contains(F.col("gone"), slot_of[x]), F.lit(False)))
+    item = lambda kind, names: F.transform(names, lambda x: F.struct(F.lit(kind).alias("kind"), x.alias("item")))
+    found = check(t.documents, DEFAULT).select("doc_id", "findings", "questions", gone.alias("gone"))
+    return found.select("doc_id", F.explode(F.concat(item("finding", F.col("findings.rule_id")), item("missing", F.col("gone")), item("question", own))).alias("x")).select("doc_id", "x.*")
 
 
 @query("select coalesce(a.c_custkey, b.o_custkey) as key, case when b.o_custkey is null then 'missing' when a.c_custkey is null then 'extra' else 'different' end as state from (select c_custkey, c_acctbal >= 0 as flag from customer) a full join (select o_custkey, max(o_totalprice) > 200000 as flag from orders group by o_custkey) b on a.c_custkey = b.o_custkey where a.c_custkey is null or b.o_custkey is null or a.flag is distinct from b.flag")
