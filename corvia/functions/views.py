@@ -17,7 +17,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from corvia.functions.text import SPACES, ZERO_WIDTH, normalized
+from corvia.functions.text import IDENTIFIERS, SPACES, ZERO_WIDTH, masked, normalized
 
 #: Characters that per-character normalisation may change.
 _CHANGEABLE = re.compile("[^\t\n\r\x20-\x7e]")
@@ -118,3 +118,26 @@ def is_plain(text: Column) -> Column:
 
 def has_ending(text: Column, rules: tuple[tuple[str, str], ...] = ENDINGS) -> Column:
     return text.rlike(_endings(rules)[0].pattern)
+
+
+@lru_cache(64)
+def _identifiers(patterns: tuple[tuple[str, str], ...]) -> list[tuple[str, re.Pattern]]:
+    return [(kind, re.compile(p)) for kind, p in patterns]
+
+
+def mask_view(text: str, patterns: dict[str, str]) -> str:
+    """The text with what its normalised view shows of each kind masked, kind by kind, where it stands."""
+    for kind, pattern in _identifiers(tuple(patterns.items())):
+        view = normal_view(text)
+        text = replaced(text, [(*view.span(*m.span()), f"[{kind}]") for m in pattern.finditer(view.text)]).text
+    return text
+
+
+def masked_in_view(text: Column, patterns: dict[str, str] = IDENTIFIERS) -> Column:
+    """Identifiers masked, also such as are written in look-alike characters or with zero-width ones in them; plain texts stay in the JVM."""
+
+    @F.pandas_udf(T.StringType())
+    def mask(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda x: mask_view(x, patterns), na_action="ignore")
+
+    return F.when(is_plain(text), masked(text, patterns)).otherwise(mask(F.when(~is_plain(text), text)))

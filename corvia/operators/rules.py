@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 from corvia.functions.text import evidence
 from corvia.functions.views import ending_view, has_ending, is_plain, normal_view, same
 from corvia.operators.clauses import Sentences, governed
+from corvia.operators.sections import is_short_heading
 from corvia.operators.spans import any_of, to_regex
 
 if TYPE_CHECKING:
@@ -139,8 +140,32 @@ def suppressed(matches: DataFrame, id_col: str = "doc_id") -> DataFrame:
     return matches.where(F.size("survivors") == 0).select(id_col, "rule_id")
 
 
+def slot_in_context(text: Column, slot: Slot) -> Column:
+    """The same for a slot whose lines count in context alone: components and the best line come from lines that are accepted and allowed."""
+    c, vetoes = slot.context, dict(slot.context.vetoes)
+    lines = F.transform(F.split(text, "\n", -1), lambda x, i: F.struct(x.alias("x"), i.alias("i"), is_short_heading(x).alias("head")))
+    heads = F.transform(F.filter(lines, lambda u: u["head"]), lambda u: F.struct(u["i"].alias("i"), u["x"].rlike(c.block).alias("opens")))
+    accepted = F.filter(lines, lambda u: u["x"].rlike(any_of(slot.accept)) & ~(u["x"].rlike(c.deny) & ~u["x"].rlike(c.unless)))
+
+    def in_block(u: Column) -> Column:
+        return ~u["head"] & F.coalesce(F.array_max(F.filter(heads, lambda h: h["i"] < u["i"]))["opens"], F.lit(False))
+
+    def has(line: Column, name: str, patterns: tuple[str, ...]) -> Column:
+        return line.rlike(any_of(patterns)) & (~line.rlike(vetoes[name]) if name in vetoes else F.lit(True))
+
+    allowed = F.filter(accepted, lambda u: ~in_block(u))
+    count = lambda line: sum((has(line, k, p).cast("int") for k, p in slot.components), F.lit(0))
+    best = F.array_max(F.transform(allowed, lambda u: F.struct(count(u["x"]).alias("n"), (-u["i"]).alias("o"), u["x"].alias("line"))))
+    empty = F.array().cast("array<string>")
+    shown = lambda name, patterns: F.when(F.exists(allowed, lambda u: has(u["x"], name, patterns)), F.lit(name))
+    present = F.array_compact(F.array(*[shown(k, p) for k, p in slot.components])) if slot.components else empty
+    return F.struct(F.lit(slot.id).alias("slot"), best.isNotNull().alias("found"), present.alias("components"), (-best["o"]).cast("int").alias("line_no"), best["line"].alias("unit"))
+
+
 def slot_columns(text: Column, slot: Slot) -> Column:
     """``slot, found, components, line, unit``: the best unit is the first line with the most components among the lines that are accepted."""
+    if slot.context:
+        return slot_in_context(text, slot)
     accept = any_of(slot.accept)
     units = F.split(text, "\n", -1)
 

@@ -67,12 +67,23 @@ class Rule:
     protect: Protection | None = None
 
 
+@dataclass(frozen=True)
+class LineContext:
+    """Which accepted lines do not count: those with ``deny`` and not ``unless``, and those of a block that a heading with ``block`` opens, up to the next heading. ``vetoes`` are components and what a line may not hold with them."""
+
+    deny: str
+    unless: str
+    block: str
+    vetoes: tuple[tuple[str, str], ...] = ()
+
+
 @dataclass(frozen=True)
 class Slot:
     id: str
     label: str
     accept: tuple[str, ...]
     components: tuple[tuple[str, tuple[str, ...]], ...] = ()
+    context: LineContext | None = None
 
 
 @dataclass(frozen=True)
@@ -136,6 +147,16 @@ class Catalog:
                         yield f"{r.id}: governor {p!r} has groups or matches the empty text"
                 except re.error as e:
                     yield f"{r.id}: governor {p!r}: {e}"
+        for s in self.slots:
+            names = {k for k, _ in s.components}
+            for name, p in ((None, s.context.deny), (None, s.context.unless), (None, s.context.block), *s.context.vetoes) if s.context else ():
+                if name is not None and name not in names:
+                    yield f"{s.id}: a veto of no component: {name}"
+                try:
+                    if re.search(p, ""):
+                        yield f"{s.id}: pattern {p!r} matches the empty text"
+                except re.error as e:
+                    yield f"{s.id}: pattern {p!r}: {e}"
         for a in self.articles:
             try:
                 if date.fromisoformat(a.effective) > date.fromisoformat(self.snapshot):
@@ -174,9 +195,9 @@ class Catalog:
                 Rule(**r | {"patterns": tuple(r.get("patterns", ())), "related": tuple(r.get("related", ())), "exclude": tuple(Exclusion(**e) for e in r.get("exclude", ())), "context": tuple(ContextGroup(g["name"], tuple(g["patterns"]), g["window"]) for g in r.get("context", ())), "protect": Protection(**r["protect"]) if r.get("protect") else None})
                 for r in data["rules"]
             )
-            if unknown := sorted(set(data) - {"rules", "slots", "articles", "snapshot"} | {k for s in data["slots"] for k in set(s) - {"id", "label", "accept", "components"}}):
+            if unknown := sorted(set(data) - {"rules", "slots", "articles", "snapshot"} | {k for s in data["slots"] for k in set(s) - {"id", "label", "accept", "components", "context"}}):
                 raise CatalogError(f"unknown keys: {', '.join(unknown)}")
-            slots = tuple(Slot(s["id"], s["label"], tuple(s["accept"]), tuple((k, tuple(v)) for k, v in s.get("components", {}).items())) for s in data["slots"])
+            slots = tuple(Slot(s["id"], s["label"], tuple(s["accept"]), tuple((k, tuple(v)) for k, v in s.get("components", {}).items()), LineContext(**s["context"] | {"vetoes": tuple(map(tuple, s["context"].get("vetoes", ())))}) if s.get("context") else None) for s in data["slots"])
             return Catalog(rules, slots, tuple(Article(**a) for a in data["articles"]), data.get("snapshot", Catalog.snapshot))
         except (TypeError, KeyError) as e:
             raise CatalogError(str(e)) from e
@@ -261,3 +282,11 @@ VIEWED = replace(
         Rule("Q-LIGATURE", "question", "style", "low", "presence", ("fi",), (), (ContextGroup("mark", (",", "."), 30),), message="is it one character?"),
     ),
 )
+
+#: Slots whose lines count in context: none in noise, none below a heading of one word.
+CONTEXTED = replace(
+    DEFAULT,
+    slots=tuple(
+        replace(s, context=LineContext(deny=r"%%%|&&&", unless=r"###|\|", block=r"^\S+$", vetoes=((s.components[0][0], r"[*]{3}|[?]"),))) if s.id in ("number", "license") else s for s in DEFAULT.slots
+    ),
+)

@@ -7,11 +7,13 @@ from dataclasses import replace
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corvia.functions.views import ENDINGS, match_view
-from corvia.operators.rules import check, first_survivors, rule_matches, viewed
-from corvia.operators.spans import to_regex
-from corvia.plans.catalog import GUARDED, VIEWED, Catalog
-from corvia.plans.matching import FIRED, QUESTIONS, SLOTS, VALUES_LINKS, patterns_of, q, sql_matches, sql_rules, sql_spans
+from corvia.functions.text import IDENTIFIERS
+from corvia.functions.views import ENDINGS, masked_in_view, match_view
+from corvia.operators.rules import check, first_survivors, rule_matches, slot_status, viewed
+from corvia.operators.spans import any_of, to_regex
+from corvia.plans.catalog import CONTEXTED, GUARDED, VIEWED, Catalog
+from corvia.plans.corpus import sql_mask
+from corvia.plans.matching import FIRED, QUESTIONS, SLOTS, SQL_HEAD, SQL_LINES, VALUES_LINKS, patterns_of, q, sql_matches, sql_rules, sql_spans
 from corvia.plans.registry import Tables, query
 
 # --- views: texts are written with wide digits, a ligature and zero-width spaces before at signs; matching takes that back
@@ -109,3 +111,38 @@ def guarded_check(t: Tables) -> DataFrame:
     """The whole check with protective clauses: a governed candidate is no finding, and a rule with no other is suppressed."""
     found = check(t.documents, GUARDED)
     return found.select("doc_id", F.col("counts.findings").alias("n_findings"), F.col("counts.questions").alias("n_questions"), F.col("counts.suppressed").alias("n_suppressed"), F.array_join(F.transform("questions", lambda x: x["rule_id"]), ",").alias("questions"))
+
+
+# --- slots whose lines count in context
+
+def sql_contexted() -> str:
+    """Lines with the last heading before each; those of a block, and denied ones, do not count."""
+    parts = []
+    for s in (s for s in CONTEXTED.slots if s.context):
+        c, vetoes = s.context, dict(s.context.vetoes)
+        has = {k: f"(regexp_matches(line, {q(any_of(p))})" + (f" and not regexp_matches(line, {q(vetoes[k])})" if k in vetoes else "") + ")" for k, p in s.components}
+        parts.append(
+            f"select d.doc_id, {q(s.id)} as slot, b.doc_id is not null as found, coalesce(b.components, []) as components, b.no::int as line_no, b.line as unit from documents d left join ("
+            f"select doc_id, list_filter([{', '.join(f'case when bool_or({x}) then {q(k)} end' for k, x in has.items())}], lambda x: x is not null) as components, arg_min(no, (-n, no)) as no, arg_min(line, (-n, no)) as line from ("
+            f"select *, {' + '.join(f'{x}::int' for x in has.values())} as n from marked where regexp_matches(line, {q(any_of(s.accept))}) and not (regexp_matches(line, {q(c.deny)}) and not regexp_matches(line, {q(c.unless)})) "
+            f"and not (not head and last_head is not null and regexp_matches(last_line, {q(c.block)}))) group by doc_id) b using (doc_id)"
+        )
+    return f"""{SQL_LINES}, headed as (select *, {SQL_HEAD} as head from lines),
+marked as materialized (select *, max(case when head then line_no end) over w as last_head, arg_max(case when head then line end, case when head then line_no end) over w as last_line, line_no as no from headed window w as (partition by doc_id order by line_no rows between unbounded preceding and 1 preceding)),
+slots as materialized ({" union all ".join(parts)})"""
+
+
+@query(f"with {sql_contexted()} select doc_id, slot, found, array_to_string(components, ',') as components, line_no, unit from slots")
+def contexted_slots(t: Tables) -> DataFrame:
+    """Slots found in lines that count: not in noise, unless marked, nor in a block below a heading of one word; a component that its veto forbids is not there."""
+    status = slot_status(t.documents, replace(CONTEXTED, rules=(), slots=tuple(s for s in CONTEXTED.slots if s.context)))
+    return status.select("doc_id", "slot", "found", F.array_join("components", ",").alias("components"), "line_no", "unit")
+
+
+# --- masks on views
+
+
+@query("select doc_id, replace(" + sql_spread(sql_mask("text", IDENTIFIERS)) + f", '[ipv{WIDE[4]}]', '[ipv4]') as masked from documents")
+def view_masking(t: Tables) -> DataFrame:
+    """Identifiers found in the normalised view and masked where they stand in the source, of which all else stays as it is written."""
+    return t.documents.select("doc_id", masked_in_view(spread(F.col("text"))).alias("masked"))

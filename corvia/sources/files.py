@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import codecs
+import hashlib
 import io
+import re
+import tarfile
 import zipfile
 from collections.abc import Iterator
 from csv import reader as csv_reader
@@ -14,6 +17,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from corvia.functions.text import CREDENTIALS, IDENTIFIERS
+
 #: Fixed value: path components that training jobs may not read.
 HOLDOUT = frozenset(("holdout", "heldout", "test_split"))
 
@@ -142,19 +147,49 @@ def reports(spark: SparkSession, folder: str, pattern: str, schema: T.StructType
     return spark.read.schema(schema).option("multiLine", True).option("pathGlobFilter", pattern).json(guarded(folder)).withColumn("file", F.element_at(F.split(F.input_file_name(), "/"), -1))
 
 
+def members_of(content: bytes, most_bytes: int) -> Iterator[tuple[str, int, bytes | None]]:
+    """``name, size, content`` of the files in a zip or tar archive (packed or not); no content of one of more than ``most_bytes``, and of no more than that is ever unpacked."""
+    if zipfile.is_zipfile(io.BytesIO(content)):
+        with zipfile.ZipFile(io.BytesIO(content)) as z:
+            for m in z.infolist():
+                if not m.is_dir():
+                    yield m.filename, m.file_size, z.read(m) if m.file_size <= most_bytes else None
+        return
+    with tarfile.open(fileobj=io.BytesIO(content)) as t:
+        for m in t:
+            if m.isfile():
+                yield m.name, m.size, t.extractfile(m).read() if m.size <= most_bytes else None
+
+
 def archive_members(spark: SparkSession, path: str, most_bytes: int = 64 << 20) -> DataFrame:
-    """``archive, member, size, hash`` of the files in zip archives; a member of more than ``most_bytes`` unpacked has no hash."""
+    """``archive, member, size, hash, kinds`` of the files in zip and tar archives.
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        import hashlib
+    ``kinds`` are the sorted names of the secrets and identifiers that a member's bytes show as text; a
+    member of more than ``most_bytes`` unpacked has neither hash nor kinds. A file that is no archive is an
+    error that names it.
+    """
+    private = {k: re.compile(p.encode()) for k, p in {**IDENTIFIERS, **CREDENTIALS}.items()}
 
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             for archive, content in zip(frame.path, frame.content):
-                with zipfile.ZipFile(io.BytesIO(content)) as z:
-                    rows = [(archive.rpartition("/")[2], m.filename, m.file_size, hashlib.sha256(z.read(m)).hexdigest() if m.file_size <= most_bytes else None) for m in z.infolist() if not m.is_dir()]
-                yield pd.DataFrame(rows, columns=["archive", "member", "size", "hash"])
-
-    return spark.read.format("binaryFile").load(guarded(path)).select("path", "content").mapInPandas(run, "archive string, member string, size long, hash string")
+                try:
+                    rows = [
+                        (archive.rpartition("/")[2], name, size, None if data is None else hashlib.sha256(data).hexdigest(), None if data is None else sorted(k for k, p in private.items() if p.search(data)))
+                        for name, size, data in members_of(content, most_bytes)
+                    ]
+                except (tarfile.TarError, zipfile.BadZipFile) as e:
+                    raise ValueError(f"{archive}: {e}") from e
+                yield pd.DataFrame(rows, columns=["archive", "member", "size", "hash", "kinds"])
+
+    return spark.read.format("binaryFile").load(guarded(path)).select("path", "content").mapInPandas(run, "archive string, member string, size long, hash string, kinds array<string>")
+
+
+def member_mismatches(tree: DataFrame, members: DataFrame) -> DataFrame:
+    """``member, state`` where files (``member, hash``) and an archive's members (the same) disagree: missing, extra, different."""
+    both = tree.select("member", F.col("hash").alias("want")).join(members.select("member", F.col("hash").alias("have"), F.lit(True).alias("there")), "member", "full_outer")
+    state = F.when(F.col("there").isNull(), "missing").when(F.col("want").isNull(), "extra").when(~F.col("want").eqNullSafe(F.col("have")), "different")
+    return both.select("member", state.alias("state")).where("state is not null")
 
 
 def file_fingerprints(spark: SparkSession, folder: str, pattern: str = "*") -> DataFrame:

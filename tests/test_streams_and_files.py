@@ -175,3 +175,30 @@ def test_text_files(spark, tmp_path):
         files.text_files(spark, str(other), "utf-16").collect()
     with pytest.raises(LookupError):
         files.text_files(spark, str(other), "no-such")
+
+
+def test_archives_of_either_kind(spark, tmp_path):
+    import io
+    import tarfile
+    import zipfile
+
+    contents = {"a.txt": b"mail x@y.org", "dir/b.py": b'token = "abc"\n10.20.30.40', "c.bin": bytes(range(256)), "big.txt": b"x@y.org" * 200, "empty": b""}
+    with zipfile.ZipFile(tmp_path / "z.zip", "w") as z:
+        for name, data in contents.items():
+            z.writestr(name, data)
+    for name, mode in (("t.tar", "w"), ("t.tgz", "w:gz")):
+        with tarfile.open(tmp_path / name, mode) as t:
+            t.addfile(tarfile.TarInfo("dir"), None)
+            for member, data in contents.items():
+                info = tarfile.TarInfo(member)
+                info.size = len(data)
+                t.addfile(info, io.BytesIO(data))
+    kinds = {"a.txt": ["email"], "dir/b.py": ["assigned_secret", "ipv4"], "c.bin": [], "empty": []}
+    found = files.archive_members(spark, str(tmp_path), most_bytes=1000).collect()
+    want = {(a, n, len(d), None if n == "big.txt" else hashlib.sha256(d).hexdigest(), None if n == "big.txt" else tuple(kinds[n])) for a in ("z.zip", "t.tar", "t.tgz") for n, d in contents.items()}
+    assert {(r.archive, r.member, r["size"], r.hash, None if r.kinds is None else tuple(r.kinds)) for r in found if r.member != "dir" or r["size"]} - {(a, "dir", 0, hashlib.sha256(b"").hexdigest(), ()) for a in ("t.tar", "t.tgz")} == want
+    tree = spark.createDataFrame([("a.txt", "h"), ("gone", "h"), ("empty", hashlib.sha256(b"").hexdigest())], "member string, hash string")
+    assert {tuple(r) for r in files.member_mismatches(tree, files.archive_members(spark, str(tmp_path / "z.zip"), 1000)).collect()} == {("a.txt", "different"), ("gone", "missing"), ("dir/b.py", "extra"), ("c.bin", "extra"), ("big.txt", "extra")}
+    (tmp_path / "no.zip").write_bytes(b"no archive")
+    with pytest.raises(Exception, match="no.zip"):
+        files.archive_members(spark, str(tmp_path / "no.zip")).collect()
