@@ -1,5 +1,5 @@
 """Imports every module that registers queries."""
 
-from corvia.plans import analysis, contracts, corpus, guarded, guidance, matching, ordered, records
+from corvia.plans import analysis, contracts, corpus, guarded, guidance, matching, ordered, packets, records
 
-MODULES = (analysis, contracts, corpus, guarded, guidance, matching, ordered, records)
+MODULES = (analysis, contracts, corpus, guarded, guidance, matching, ordered, packets, records)

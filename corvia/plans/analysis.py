@@ -121,12 +121,13 @@ def throughput_by_group(t: Tables) -> DataFrame:
     return sums.join(medians(days, ["event_type"], "n").drop("n"), "event_type")
 
 
-@query(r"with w as (select regexp_extract(text, '^[A-Za-z]+') as word, lang from documents) select lower(word) as key, array_to_string(list_sort(list_distinct(list(word))), '|') as variants, array_to_string(list_sort(list_distinct(list(lang))), '|') as langs, count(*) as n from w where word <> '' group by lower(word)")
+@query(r"with w as (select unnest(regexp_extract_all(text, '[A-Za-z]+')) as word, lang from documents) select lower(word) as key, array_to_string(list_sort(list_distinct(list(word))), '|') as variants, array_to_string(list_sort(list_distinct(list(lang))), '|') as langs, count(*) as n from w group by lower(word)")
 def expression_groups(t: Tables) -> DataFrame:
-    """Spellings that one normalised key holds together."""
-    words = t.documents.select(F.regexp_extract("text", "^[A-Za-z]+", 0).alias("word"), "lang").where("word <> ''")
+    """Spellings of all words of the texts that one normalised key holds together; different spellings are counted before they are collected."""
+    words = t.documents.select(F.explode(F.regexp_extract_all("text", F.lit("[A-Za-z]+"), F.lit(0))).alias("word"), "lang")
+    counted = words.groupBy("word", "lang").agg(F.count(F.lit(1)).alias("n"))
     joined = lambda c: F.array_join(F.sort_array(F.collect_set(c)), "|")
-    return words.groupBy(F.lower("word").alias("key")).agg(joined("word").alias("variants"), joined("lang").alias("langs"), F.count(F.lit(1)).alias("n"))
+    return counted.groupBy(F.lower("word").alias("key")).agg(joined("word").alias("variants"), joined("lang").alias("langs"), F.sum("n").alias("n"))
 
 
 @query("select count(distinct user_id) as users, count(distinct ts::date) as days, count(*) as events, count(*) filter (value > 50) as high, round(median(value), 6) as median from events")
@@ -201,9 +202,10 @@ def kappa_by_rule(t: Tables) -> DataFrame:
     return M.kappa(raters(t), "a", "b", ["lang"])
 
 
-@query("with a as (select doc_id, quality as a from labels where doc_id % 5 <> 0), b as (select doc_id, toxic as b from labels where doc_id % 3 <> 0) select doc_id, case when a is null or b is null then 'incomplete' when a = b then 'agreed' else 'disagreed' end as state from a full join b using (doc_id)")
+@query("with a as (select doc_id, quality as a from labels), b as (select doc_id, (n_chars > 400)::int as b from documents where lang in ('en', 'de')) select doc_id, case when a is null or b is null then 'incomplete' when a = b then 'agreed' else 'disagreed' end as state from a full join b using (doc_id)")
 def dual_review_match(t: Tables) -> DataFrame:
-    first, second = t.labels.where("doc_id % 5 <> 0").select("doc_id", F.col("quality").alias("a")), t.labels.where("doc_id % 3 <> 0").select("doc_id", F.col("toxic").alias("b"))
+    """Two reviews of a document: the label, and one of the English and German texts by their length."""
+    first, second = t.labels.select("doc_id", F.col("quality").alias("a")), t.documents.where("lang in ('en', 'de')").select("doc_id", (F.col("n_chars") > 400).cast("int").alias("b"))
     state = F.when(F.col("a").isNull() | F.col("b").isNull(), "incomplete").when(F.col("a") == F.col("b"), "agreed").otherwise("disagreed")
     return first.join(second, "doc_id", "full_outer").select("doc_id", state.alias("state"))
 
@@ -263,10 +265,12 @@ def identifier_changes(t: Tables) -> DataFrame:
     return rules(t).select("rule_id").join(found, "rule_id", "left").select("rule_id", change.alias("change")).where("change is not null")
 
 
-@query("with o as (select c_custkey, c_mktsegment, c_nationkey from customer where c_custkey % 11 <> 0), n as (select c_custkey, case when c_custkey % 10 = 0 then lower(c_mktsegment) else c_mktsegment end as c_mktsegment, c_nationkey from customer where c_custkey % 13 <> 0), ol as (unpivot (select c_custkey, c_mktsegment, c_nationkey::varchar as c_nationkey from o) on c_mktsegment, c_nationkey into name field value v), nl as (unpivot (select c_custkey, c_mktsegment, c_nationkey::varchar as c_nationkey from n) on c_mktsegment, c_nationkey into name field value v) select c_custkey, field, ol.v as before, nl.v as after from ol full join nl using (c_custkey, field) where ol.v is distinct from nl.v")
+@query("with o as (select c_custkey, c_mktsegment, c_nationkey from customer where c_acctbal >= -500), n as (select c_custkey, case when c_acctbal < 0 then lower(c_mktsegment) else c_mktsegment end as c_mktsegment, c_nationkey from customer where c_custkey in (select o_custkey from orders)), ol as (unpivot (select c_custkey, c_mktsegment, c_nationkey::varchar as c_nationkey from o) on c_mktsegment, c_nationkey into name field value v), nl as (unpivot (select c_custkey, c_mktsegment, c_nationkey::varchar as c_nationkey from n) on c_mktsegment, c_nationkey into name field value v) select c_custkey, field, ol.v as before, nl.v as after from ol full join nl using (c_custkey, field) where ol.v is distinct from nl.v")
 def snapshot_diff(t: Tables) -> DataFrame:
-    new = t.customer.where("c_custkey % 13 <> 0").withColumn("c_mktsegment", F.when(F.col("c_custkey") % 10 == 0, F.lower("c_mktsegment")).otherwise(F.col("c_mktsegment")))
-    return M.field_changes(t.customer.where("c_custkey % 11 <> 0"), new, ["c_custkey"], ["c_mktsegment", "c_nationkey"])
+    """The customers that are not far in debt, and later those with orders, with the segments of those in debt written otherwise."""
+    active = t.customer.join(t.orders.select(F.col("o_custkey").alias("c_custkey")), "c_custkey", "left_semi")
+    new = active.withColumn("c_mktsegment", F.when(F.col("c_acctbal") < 0, F.lower("c_mktsegment")).otherwise(F.col("c_mktsegment")))
+    return M.field_changes(t.customer.where("c_acctbal >= -500"), new, ["c_custkey"], ["c_mktsegment", "c_nationkey"])
 
 
 @query("select c_custkey, coalesce(case when n_regionkey = 1 then upper(n_name) end, c_name) as name from customer left join nation on c_nationkey = n_nationkey")
@@ -311,10 +315,11 @@ def pair_invariants(t: Tables) -> DataFrame:
 # --- review logs
 
 
-@query("with i as (select event_id from events where value > 50 and event_id % 2 = 0), r as (select distinct event_id - 1 as event_id from events where event_id % 3 = 0) select i.event_id, case when r.event_id is null then 'open' else 'resolved' end as status from i left join r using (event_id)")
+@query("with i as (select event_id from events where value > 50), r as (select distinct event_id - (props->>'k')::int as event_id from events where event_type = 'purchase') select i.event_id, case when r.event_id is null then 'open' else 'resolved' end as status from i left join r using (event_id)")
 def issue_status(t: Tables) -> DataFrame:
     """Events that raise an issue, and whether a later event names them as resolved."""
-    raised, resolving = t.events.where("value > 50 and event_id % 2 = 0").select("event_id"), t.events.where("event_id % 3 = 0").select((F.col("event_id") - 1).alias("event_id"), F.lit("resolved").alias("status")).distinct()
+    named = F.col("event_id") - F.get_json_object("props", "$.k").cast("int")
+    raised, resolving = t.events.where("value > 50").select("event_id"), t.events.where("event_type = 'purchase'").select(named.alias("event_id"), F.lit("resolved").alias("status")).distinct()
     return raised.join(resolving, "event_id", "left").select("event_id", F.coalesce("status", F.lit("open")).alias("status"))
 
 
@@ -330,11 +335,11 @@ def event_ordinal(t: Tables) -> DataFrame:
     return t.conversations.select("conv_id", "turn", "role", F.row_number().over(Window.partitionBy("conv_id").orderBy("turn", "role", "text")).alias("ordinal"))
 
 
-@query("select distinct event_id, user_id from events where event_id % 3 <> 0 or event_id % 2 = 0")
+@query("select distinct event_id, user_id from events where value > 20 or event_type <> 'view'")
 def merged_events(t: Tables) -> DataFrame:
     """Two logs as one: an event of both comes once."""
     log = lambda where: t.events.where(where).select("event_id", "user_id")
-    return log("event_id % 3 <> 0").unionByName(log("event_id % 2 = 0")).dropDuplicates(["event_id"])
+    return log("value > 20").unionByName(log("event_type <> 'view'")).dropDuplicates(["event_id"])
 
 
 @query(f"with {ALL} select doc_id, rule_id from (select *, row_number() over (partition by doc_id order by priority, rule_id) as n from questions) where n = 1")

@@ -195,9 +195,20 @@ def keyword_class(t: Tables) -> DataFrame:
     return t.documents.select("doc_id", X.keyword_class(F.col("text"), CLASSES, "prose").alias("class"))
 
 
-@query(f"with a as (select doc_id, source, {SQL_CLASS} as old from (select *, lower(text) as t from documents)), b as (select doc_id, {SQL_CLASS} as new from (select *, lower(substr(text, 1, 200)) as t from documents)) select old, new, count(*) as n from a join b using (doc_id) where old <> new group by old, new")
+#: The classes after a revision of their keywords.
+REVISED_CLASSES = CLASSES | {"noise": ["***", "###"], "list": ["1.", "2."], "legal": ["license", "all rights"]}
+
+
+def sql_class(classes: dict[str, list[str]]) -> str:
+    counts = {k: " + ".join(f"((length(t) - length(replace(t, {q(w)}, ''))) // {len(w)})" for w in v) for k, v in classes.items()}
+    most = f"greatest({', '.join(counts.values())})"
+    return f"case when {most} = 0 then 'prose' " + " ".join(f"when {c} = {most} then {q(k)}" for k, c in counts.items()) + " end"
+
+
+@query(f"with c as (select {sql_class(CLASSES)} as old, {sql_class(REVISED_CLASSES)} as new from (select lower(text) as t from documents)) select old, new, count(*) as n from c where old <> new group by old, new")
 def reclassified_counts(t: Tables) -> DataFrame:
-    both = t.documents.select(X.keyword_class(F.col("text"), CLASSES, "prose").alias("old"), X.keyword_class(F.substring("text", 1, 200), CLASSES, "prose").alias("new"))
+    """How many whole texts a revision of the keywords moves from one class to another."""
+    both = t.documents.select(X.keyword_class(F.col("text"), CLASSES, "prose").alias("old"), X.keyword_class(F.col("text"), REVISED_CLASSES, "prose").alias("new"))
     return both.where("old <> new").groupBy("old", "new").agg(F.count(F.lit(1)).alias("n"))
 
 
