@@ -38,7 +38,7 @@ def block_lines(docs: DataFrame, id_col: str, blocks_col: str) -> DataFrame:
 
     A block has ``type``, ``text``, ``table`` (``cells``, ``caption``, ``captionBelow``), ``note`` and
     ``children``. Each round takes the blocks of one level apart where they stand, without a shuffle, and
-    goes on while any has children; lines are ordered at the end by their path from the root. An unknown
+    goes on while any has children; levels are kept in Spark's storage (memory, then disk) until the result is let go of; lines are ordered at the end by their path from the root. An unknown
     kind of block is an error, so that nothing is left out unseen; a document without blocks has no lines.
     """
     known = F.coalesce(_field(F.col("block"), "$.type", "string").isin(*TEXT, *SILENT, "table"), F.lit(False))
@@ -50,8 +50,8 @@ def block_lines(docs: DataFrame, id_col: str, blocks_col: str) -> DataFrame:
         lines = checked.select("id", F.explode(_lines(F.col("block"), F.col("path"))).alias("x")).select("id", "x.*")
         found = lines if found is None else found.unionByName(lines)
         below = checked.select("id", "path", F.posexplode(_field(F.col("block"), "$.children", "array<variant>")).alias("at", "block"))
-        if below.isEmpty():
+        level = below.select("id", F.concat("path", F.array(F.lit(4), "at")).alias("path"), "block").persist()  # each level is taken apart once
+        if level.isEmpty():
             break
-        level = below.select("id", F.concat("path", F.array(F.lit(4), "at")).alias("path"), "block")
     ordered = found.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("place", "line"))).alias("all"))
     return ordered.select(F.col("id").alias(id_col), F.posexplode("all.line").alias("line_no", "line"))

@@ -11,7 +11,8 @@ from __future__ import annotations
 
 import re
 from bisect import bisect_left
-from functools import lru_cache
+from functools import lru_cache, reduce
+from operator import or_
 from typing import TYPE_CHECKING
 
 import pandas as pd
@@ -101,12 +102,17 @@ def match_text(text: str | Texts, rule: Rule) -> tuple[list[tuple[int, int]], li
 
 def matches(text: Column, rules: list[Rule], views: bool = False) -> Column:
     """``rule_id, candidates, survivors`` of each rule with candidates, in the order of the rules."""
-    may = F.array_compact(F.array(*[F.when(text.rlike(any_of(r.patterns)), F.lit(i)) for i, r in enumerate(rules)]))
+    def may_match(r: Rule) -> Column:
+        if r.needs:  # looked for as they are, which costs far less than an expression
+            return reduce(or_, [F.contains(text, F.lit(x)) for x in r.needs])
+        return text.rlike(any_of(r.patterns))
+
+    may = F.array_compact(F.array(*[F.when(may_match(r), F.lit(i)) for i, r in enumerate(rules)]))
     if views:  # a text that has views may match in them alone
         may = F.when(~is_plain(text) | has_ending(text), F.array(*[F.lit(i) for i in range(len(rules))])).otherwise(may)
 
     @F.pandas_udf(MATCHES)
-    def scan(texts: pd.Series, numbers: pd.Series) -> pd.Series:
+    def scan(found: pd.DataFrame) -> pd.Series:
         def one(text: str | None, which) -> list:
             if not isinstance(text, str):
                 return []
@@ -115,9 +121,11 @@ def matches(text: Column, rules: list[Rule], views: bool = False) -> Column:
             each = ((rules[i].id, *match_text(seen, rules[i])) for i in which)
             return [{"rule_id": k, "candidates": named(found), "survivors": named(left)} for k, found, left in each if found]
 
-        return pd.Series([one(x, n) for x, n in zip(texts, numbers)])
+        return pd.Series([one(x, n) for x, n in zip(found.text, found.numbers)])
 
-    return scan(F.when(F.size(may) > 0, text), may)
+    # the numbers are bound once by a lambda; the scan is not to be evaluated again in the filters that Spark infers from an explode
+    asked = F.transform(F.array(may), lambda n: F.struct(F.when(F.size(n) > 0, text).alias("text"), n.alias("numbers")))[0]
+    return scan.asNondeterministic()(asked)
 
 
 def presence_rules(catalog: Catalog) -> list[Rule]:
@@ -176,6 +184,8 @@ def slot_columns(text: Column, slot: Slot) -> Column:
     best = F.array_max(F.transform(F.filter(F.transform(units, lambda x, i: F.struct(x.alias("x"), i.alias("i"))), lambda u: u["x"].rlike(accept)), lambda u: rank(u["x"], u["i"])))
     present = F.array_compact(F.array(*[F.when(text.rlike(any_of(p)), F.lit(k)) for k, p in slot.components])) if slot.components else F.array().cast("array<string>")
     found = text.rlike(accept)
+    if not re.search(r"[\^$]|\\[AZz]", accept):  # without anchors, a line cannot be accepted unless the text is
+        best = F.when(found, best)
     empty = F.array().cast("array<string>")
     return F.struct(F.lit(slot.id).alias("slot"), found.alias("found"), F.when(found, present).otherwise(empty).alias("components"), (-best["o"]).cast("int").alias("line_no"), best["line"].alias("unit"))
 

@@ -81,7 +81,7 @@ def scope_reduction(t: Tables) -> DataFrame:
     """Of all questions of a scope for all documents, the share that is not asked."""
     total = F.broadcast(t.documents.agg(F.count(F.lit(1)).alias("_n")))  # one row
     of_scope = rules(t).where("layer = 'question'").groupBy("scope").agg(F.count(F.lit(1)).alias("_q")).join(total, how="left").select("scope", (F.col("_q") * F.col("_n")).alias("possible"))
-    asked = check(t.documents, DEFAULT).select(F.explode("questions.rule_id").alias("rule_id")).join(F.broadcast(rules(t).select("rule_id", "scope")), "rule_id").groupBy("scope").agg(F.count(F.lit(1)).alias("asked"))
+    asked = check(t.documents, DEFAULT).select(F.explode_outer("questions.rule_id").alias("rule_id")).where("rule_id is not null").join(F.broadcast(rules(t).select("rule_id", "scope")), "rule_id").groupBy("scope").agg(F.count(F.lit(1)).alias("asked"))
     n = F.coalesce("asked", F.lit(0))
     return of_scope.join(asked, "scope", "left").select("scope", "possible", n.alias("asked"), F.round(1 - n.cast("double") / F.col("possible"), 6).alias("reduction"))
 
@@ -349,7 +349,7 @@ def next_question(t: Tables) -> DataFrame:
 
 @query(f"with {ALL} select scope, count(*) as asked, count(l.doc_id) as answered from questions q join rules using (rule_id) left join labels l on l.doc_id = q.doc_id group by scope")
 def answer_progress(t: Tables) -> DataFrame:
-    asked = check(t.documents, DEFAULT).select("doc_id", F.explode("questions.rule_id").alias("rule_id")).join(F.broadcast(rules(t).select("rule_id", "scope")), "rule_id")
+    asked = check(t.documents, DEFAULT).select("doc_id", F.explode_outer("questions.rule_id").alias("rule_id")).where("rule_id is not null").join(F.broadcast(rules(t).select("rule_id", "scope")), "rule_id")
     return asked.join(t.labels.select("doc_id", "quality"), "doc_id", "left").groupBy("scope").agg(F.count(F.lit(1)).alias("asked"), F.count("quality").alias("answered"))
 
 

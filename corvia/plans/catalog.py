@@ -65,6 +65,8 @@ class Rule:
     article: str | None = None
     message: str = ""
     protect: Protection | None = None
+    #: Literals of which every text that the rule matches holds one, to let others past its expressions; none: no such literals.
+    needs: tuple[str, ...] = ()
 
 
 @dataclass(frozen=True)
@@ -124,6 +126,8 @@ class Catalog:
             for value, allowed in ((r.layer, LAYERS), (r.trigger, TRIGGERS), (r.severity, SEVERITIES), (r.scope, SCOPES)):
                 if value not in allowed:
                     yield f"{r.id}: {value!r} is none of {allowed}"
+            if any(not x or not x.strip() for x in r.needs):
+                yield f"{r.id}: a needed literal is empty"
             if (r.trigger == "presence") != bool(r.patterns) or (r.trigger == "absence") != bool(r.slot):
                 yield f"{r.id}: a presence rule has patterns, an absence rule a slot"
             if r.slot and r.slot not in slots:
@@ -192,7 +196,7 @@ class Catalog:
             data = json.loads(raw)
         try:
             rules = tuple(
-                Rule(**r | {"patterns": tuple(r.get("patterns", ())), "related": tuple(r.get("related", ())), "exclude": tuple(Exclusion(**e) for e in r.get("exclude", ())), "context": tuple(ContextGroup(g["name"], tuple(g["patterns"]), g["window"]) for g in r.get("context", ())), "protect": Protection(**r["protect"]) if r.get("protect") else None})
+                Rule(**r | {"patterns": tuple(r.get("patterns", ())), "needs": tuple(r.get("needs", ())), "related": tuple(r.get("related", ())), "exclude": tuple(Exclusion(**e) for e in r.get("exclude", ())), "context": tuple(ContextGroup(g["name"], tuple(g["patterns"]), g["window"]) for g in r.get("context", ())), "protect": Protection(**r["protect"]) if r.get("protect") else None})
                 for r in data["rules"]
             )
             if unknown := sorted(set(data) - {"rules", "slots", "articles", "snapshot"} | {k for s in data["slots"] for k in set(s) - {"id", "label", "accept", "components", "context"}}):
@@ -224,16 +228,16 @@ class Catalog:
 #: A catalog for collections of prose with personal data, secrets, licence lines and junk in them.
 DEFAULT = Catalog(
     rules=(
-        Rule("P-MAIL", "policy", "privacy", "high", "presence", (r"re:[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+",), (Exclusion("noreply@", 8),), related=("Q-CONTACT", "Q-SHOUT"), statute="privacy", article="1", message="holds an e-mail address"),
+        Rule("P-MAIL", "policy", "privacy", "high", "presence", (r"re:[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+",), (Exclusion("noreply@", 8),), related=("Q-CONTACT", "Q-SHOUT"), statute="privacy", article="1", message="holds an e-mail address", needs=("@",)),
         Rule("P-ADDR", "policy", "privacy", "medium", "presence", (r"re:[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}",), (Exclusion("re:(?i)version", 20), Exclusion(r"re:127\.0\.0\.1", 0, overlap=True)), related=("Q-CONTACT",), statute="privacy", article="2", message="holds a network address"),
         Rule("P-CARD", "policy", "privacy", "high", "presence", (r"re:[0-9]{4}[ -]?[0-9]{4}[ -]?[0-9]{4}[ -]?[0-9]{4}",), (Exclusion("order", 30, candidate="re:^[0-9]{16}$"),), related=("Q-NOISE",), statute="privacy", article="1", message="holds a card number"),
-        Rule("P-SECRET", "policy", "security", "high", "presence", (r're:(?i)(?:token|api_key|password|secret)\s*=\s*"[^"]+"',), (Exclusion("example", 12),), related=("Q-NOISE", "Q-SHORT"), statute="security", article="1", message="holds a secret"),
+        Rule("P-SECRET", "policy", "security", "high", "presence", (r're:(?i)(?:token|api_key|password|secret)\s*=\s*"[^"]+"',), (Exclusion("example", 12),), related=("Q-NOISE", "Q-SHORT"), statute="security", article="1", message="holds a secret", needs=("=",)),
         Rule("P-LICENSE", "policy", "rights", "medium", "presence", ("licensed under", "all rights reserved"), (Exclusion("apache license", 40), Exclusion("public license", 24)), related=("Q-RIGHTS",), statute="rights", article="1", message="holds a licence line"),
         Rule("P-INSULT", "policy", "conduct", "medium", "presence", (r"re:(?i)\b(?:idiot|moron|scum|worthless|disgusting)\b",), (), (ContextGroup("second", (r"re:(?i)\b(?:trash|loser|stupid|idiot|moron|scum)\b",), 120),), related=("Q-SHOUT",), statute="conduct", article="1", message="holds insults"),
-        Rule("Q-SHOUT", "question", "style", "low", "presence", (r"re:[A-Z]{3,}!!",), scope="common", message="is it meant to shout?"),
+        Rule("Q-SHOUT", "question", "style", "low", "presence", (r"re:[A-Z]{3,}!!",), scope="common", message="is it meant to shout?", needs=("!!",)),
         Rule("Q-NOISE", "question", "style", "low", "presence", (r"re:[*#&%$]{3}",), (Exclusion(r"re:\*\*\*", 0, overlap=True),), (ContextGroup("more", ("%%%", "&&&"), 80),), message="is it noise?"),
         Rule("Q-CONTACT", "question", "privacy", "low", "presence", ("contact", "@"), message="who can be asked?"),
-        Rule("Q-TABLE", "question", "style", "low", "presence", (r"re: \| [^|\n]+ \| ",), message="is it a table?"),
+        Rule("Q-TABLE", "question", "style", "low", "presence", (r"re: \| [^|\n]+ \| ",), message="is it a table?", needs=(" | ",)),
         Rule("Q-RIGHTS", "question", "rights", "low", "absence", slot="license", message="under which licence?"),
         Rule("Q-SHORT", "question", "style", "low", "absence", slot="body", message="is there more of it?"),
         Rule("Q-LINK", "question", "source", "low", "absence", slot="link", message="where is it from?"),

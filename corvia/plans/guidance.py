@@ -156,7 +156,7 @@ VALUES_PROFILES = "profiles(profile, source_id) as (values " + ", ".join(f"({q(p
 
 
 def asked(t: Tables) -> DataFrame:
-    return check(t.documents, DEFAULT).select("doc_id", F.explode("questions.rule_id").alias("rule_id"))
+    return check(t.documents, DEFAULT).select("doc_id", F.explode_outer("questions.rule_id").alias("rule_id")).where("rule_id is not null")  # of a plain explode, Spark infers a filter that makes the questions once more
 
 
 @query(f"with {ALL}, {VALUES_LINKS}, {VALUES_SOURCES} select x.doc_id, source_id, any_value(title) as title, any_value(kind) as kind, array_to_string(list_sort(list_distinct(list(control))), ',') as controls, array_to_string(list_sort(list_distinct(list(x.rule_id))), ',') as questions from questions x join ways using (rule_id) join sources using (source_id) group by x.doc_id, source_id")

@@ -60,3 +60,17 @@ def test_catalog_file_rejects(tmp_path, change, what):
     (tmp_path / "c.json").write_text(json.dumps(data))
     with pytest.raises(CatalogError, match=what):
         Catalog.load(tmp_path / "c.json")
+
+
+def test_needed_literals_stand_in_all_matches(spark):
+    """No rule matches a text without one of the literals that let the text past the gate."""
+    from corvia.operators.rules import Texts, presence_rules
+
+    rows = [r.text for r in spark.read.parquet(f"{SMALL}/documents.parquet").select("text").collect()] + ["a@b.org", 'TOKEN\t=\n"x"', "ABC!!", "x | y | z", "secret= \"\"", 'api_key="q"']
+    seen = set()
+    for rule in presence_rules(GUARDED):
+        for text in rows:
+            if Texts(text).spans(rule.patterns) and rule.needs:
+                seen.add(rule.id)
+                assert any(x in text for x in rule.needs)
+    assert seen == {r.id for r in GUARDED.rules if r.needs}
