@@ -184,6 +184,18 @@ class Catalog:
         rules = tuple(rules)
         return replace(self, rules=(*self.rules, *rules), local=(*self.local, *(r.id for r in rules)))
 
+    def only(self, ids: Iterable[str] = (), layers: Iterable[str] = LAYERS) -> Catalog:
+        """The catalog with the presence rules of some layers alone, or with those of ``ids``, which must be among them; what links to others does so no more."""
+        layers, ids = frozenset(layers), list(ids)
+        eligible = [r for r in self.rules if r.layer in layers and r.trigger == "presence"]
+        if unknown := sorted(set(ids) - {r.id for r in eligible}):
+            raise CatalogError(f"no such rules to choose: {', '.join(unknown)}")
+        if len(ids) != len(set(ids)):
+            raise CatalogError("a rule chosen twice")
+        chosen = [r for r in eligible if not ids or r.id in ids]
+        left = {r.id for r in chosen}
+        return replace(self, rules=tuple(replace(r, related=tuple(q for q in r.related if q in left)) for r in chosen), local=tuple(x for x in self.local if x in left))
+
     @staticmethod
     def load(path: str | Path) -> Catalog:
         """From a JSON file, or a YAML file where a YAML library is installed; unknown keys are errors."""

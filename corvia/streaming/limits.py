@@ -43,8 +43,8 @@ class Limiter(StatefulProcessor):
         window = self.window.get()[0] if self.window.exists() else -1
         seen = Counters(self.most, window, self.counts.get() if self.counts.exists() else ())
         for frame in rows:
-            frame = frame.sort_values(["ts", "request_id"], kind="stable")
-            n = [seen.count(c, int(t.timestamp() // self.seconds)) for c, t in zip(frame.client, frame.ts)]
+            frame = frame.sort_values(["ms", "request_id"], kind="stable")
+            n = [seen.count(c, int(t) // (1000 * self.seconds)) for c, t in zip(frame.client, frame.ms)]
             yield pd.DataFrame({"request_id": frame.request_id.to_numpy(), "n": n, "allowed": [x <= self.limit for x in n]})
         self.window.update((seen.window,))
         self.counts.put(list(seen.counts.items()))
@@ -62,6 +62,6 @@ def limited(requests: DataFrame, secret: bytes, limit: int = 60, seconds: int =
     """
     with_rocksdb(requests.sparkSession)
     named = F.concat(F.coalesce("client", F.lit("")), F.lit("\0"), F.coalesce("bucket", F.lit("")))
-    hashed = requests.select("request_id", hmac_sha256(named, secret).alias("client"), "ts")
+    hashed = requests.select("request_id", hmac_sha256(named, secret).alias("client"), F.unix_millis("ts").alias("ms"))
     dealt = hashed.withColumn("shard", F.pmod(F.xxhash64("client"), F.lit(shards)).cast("int"))
     return dealt.groupBy("shard").transformWithStateInPandas(Limiter(limit, max(1, most_clients // shards), seconds), "request_id long, n long, allowed boolean", "append", "None")

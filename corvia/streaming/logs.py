@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from corvia.streaming.events import MOST_EVENTS
@@ -66,20 +67,19 @@ class PacketLog(StatefulProcessor):
         log = self._log()
         for frame in rows:  # a packet with very many rows comes in many frames
             frame = frame.sort_values("event_id", kind="stable")
-            out, latest = [], None
-            for event, expected, resolves, ts in zip(frame.event_id, frame.expected, frame.resolves, frame.ts):
+            out, close_at = [], int(frame.ms.max()) + self.idle_ms
+            for event, expected, resolves in zip(frame.event_id, frame.expected, frame.resolves):
                 state = log.append(int(event), int(expected), None if pd.isna(resolves) else int(resolves))
                 out.append((key[0], int(event), state, log.version, log.open))
-                latest = max(ts, latest) if latest is not None else ts
             if log.new:
                 self.events.appendList(log.new)
                 self.head.update((log.version,))
                 log.new = []
             for timer in list(self.handle.listTimers()):
-                if timer < latest.value // 1_000_000 + self.idle_ms:
+                if timer < close_at:
                     self.handle.deleteTimer(timer)
             if not list(self.handle.listTimers()):
-                self.handle.registerTimer(latest.value // 1_000_000 + self.idle_ms)
+                self.handle.registerTimer(close_at)
             yield pd.DataFrame(out, columns=["packet", "event_id", "state", "version", "open"])
 
     def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
@@ -103,4 +103,5 @@ def packet_log(events: DataFrame, late: str = "10 minutes", idle_ms: int = 3_600
     ``MOST_EVENTS`` pairs of ids.
     """
     with_rocksdb(events.sparkSession)
-    return events.withWatermark("ts", late).groupBy("packet").transformWithStateInPandas(PacketLog(idle_ms), OUTPUT, "append", "EventTime")
+    timed = events.withWatermark("ts", late).withColumn("ms", F.unix_millis("ts"))  # of the instant, whatever the session's time zone
+    return timed.groupBy("packet").transformWithStateInPandas(PacketLog(idle_ms), OUTPUT, "append", "EventTime")

@@ -74,3 +74,15 @@ def test_needed_literals_stand_in_all_matches(spark):
                 seen.add(rule.id)
                 assert any(x in text for x in rule.needs)
     assert seen == {r.id for r in GUARDED.rules if r.needs}
+
+
+def test_chosen_rules(spark):
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet")
+    rows = lambda catalog: sorted(str(r) for r in rule_matches(docs, catalog).collect())
+    some = DEFAULT.only(["P-ADDR", "Q-NOISE"])
+    assert [r.id for r in some.rules] == ["P-ADDR", "Q-NOISE"] and some.rules[0].related == ()
+    assert rows(some) == [x for x in rows(DEFAULT) if "'P-ADDR'" in x or "'Q-NOISE'" in x]
+    assert {r.layer for r in DEFAULT.only(layers=["policy"]).rules} == {"policy"}
+    for ids, layers, what in ((["Q-RIGHTS"], ("question",), "Q-RIGHTS"), (["P-ADDR"], ("question",), "P-ADDR"), (["P-ADDR", "P-ADDR"], ("policy",), "twice")):
+        with pytest.raises(CatalogError, match=what):
+            DEFAULT.only(ids, layers)
