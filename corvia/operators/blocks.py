@@ -2,56 +2,54 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import json
+
+import pandas as pd
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: The kinds of blocks. Those of text give a line, tables one a row, of the others nothing is kept but their children.
 TEXT, SILENT = ("paragraph", "heading", "list"), ("image", "separator")
 
 
-def _field(block: Column, path: str, kind: str) -> Column:
-    return F.try_variant_get(block, path, kind)
+def table_lines(table: dict) -> list[str]:
+    """A table's rows, two cells as a name and its value, with its caption above or below."""
+    rows = [[c.strip() for c in row or () if c and c.strip()] for row in table.get("cells") or ()]
+    lines = [": ".join(r) if len(r) == 2 else " | ".join(r) for r in rows if r]
+    caption = [table["caption"]] if (table.get("caption") or "").strip() else []
+    return lines + caption if table.get("captionBelow") else caption + lines
+
+
+def lines_of(blocks: list[dict]) -> list[str]:
+    """The lines of a list of blocks: each block's own, its note, then those of its children; a stack takes the place of recursion, so that depth costs nothing."""
+    out, stack = [], list(reversed(blocks))
+    while stack:
+        block = stack.pop()
+        kind = block.get("type")
+        if kind == "table":
+            out += table_lines(block.get("table") or {})
+        elif kind in TEXT:
+            out += [block["text"]] if (block.get("text") or "").strip() else []
+        elif kind not in SILENT:
+            raise ValueError(f"unknown block: {kind!r}")
+        if kind not in SILENT and block.get("note"):
+            out.append(f"(note: {block['note']})")
+        stack += reversed(block.get("children") or ())
+    return out
 
 
-def _lines(block: Column, path: Column) -> Column:
-    """A block's own lines with their places: its text or its table's caption and rows, then its note."""
-    kind = _field(block, "$.type", "string")
-    place = lambda *at: F.concat(path, F.array(*[x.cast("int") if isinstance(x, Column) else F.lit(x) for x in at]))
-    line = lambda at, text: F.struct(at.alias("place"), text.alias("line"))
-    one = lambda at, text: F.when(F.trim(text) != "", F.array(line(at, text)))
-    caption, below = _field(block, "$.table.caption", "string"), F.coalesce(_field(block, "$.table.captionBelow", "boolean"), F.lit(False))
-    cells = lambda row: F.filter(F.transform(row, lambda c: F.trim(F.coalesce(c, F.lit("")))), lambda c: c != "")
-    rows = F.transform(_field(block, "$.table.cells", "array<array<string>>"), lambda r, i: line(place(1, i), F.when(F.size(cells(r)) == 2, F.concat_ws(": ", cells(r))).otherwise(F.concat_ws(" | ", cells(r)))))
-    note = F.concat(F.lit("(note: "), _field(block, "$.note", "string"), F.lit(")"))
-    parts = [
-        F.when(kind.isin(*TEXT), one(place(0), _field(block, "$.text", "string"))),
-        F.when(kind == "table", one(F.when(below, place(2)).otherwise(place(0)), caption)),
-        F.when(kind == "table", F.filter(rows, lambda x: x["line"] != "")),
-        F.when(~kind.isin(*SILENT), one(place(3), note)),
-    ]
-    empty = F.array().cast("array<struct<place:array<int>,line:string>>")
-    return F.concat(*[F.coalesce(p, empty) for p in parts])
+@F.pandas_udf(T.ArrayType(T.StringType()))
+def _lines(blocks: pd.Series) -> pd.Series:
+    return blocks.map(lambda x: lines_of(json.loads(x)), na_action="ignore")
 
 
 def block_lines(docs: DataFrame, id_col: str, blocks_col: str) -> DataFrame:
     """``id, line_no, line`` of documents whose blocks are a variant list, in reading order.
 
     A block has ``type``, ``text``, ``table`` (``cells``, ``caption``, ``captionBelow``), ``note`` and
-    ``children``. Each round takes the blocks of one level apart where they stand, without a shuffle, and
-    goes on while any has children; levels are kept in Spark's storage (memory, then disk) until the result is let go of; lines are ordered at the end by their path from the root. An unknown
-    kind of block is an error, so that nothing is left out unseen; a document without blocks has no lines.
+    ``children``. A document is walked where it stands, in one pass and without a shuffle. An unknown kind
+    of block is an error, so that nothing is left out unseen; a document without blocks has no lines.
     """
-    known = F.coalesce(_field(F.col("block"), "$.type", "string").isin(*TEXT, *SILENT, "table"), F.lit(False))
-    level = docs.select(F.col(id_col).alias("id"), F.posexplode(_field(F.col(blocks_col), "$", "array<variant>")).alias("at", "block"))
-    level = level.select("id", F.array(F.col("at")).alias("path"), "block")
-    found = None
-    while True:
-        checked = level.withColumn("block", F.when(known, F.col("block")).otherwise(F.raise_error(F.concat(F.lit("unknown block: "), F.to_json("block"))).cast("variant")))
-        lines = checked.select("id", F.explode(_lines(F.col("block"), F.col("path"))).alias("x")).select("id", "x.*")
-        found = lines if found is None else found.unionByName(lines)
-        below = checked.select("id", "path", F.posexplode(_field(F.col("block"), "$.children", "array<variant>")).alias("at", "block"))
-        level = below.select("id", F.concat("path", F.array(F.lit(4), "at")).alias("path"), "block").persist()  # each level is taken apart once
-        if level.isEmpty():
-            break
-    ordered = found.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("place", "line"))).alias("all"))
-    return ordered.select(F.col("id").alias(id_col), F.posexplode("all.line").alias("line_no", "line"))
+    lines = docs.select(F.col(id_col), _lines(F.to_json(F.col(blocks_col))).alias("_lines"))
+    return lines.select(id_col, F.posexplode(F.coalesce("_lines", F.array().cast("array<string>"))).alias("line_no", "line"))
