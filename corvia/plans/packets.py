@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corvia.functions.text import bigrams, canonical_json, without_tags
+from corvia.functions.text import canonical_json, without_tags
 from corvia.operators.rules import check
 from corvia.plans.catalog import DEFAULT
 from corvia.plans.guidance import GUIDANCE, REVISED, SQL_CHANGES, VALUES_LINKS
@@ -94,30 +94,30 @@ def overlaps(pairs: DataFrame, key: str, a: str, b: str) -> DataFrame:
     ``FEW_LINES`` lines that share less than ``RELATED`` of them fall back to pairs of neighbouring
     characters, repeats included, white space left out: counted by pair, side and characters, not in one array.
     """
-    squeezed = lambda x: F.regexp_replace(F.regexp_replace(x, r"\s+", " "), "^ | $", "")
-    lines = lambda c: F.array_distinct(F.filter(F.transform(F.split(F.coalesce(c, F.lit("")), "\n", -1), squeezed), lambda x: x != ""))
-    both = pairs.select(key, F.col(a).alias("_a"), F.col(b).alias("_b"), lines(F.col(a)).alias("_la"), lines(F.col(b)).alias("_lb"))
-    smaller, shared = F.least(F.size("_la"), F.size("_lb")), F.size(F.array_intersect("_la", "_lb"))
-    both = both.withColumn("_n", smaller).withColumn("_lines", F.when(smaller == 0, 1.0).otherwise(shared / smaller))
-    falls = (F.col("_n") > 0) & (F.col("_n") < FEW_LINES) & (F.col("_lines") < RELATED)
-    side = lambda c, name: both.where(falls).select(key, F.lit(name).alias("_s"), F.explode(bigrams(F.regexp_replace(c, r"\s+", ""))).alias("_g"))
-    counted = side("_a", "a").unionByName(side("_b", "b")).groupBy(key, "_g").agg(F.count_if(F.col("_s") == "a").alias("na"), F.count_if(F.col("_s") == "b").alias("nb"))
-    grams = counted.groupBy(key).agg(F.sum(F.least("na", "nb")).alias("common"), F.least(F.sum("na"), F.sum("nb")).alias("least"))
-    joined = both.select(key, "_lines", falls.alias("_falls")).join(grams, key, "left")
-    by_grams = F.when(F.coalesce("least", F.lit(0)) == 0, 1.0).otherwise(F.greatest("_lines", F.col("common") / F.col("least")))
-    return joined.select(key, F.when(F.col("_falls"), by_grams).otherwise(F.col("_lines")).alias("overlap"), F.when(F.col("_falls"), "pairs").otherwise("lines").alias("by"))
-
-
-_LINE_SET = r"list_distinct(list_filter(list_transform(string_split({0}, chr(10)), lambda x: regexp_replace(regexp_replace(x, '\s+', ' ', 'g'), '^ | $', '', 'g')), lambda x: x <> ''))"
-_GRAMS = r"unnest(list_transform(range(1, length(regexp_replace({0}, '\s+', '', 'g'))), lambda i: substr(regexp_replace({0}, '\s+', '', 'g'), i, 2)))"
-
-
-@query(f"""with p as (select a.doc_id, a.text as a, b.text as b, {_LINE_SET.format("a.text")} as la, {_LINE_SET.format("b.text")} as lb from documents a join documents b on b.doc_id = a.doc_id + 1),
-l as (select *, least(len(la), len(lb)) as n, case when least(len(la), len(lb)) = 0 then 1.0 else len(list_intersect(la, lb))::double / least(len(la), len(lb)) end as lines from p),
-falls as (select * from l where n > 0 and n < {FEW_LINES} and lines < {RELATED}),
-g as (select doc_id, g, count(*) filter (s = 'a') as na, count(*) filter (s = 'b') as nb from (select doc_id, 'a' as s, {_GRAMS.format("a")} as g from falls union all select doc_id, 'b', {_GRAMS.format("b")} from falls) group by doc_id, g),
-c as (select doc_id, sum(least(na, nb)) as common, least(sum(na), sum(nb)) as least_total from g group by doc_id)
-select l.doc_id, round(case when f.doc_id is null then l.lines when coalesce(c.least_total, 0) = 0 then 1.0 else greatest(l.lines, c.common::double / c.least_total) end, 6) as overlap, case when f.doc_id is null then 'lines' else 'pairs' end as by from l left join falls f using (doc_id) left join c using (doc_id)""")
+    lines = lambda c: F.array_distinct(F.filter(F.transform(F.split(F.coalesce(c, F.lit("")), "\n", -1), lambda x: F.trim(F.regexp_replace(x, r"\s+", " "))), lambda x: x != ""))
+
+    def measured(p: Column) -> Column:
+        smaller = F.least(F.size(p["a"]), F.size(p["b"]))
+        share = F.when(smaller == 0, 1.0).otherwise(F.size(F.array_intersect(p["a"], p["b"])) / smaller)
+        return F.struct(share.alias("lines"), ((smaller > 0) & (smaller < FEW_LINES) & (share < RELATED)).alias("falls"))
+
+    # the line sets are bound by a lambda: each is made once a text
+    both = pairs.select(key, F.col(a).alias("_a"), F.col(b).alias("_b"), F.transform(F.array(F.struct(lines(F.col(a)).alias("a"), lines(F.col(b)).alias("b"))), measured)[0].alias("_m"))
+
+    def grams(c: str, side: str) -> Column:
+        """Pairs of neighbouring characters from the list of characters: a substring would search its place from the start each time."""
+        pair = lambda cs: F.transform(cs, lambda x, i: F.struct(F.lit(side).alias("_s"), F.concat(x, F.get(cs, i + 1)).alias("_g")))
+        return F.transform(F.array(F.regexp_extract_all(F.coalesce(c, F.lit("")), F.lit(r"\S"), F.lit(0))), pair)[0]
+
+    each = both.where("_m.falls").select(key, F.explode_outer(F.concat(grams("_a", "a"), grams("_b", "b"))).alias("_x")).select(key, "_x.*").where("_g is not null")
+    counted = each.groupBy(key, "_g").agg(F.count_if(F.col("_s") == "a").alias("na"), F.count_if(F.col("_s") == "b").alias("nb"))
+    shared = counted.groupBy(key).agg(F.sum(F.least("na", "nb")).alias("common"), F.least(F.sum("na"), F.sum("nb")).alias("least"))
+    joined = both.select(key, "_m.lines", "_m.falls").join(shared, key, "left")
+    by_grams = F.when(F.coalesce("least", F.lit(0)) == 0, 1.0).otherwise(F.greatest("lines", F.col("common") / F.col("least")))
+    return joined.select(key, F.when(F.col("falls"), by_grams).otherwise(F.col("lines")).alias("overlap"), F.when(F.col("falls"), "pairs").otherwise("lines").alias("by"))
+
+
+@query()
 def text_overlap(t: Tables) -> DataFrame:
     """How much of the smaller of each document and the next the other has too, by lines or, where there are few, by pairs of characters."""
     following = t.documents.select((F.col("doc_id") - 1).alias("doc_id"), F.col("text").alias("following"))
