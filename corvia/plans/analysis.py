@@ -344,7 +344,8 @@ def merged_events(t: Tables) -> DataFrame:
 
 @query(f"with {ALL} select doc_id, rule_id from (select *, row_number() over (partition by doc_id order by priority, rule_id) as n from questions) where n = 1")
 def next_question(t: Tables) -> DataFrame:
-    return check(t.documents, DEFAULT).where(F.size("questions") > 0).select("doc_id", F.col("questions")[0]["rule_id"].alias("rule_id"))
+    first = F.posexplode_outer("questions.rule_id").alias("n", "rule_id")  # no filter on the questions, which would work them out once more
+    return check(t.documents, DEFAULT).select("doc_id", first).where("n = 0").select("doc_id", "rule_id")
 
 
 @query(f"with {ALL} select scope, count(*) as asked, count(l.doc_id) as answered from questions q join rules using (rule_id) left join labels l on l.doc_id = q.doc_id group by scope")
