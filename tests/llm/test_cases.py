@@ -8,12 +8,13 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
 import corpus_pipeline
 from corvia.llm import queries
-from corvia.llm.debruijn import drop_repeated_spans
+from corvia.llm.debruijn import drop_repeated_spans, pieces, run_hashes, word_hashes, words_of
 from corvia.llm.html import PARAGRAPHS, _link_density, _scored, main_text, parse
 from corvia.llm.lines import drop_recurring_lines
 from corvia.llm.mixing import mix_sources
@@ -239,3 +240,55 @@ def test_runs_in_bucket_against_all_strings():
             earlier = {t[a : a + length] for t, s, f in zip(members, seed, first) if s == seed[i] and f < first[i] for a in range(len(t) - length + 1)}
             wanted = {a for a in range(len(text) - length + 1) if text[a : a + length] in earlier}
             assert {a for x, y in found.get(i, []) for a in range(x, y)} == wanted
+
+
+def test_repeated_spans_read_texts_four_times(spark):
+    """Once for all pieces, where their places come from too; for the k-mers of seeds with several pieces; to verify; to remove."""
+    draw, seen = random.Random(3), spark.sparkContext.accumulator(0)
+    passage = " ".join(f"p{i}" for i in range(60))
+    rows = [(i, " ".join([*(f"w{draw.randrange(10**6)}" for _ in range(50)), passage, f"tail{i}"])) for i in range(40)]
+
+    def counted(batches):
+        for batch in batches:
+            seen.add(batch.num_rows)
+            yield batch
+
+    docs = spark.createDataFrame(rows, "doc_id long, text string").mapInArrow(counted, "doc_id long, text string")
+    found = drop_repeated_spans(docs).drop("kept").collect()
+    assert sorted(map(tuple, found)) == sorted(brute.repeated_words(rows, 35))
+    assert seen.value <= 4 * len(rows)
+
+
+def test_words_in_blocks_of_texts():
+    texts = ["skipped", "", " a\tb\x0b\x0cc\r\n", "d", "e f", " \n", "nbsp\u00a0stays \u2003 \x1c \x85", "日本 straße", "\x00 \x00\x00", "x" * 5000 + " y", "x" * 255, "x" * 256, ""]
+    column = pa.array(texts)[1:]
+    data, first, bounds = words_of(column)
+    words = [w for t in texts[1:] for w in t.encode().split()]
+    assert [data[a:b].tobytes() for a, b in zip(first[:-1], first[1:])] == [w + b" " for w in words]
+    assert np.diff(bounds).tolist() == [len(t.encode().split()) for t in texts[1:]]
+    hashes = word_hashes(data, first).tolist()
+    assert len(set(hashes)) == len(set(words)) and len(set(zip(words, hashes))) == len(set(words))
+    many = words_of(pa.array([" ".join(f"v{i}" for i in range(70000)), *texts]))
+    again = word_hashes(*many[:2])
+    assert len(set(again[:70000].tolist())) == 70000 and again[70001:].tolist() == hashes
+    for none in (pa.array([], pa.string()), pa.array(["", " "])):
+        data, first, bounds = words_of(none)
+        assert len(word_hashes(data, first)) == 0 and bounds.tolist() == [0] * (len(none) + 1)
+
+
+@pytest.mark.parametrize("k", [1, 3, 12])
+def test_pieces_in_blocks_of_texts(k):
+    draw = random.Random(k)
+    texts = [" ".join(draw.choices("abc", k=draw.choice([0, 1, 5, 40]))) for _ in range(60)] + ["r " * 2000, " ".join(f"w{i}" for i in range(300))] * 2
+    data, first, bounds = words_of(pa.array(texts))
+    each = word_hashes(data, first)
+    seed, start, n, ph, again = pieces(each, bounds, k)
+    edges, seeds, held = run_hashes(each, k), {}, {}
+    for s, a, m, p, twice in zip(seed.tolist(), start.tolist(), n.tolist(), ph.tolist(), again.tolist()):
+        own = edges[a : a + m].tolist()
+        assert twice == (len(set(own)) < m)
+        assert held.setdefault((s, p), own) == own
+        for e in own:
+            assert seeds.setdefault(e, s) == s
+    want = [a for x, y in zip(bounds[:-1].tolist(), bounds[1:].tolist()) for a in range(x, y - k + 1)]
+    assert sorted(p for a, m in zip(start.tolist(), n.tolist()) for p in range(a, a + m)) == want
