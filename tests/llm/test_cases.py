@@ -14,7 +14,8 @@ from tokenizers import Tokenizer
 
 import corpus_pipeline
 from corvia.llm import queries
-from corvia.llm.debruijn import drop_repeated_spans, pieces, run_hashes, word_hashes, words_of
+from corvia.llm.common import keyed
+from corvia.llm.debruijn import drop_repeated_spans, pieces, run_hashes, verified, word_hashes, words_of
 from corvia.llm.html import PARAGRAPHS, _link_density, _scored, main_text, parse
 from corvia.llm.lines import drop_recurring_lines
 from corvia.llm.mixing import mix_sources
@@ -292,3 +293,12 @@ def test_pieces_in_blocks_of_texts(k):
             assert seeds.setdefault(e, s) == s
     want = [a for x, y in zip(bounds[:-1].tolist(), bounds[1:].tolist()) for a in range(x, y - k + 1)]
     assert sorted(p for a, m in zip(start.tolist(), n.tolist()) for p in range(a, a + m)) == want
+
+
+def test_paths_of_colliding_hashes_are_told_apart(spark):
+    rows = [(1, "a b c d e"), (2, "x a  b\tc d"), (3, "q r s t"), (4, "a b c"), (4, "a b c")]
+    docs = keyed(spark.createDataFrame(rows, "doc_id long, text string"), "doc_id", "text")
+    at = spark.createDataFrame([(1, 0, 2, 7), (2, 1, 2, 7), (3, 0, 2, 7), (3, 1, 1, 8), (4, 0, 1, 9), (1, 0, 1, 10), (2, 1, 1, 10)], "id long, start int, n int, path long")
+    paths = docs.select("id", "th").distinct().join(at, "id").select("id", "th", "start", "n", "path")
+    found = verified(docs, paths, 3).select("id", "start", "n").collect()
+    assert sorted(map(tuple, found)) == [(1, 0, 1), (1, 0, 2), (2, 1, 1), (2, 1, 2), (4, 0, 1), (4, 0, 1)]
