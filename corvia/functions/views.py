@@ -12,6 +12,7 @@ from collections.abc import Sequence
 from dataclasses import dataclass
 from functools import lru_cache
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -36,7 +37,7 @@ class View:
 
     def span(self, start: int, end: int) -> tuple[int, int]:
         """The source of a span of the view that is not empty."""
-        return self.starts[start], self.ends[end - 1]
+        return int(self.starts[start]), int(self.ends[end - 1])
 
     def then(self, change) -> View:
         """The view that ``change`` makes of this one's text, mapped to this one's source."""
@@ -45,7 +46,16 @@ class View:
             return self
         if isinstance(self.starts, range):
             return after
-        return View(after.text, [self.starts[i] for i in after.starts], [self.ends[i - 1] for i in after.ends])
+        return View(after.text, self.starts[after.starts], self.ends[after.ends - 1])
+
+    def stretches(self) -> np.ndarray:
+        """``at, until, start, end`` in rows, with a column for each of the view's ``[at, until)`` whose characters share the source's ``[start, end)``; of all other characters, each stands for one, next to what the one before it stands for (the first for the source's first)."""
+        if isinstance(self.starts, range) or not self.text:
+            return np.empty((4, 0), "int32")
+        at = np.flatnonzero(np.r_[True, (self.starts[1:] != self.starts[:-1]) | (self.ends[1:] != self.ends[:-1])])
+        until, start, end = np.r_[at[1:], len(self.text)], self.starts[at], self.ends[at]
+        odd = (until - at > 1) | (end - start > 1) | (start != np.r_[0, end[:-1]])
+        return np.stack((at, until, start, end))[:, odd].astype("int32")
 
 
 def same(text: str) -> View:
@@ -56,14 +66,18 @@ def replaced(text: str, edits: list[tuple[int, int, str]]) -> View:
     """The view with each ``(start, end, new)`` in place, edits in order and apart; every character of ``new`` stands for the whole of what it replaces."""
     if not edits:
         return same(text)
-    pieces, starts, ends, at = [], [], [], 0
+    pieces, counts, firsts, at = [], [], [], 0
     for start, end, new in (*edits, (len(text), len(text), "")):
         pieces += [text[at:start], new]
-        starts.extend(range(at, start))
-        ends.extend(range(at + 1, start + 1))
-        starts += [start] * len(new)
-        ends += [end] * len(new)
+        counts += [start - at, len(new)]
+        firsts += [at, start]
         at = end
+    counts = np.array(counts, "int32")
+    starts = np.repeat(np.array(firsts, "int32"), counts)
+    kept = np.repeat(np.tile([True, False], len(counts) // 2), counts)
+    starts[kept] += (np.arange(len(starts), dtype="int32") - np.repeat(np.cumsum(counts, dtype="int32") - counts, counts))[kept]
+    ends = starts + 1
+    ends[~kept] = np.repeat(np.array([end for _, end, _ in edits], "int32"), counts[1:-1:2])
     return View("".join(pieces), starts, ends)
 
 
@@ -97,18 +111,25 @@ def ending_view(text: str, rules: tuple[tuple[str, str], ...] = ENDINGS) -> View
     return replaced(text, [(*m.span(), targets[m[0]]) for m in pattern.finditer(text)])
 
 
-@F.pandas_udf(T.StructType([T.StructField("text", T.StringType()), T.StructField("starts", T.ArrayType(T.IntegerType())), T.StructField("ends", T.ArrayType(T.IntegerType()))]))
+INTS = T.ArrayType(T.IntegerType())
+
+
+@F.pandas_udf(T.StructType([T.StructField("text", T.StringType()), *(T.StructField(k, INTS) for k in ("at", "until", "starts", "ends"))]))
 def match_view(texts: pd.Series) -> pd.DataFrame:
-    """The normalised text with its endings rewritten, and the source of each of its characters."""
-    views = [None if x is None else normal_view(x).then(ending_view) for x in texts]
-    return pd.DataFrame([(None, None, None) if v is None else (v.text, list(v.starts), list(v.ends)) for v in views], columns=["text", "starts", "ends"])
+    """The normalised text with its endings rewritten, and its stretches (:meth:`View.stretches`), from which the source of each of its characters follows: a few numbers an edit, none for other characters."""
+
+    def row(text: str | None) -> tuple:
+        view = same("") if text is None else normal_view(text).then(ending_view)
+        return (None if text is None else view.text, *view.stretches())
+
+    return pd.DataFrame([row(x) for x in texts], columns=["text", "at", "until", "starts", "ends"])
 
 
-@F.pandas_udf(T.StructType([T.StructField("text", T.StringType()), T.StructField("starts", T.ArrayType(T.IntegerType()))]))
+@F.pandas_udf(T.StructType([T.StructField("text", T.StringType()), T.StructField("starts", INTS)]))
 def nfkc_view(texts: pd.Series) -> pd.DataFrame:
     """Per-character NFKC and, for each character of the view, its source offset."""
     views = [None if x is None else normal_view(x) for x in texts]
-    return pd.DataFrame([(None, None) if v is None else (v.text, list(v.starts)) for v in views], columns=["text", "starts"])
+    return pd.DataFrame([(None, None) if v is None else (v.text, np.asarray(v.starts, "int32")) for v in views], columns=["text", "starts"])
 
 
 def is_plain(text: Column) -> Column:

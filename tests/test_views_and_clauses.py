@@ -4,13 +4,15 @@ from __future__ import annotations
 
 import random
 import re
+import tracemalloc
 import unicodedata
 from dataclasses import replace
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from corvia.functions.views import ENDINGS, ending_view, is_plain, normal_view, same
+from corvia.functions.views import ENDINGS, ending_view, is_plain, match_view, normal_view, same
 from corvia.operators.clauses import Sentences, governed
 from corvia.operators.rules import check, match_text, rule_matches
 from corvia.plans.catalog import DEFAULT, GUARDED, NEGATIONS, CatalogError, Protection, Rule
@@ -47,6 +49,36 @@ def test_views_compose():
         assert len(view.text) == len(view.starts) == len(view.ends)
 
 
+def spelled_out(n: int, stretches) -> list[tuple[int, int]]:
+    """The source of each of a view's characters, one by one, from its stretches."""
+    out = []
+    for at, until, start, end in (*zip(*map(list, stretches)), (n, n, 0, 0)):
+        out += [(x, x + 1) for last in [out[-1][1] if out else 0] for x in range(last, last + at - len(out))]
+        out += [(start, end)] * (until - at)
+    return out
+
+
+def test_stretches_say_where_each_character_stands():
+    rng = random.Random(3)
+    for _ in range(500):
+        text = "".join(rng.choices(PARTS, k=rng.randrange(12)))
+        view = same(text).then(normal_view).then(ending_view)
+        assert spelled_out(len(view.text), view.stretches()) == [(start, end) for _, start, end in plain_view(text)]
+
+
+def test_match_view_costs_by_edits_not_by_characters(spark):
+    texts = ["word " * 600 + end for end in ("", "organization", "０１２", "a​b ﬁt") for _ in range(100)]
+    tracemalloc.start()
+    found = match_view.func(pd.Series(texts))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 5 * sum(map(len, texts))
+    assert [tuple(map(list, r[1:])) for r in found.itertuples(index=False)][::100] == [([], [], [], []), ([3005], [3012], [3005], [3012]), ([], [], [], []), ([3001, 3003], [3002, 3005], [3002, 3004], [3003, 3005])]
+    docs = spark.createDataFrame([(1, None), (2, ""), (3, "an organ​ization")], "doc_id long, text string")
+    rows = docs.select(match_view("text").alias("v")).select("v.*").collect()
+    assert [tuple(r) for r in rows] == [(None, [], [], [], []), ("", [], [], [], []), ("an organisation", [8], [15], [9], [16])]
+
+
 def test_first_rule_wins_at_one_place():
     assert ending_view("xab", (("ab", "1"), ("b", "22"))).text == "x1"
     view = ending_view("xab yb", (("b", "22"), ("ab", "1"), ("b", "3")))
