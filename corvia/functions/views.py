@@ -137,6 +137,17 @@ def is_plain(text: Column) -> Column:
     return ~text.rlike(r"[^\x00-\x7FÀ-ÿ]") & (normalized(text) == text)
 
 
+def nfkc_text(text: Column) -> Column:
+    """Per-character NFKC without offsets; texts of characters that normalisation leaves or takes back one by one stay in the JVM."""
+
+    @F.pandas_udf(T.StringType())
+    def nfkc(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda x: _CHANGEABLE.sub(lambda m: nfkc_char(m[0]), x), na_action="ignore")
+
+    kept, beyond = ~text.rlike(r"[^\t\n\r\x20-\x7EÀ-ÿ]"), normalized(text).rlike(r"[^\x00-\x7FÀ-ÿ]")
+    return F.when(kept, text).when(~beyond, normalized(text)).otherwise(nfkc(F.when(~kept & beyond, text)))
+
+
 def has_ending(text: Column, rules: tuple[tuple[str, str], ...] = ENDINGS) -> Column:
     return text.rlike(_endings(rules)[0].pattern)
 

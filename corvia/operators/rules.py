@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import re
 from bisect import bisect_left
+from collections.abc import Iterator
 from functools import lru_cache, reduce
 from operator import or_
 from typing import TYPE_CHECKING
@@ -30,6 +31,8 @@ if TYPE_CHECKING:
 
 SPANS = "array<struct<start:int,end:int,txt:string>>"
 MATCHES = f"array<struct<rule_id:string,candidates:{SPANS},survivors:{SPANS}>>"
+#: Spans that a scan holds, as Python objects, before it hands them on; those of one text stay together.
+MOST_SPANS = 1 << 14
 
 
 @lru_cache(4096)
@@ -100,6 +103,28 @@ def match_text(text: str | Texts, rule: Rule) -> tuple[list[tuple[int, int]], li
     return found, left
 
 
+def scanned(batches: Iterator[pd.DataFrame], rules: list[Rule], views: bool = False) -> Iterator[pd.Series]:
+    """What the rules of each row's ``numbers`` find in its ``text``, in the order of the rows; a batch of texts with many spans comes in several parts."""
+    def one(text: str | None, which) -> list:
+        if not isinstance(text, str):
+            return []
+        seen = Texts(text, views)
+        named = lambda spans: [{"start": a, "end": b, "txt": text[a:b]} for a, b in spans]
+        each = ((rules[i].id, *match_text(seen, rules[i])) for i in which)
+        return [{"rule_id": k, "candidates": named(found), "survivors": named(left)} for k, found, left in each if found]
+
+    for batch in batches:
+        rows, n = [], 0
+        for text, which in zip(batch.text, batch.numbers):
+            rows.append(one(text, which))
+            n += sum(len(m["candidates"]) + len(m["survivors"]) for m in rows[-1])
+            if n >= MOST_SPANS:
+                yield pd.Series(rows)
+                rows, n = [], 0
+        if rows:
+            yield pd.Series(rows)
+
+
 def matches(text: Column, rules: list[Rule], views: bool = False) -> Column:
     """``rule_id, candidates, survivors`` of each rule with candidates, in the order of the rules."""
     def may_match(r: Rule) -> Column:
@@ -112,16 +137,8 @@ def matches(text: Column, rules: list[Rule], views: bool = False) -> Column:
         may = F.when(~is_plain(text) | has_ending(text), F.array(*[F.lit(i) for i in range(len(rules))])).otherwise(may)
 
     @F.pandas_udf(MATCHES)
-    def scan(found: pd.DataFrame) -> pd.Series:
-        def one(text: str | None, which) -> list:
-            if not isinstance(text, str):
-                return []
-            seen = Texts(text, views)
-            named = lambda spans: [{"start": a, "end": b, "txt": text[a:b]} for a, b in spans]
-            each = ((rules[i].id, *match_text(seen, rules[i])) for i in which)
-            return [{"rule_id": k, "candidates": named(found), "survivors": named(left)} for k, found, left in each if found]
-
-        return pd.Series([one(x, n) for x, n in zip(found.text, found.numbers)])
+    def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.Series]:
+        return scanned(batches, rules, views)
 
     # the numbers are bound once by a lambda; the scan is not to be evaluated again in the filters that Spark infers from an explode
     asked = F.transform(F.array(may), lambda n: F.struct(F.when(F.size(n) > 0, text).alias("text"), n.alias("numbers")))[0]

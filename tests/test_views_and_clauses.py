@@ -12,9 +12,10 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from corvia.functions.views import ENDINGS, ending_view, is_plain, match_view, normal_view, same
+from corvia.functions.text import SPACES, WIDE, ZERO_WIDTH
+from corvia.functions.views import ENDINGS, ending_view, is_plain, match_view, nfkc_text, normal_view, same
 from corvia.operators.clauses import Sentences, governed
-from corvia.operators.rules import check, match_text, rule_matches
+from corvia.operators.rules import check, match_text, presence_rules, rule_matches, scanned
 from corvia.plans.catalog import DEFAULT, GUARDED, NEGATIONS, CatalogError, Protection, Rule
 
 PARTS = ["ization", "ized", "ation", "ungen", "iones", "a", "Xé", "ﬁ", "０", "​", " ", " ", "①", "½", "\n", " ", ".", "@", "é", "Ǆ"]
@@ -91,6 +92,28 @@ def test_plain_texts(spark):
     assert found == {t: normal_view(t).text == t for (t,) in rows}
 
 
+def test_texts_are_normalised_in_the_engine_as_by_character(spark):
+    chars = [chr(i) for i in range(0x2FF)] + list(SPACES + WIDE + ZERO_WIDTH) + [chr(i) for i in range(0x2000, 0x2070)] + PARTS + ["中", "\U0001d7d8", "e\u0301"]
+    rows = [(c,) for c in chars] + [("a" + c + "１",) for c in chars] + [("",), (None,)]
+    found = spark.createDataFrame(rows, "text string").repartition(4).select("text", nfkc_text(F.col("text")).alias("n")).collect()
+    assert len(found) == len(rows)
+    assert [(r.text, r.n) for r in found if r.n != (None if r.text is None else normal_view(r.text).text)] == []
+
+
+def test_scans_hand_on_what_they_hold(spark):
+    rules = presence_rules(DEFAULT)
+    texts = ["a@b.org " * 1000] * 100
+    batch = pd.DataFrame({"text": [*texts, None], "numbers": [[0]] * 100 + [[]]})
+    tracemalloc.start()
+    sizes = [len(part) for part in scanned(iter([batch]), rules)]
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert sum(sizes) == 101 and peak < 20e6
+    docs = spark.createDataFrame(list(enumerate(texts)) + [(100, None), (101, ""), (102, "x@y.org")], "doc_id long, text string").coalesce(1)
+    found = {r.doc_id: (r.n, r.first) for r in rule_matches(docs, DEFAULT).where(F.col("rule_id") == rules[0].id).select("doc_id", F.size("candidates").alias("n"), F.col("candidates")[0]["txt"].alias("first")).collect()}
+    assert found == {i: (1000, "a@b.org") for i in range(100)} | {102: (1, "x@y.org")}
+
+
 def test_rules_see_views(spark):
     rule = Rule("Q-X", "question", "x", "low", "presence", ("organization", "re:[0-9]{3}"), exclude=DEFAULT.rules[0].exclude)
     text = "An organ​ization, and １２３, and 456"
